@@ -24,7 +24,6 @@ from velostat.operators.normalize import (
 )
 from velostat.plans import datasets as D
 from velostat.sources.export import bi_prepare
-from velostat.sources.fixtures import legacy_source, modern_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,32 +39,32 @@ def query(fn: Query) -> Query:
 # ------------------------------------------------------ normalise / features
 @query
 def scan_legacy(spark, sf):
-    return legacy_source(spark, sf)
+    return D.legacy_raw(spark, sf)
 
 
 @query
 def scan_modern(spark, sf):
-    return modern_source(spark, sf)
+    return D.modern_raw(spark, sf)
 
 
 @query
 def normalize_legacy_q(spark, sf):
-    return normalize_legacy(legacy_source(spark, sf))
+    return normalize_legacy(D.legacy_raw(spark, sf))
 
 
 @query
 def normalize_modern_q(spark, sf):
-    return normalize_modern(modern_source(spark, sf))
+    return normalize_modern(D.modern_raw(spark, sf))
 
 
 @query
 def repair_duration_q(spark, sf):
-    return repair_duration(legacy_source(spark, sf))
+    return repair_duration(D.legacy_raw(spark, sf))
 
 
 @query
 def valid_trips_q(spark, sf):
-    return valid_trips(modern_source(spark, sf))
+    return valid_trips(D.modern_raw(spark, sf))
 
 
 @query
@@ -79,7 +78,7 @@ def demographic_trips_q(spark, sf):
 def recode_user_type_q(spark, sf):
     """Source label → canonical label, with trip counts (unmapped → NULL)."""
     df = recode_user_type(
-        legacy_source(spark, sf).withColumnRenamed("usertype", "user_type"), source_column="source_user_type"
+        D.legacy_raw(spark, sf).withColumnRenamed("usertype", "user_type"), source_column="source_user_type"
     )
     return df.groupBy("source_user_type", "user_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -118,31 +117,31 @@ def entire_data(spark, sf):
 
 @query
 def constant_columns(spark, sf):
-    return quality.constant_columns(modern_source(spark, sf))
+    return quality.constant_columns(D.modern_raw(spark, sf))
 
 
 # ------------------------------------------------------------------ quality
 @query
 def longest_trips_legacy(spark, sf):
-    return quality.longest(legacy_source(spark, sf), "tripduration", "tripduration",
+    return quality.longest(D.legacy_raw(spark, sf), "tripduration", "tripduration",
                            ["start_time", "end_time"])
 
 
 @query
 def longest_trips_modern(spark, sf):
-    df = modern_source(spark, sf)
+    df = D.modern_raw(spark, sf)
     return quality.longest(df, elapsed("MINUTE", "started_at", "ended_at"), "trip_duration_minutes",
                            ["ride_id", "started_at", "ended_at"])
 
 
 def _legacy_checks(spark, sf, names):
     rules = quality.legacy_rules()
-    return quality.quality_report(legacy_source(spark, sf), quality.count_rules({n: rules[n] for n in names}))
+    return quality.quality_report(D.legacy_raw(spark, sf), quality.count_rules({n: rules[n] for n in names}))
 
 
 def _modern_checks(spark, sf, names):
     rules = quality.modern_rules()
-    return quality.quality_report(modern_source(spark, sf), quality.count_rules({n: rules[n] for n in names}))
+    return quality.quality_report(D.modern_raw(spark, sf), quality.count_rules({n: rules[n] for n in names}))
 
 
 @query
@@ -152,7 +151,7 @@ def missing_id_rows(spark, sf):
 
 @query
 def null_profile(spark, sf):
-    return quality.null_profile(legacy_source(spark, sf))
+    return quality.null_profile(D.legacy_raw(spark, sf))
 
 
 @query
@@ -167,7 +166,7 @@ def logical_issues(spark, sf):
 
 @query
 def duplicate_trip_ids(spark, sf):
-    return quality.duplicate_keys(legacy_source(spark, sf), "trip_id")
+    return quality.duplicate_keys(D.legacy_raw(spark, sf), "trip_id")
 
 
 @query
@@ -185,8 +184,8 @@ def _both_years(spark, sf, legacy_names, modern_names, extra=None):
     if extra:
         ml.update(extra[0])
         mm.update(extra[1])
-    a = quality.quality_report(legacy_source(spark, sf), ml).withColumn("year", F.lit(K.LEGACY_YEAR))
-    b = quality.quality_report(modern_source(spark, sf), mm).withColumn("year", F.lit(K.MODERN_YEAR))
+    a = quality.quality_report(D.legacy_raw(spark, sf), ml).withColumn("year", F.lit(K.LEGACY_YEAR))
+    b = quality.quality_report(D.modern_raw(spark, sf), mm).withColumn("year", F.lit(K.MODERN_YEAR))
     return a.unionByName(b)
 
 
@@ -209,7 +208,7 @@ def duration_mismatch(spark, sf):
 
 @query
 def missing_destination(spark, sf):
-    return modern_source(spark, sf).where(F.col("end_station_id").isNull())
+    return D.modern_raw(spark, sf).where(F.col("end_station_id").isNull())
 
 
 @query
@@ -224,8 +223,8 @@ def invalid_coordinates(spark, sf):
 
 @query
 def quality_report(spark, sf):
-    a = quality.legacy_report(legacy_source(spark, sf)).withColumn("year", F.lit(K.LEGACY_YEAR))
-    b = quality.modern_report(modern_source(spark, sf)).withColumn("year", F.lit(K.MODERN_YEAR))
+    a = quality.legacy_report(D.legacy_raw(spark, sf)).withColumn("year", F.lit(K.LEGACY_YEAR))
+    b = quality.modern_report(D.modern_raw(spark, sf)).withColumn("year", F.lit(K.MODERN_YEAR))
     return a.unionByName(b, allowMissingColumns=True)
 
 

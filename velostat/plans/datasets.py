@@ -7,6 +7,9 @@ on ``(year, …)`` over this one DataFrame instead of a loop over tables.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from velostat import constants as K
@@ -23,16 +26,80 @@ from velostat.operators.normalize import (
     union_common,
     with_year,
 )
-from velostat.sources.fixtures import legacy_source, modern_source
+from velostat.session import ensure_checkpoint_dir
+from velostat.sources.fixtures import SPREAD_CONF, legacy_source, modern_source
+
+MATERIALIZE_CONF = "velostat.materialize"
+_PLANS: dict[tuple, DataFrame] = {}
+_RUN_TAG = uuid.uuid4().hex[:12]
+
+
+def materialize_enabled(spark: SparkSession) -> bool:
+    return str(spark.conf.get(MATERIALIZE_CONF, "true")).lower() == "true"
+
+
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once as parquet under the session's checkpoint folder and
+    return a scan of it (no-op when ``velostat.materialize`` is ``false``).
+
+    The folder is the shared one named by ``spark.checkpoint.dir`` (set to a
+    scratch folder only when unset, i.e. in local runs).  Writing cuts the
+    lineage — a lost executor costs a re-read, not a re-join — and later
+    queries get a columnar scan with column pruning, filter pushdown and,
+    with ``partition_by``, partition pruning.
+    """
+    spark = df.sparkSession
+    if not materialize_enabled(spark):
+        return df
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/velostat-{_RUN_TAG}-{id(spark):x}/{name}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.parquet(path)
+
+
+def shared_plan(fn):
+    """Build a dataset's (lazy) DataFrame once per session, input folder and
+    arguments, and hand the same plan to every query that uses it.
+
+    Only the plan is shared — nothing is cached or materialised — so every
+    action still reads the inputs.  This saves the Python-side cost of
+    re-analysing the same chain of transformations for each query.
+    """
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        key = (fn.__name__, id(spark), spark.conf.get(SPREAD_CONF, ""), materialize_enabled(spark),
+               sf_dir.rstrip("/"), args)
+        df = _PLANS.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = _PLANS[key] = fn(spark, sf_dir, *args)
+        return df
+
+    return wrapper
+
+
+@shared_plan
+def legacy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legacy source table (materialised: it is a three-way join)."""
+    return materialize(legacy_source(spark, sf_dir), "legacy_source")
+
+
+@shared_plan
+def modern_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(modern_source(spark, sf_dir), "modern_source")
 
 
+@shared_plan
 def legacy_trips(spark: SparkSession, sf_dir: str, population: str = "all") -> DataFrame:
     """Canonical, enriched legacy trips with ``year`` and ``is_peak``.
 
     ``population="demo"`` keeps only riders with gender and birth year (the
     population the original script ended up using for its 2019 figures).
     """
-    df = normalize_legacy(legacy_source(spark, sf_dir))
+    df = normalize_legacy(legacy_raw(spark, sf_dir))
     if population == "demo":
         df = demographic_trips(df).drop("age")
     elif population != "all":
@@ -40,20 +107,24 @@ def legacy_trips(spark: SparkSession, sf_dir: str, population: str = "all") -> D
     return with_peak_flag(enrich_trips(with_year(df, K.LEGACY_YEAR)))
 
 
+@shared_plan
 def modern_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical, enriched modern trips (valid trips only) with ``year``, ``is_peak``."""
-    df = normalize_modern(modern_source(spark, sf_dir))
+    df = normalize_modern(modern_raw(spark, sf_dir))
     return with_peak_flag(enrich_trips(with_year(df, K.MODERN_YEAR)))
 
 
+@shared_plan
 def trips(spark: SparkSession, sf_dir: str, population: str = "all") -> DataFrame:
-    """Both years stacked over their common columns."""
-    return union_common(legacy_trips(spark, sf_dir, population), modern_trips(spark, sf_dir))
+    """Both years stacked over their common columns (materialised, by year)."""
+    both = union_common(legacy_trips(spark, sf_dir, population), modern_trips(spark, sf_dir))
+    return materialize(both, f"trips_{population}", ("year",))
 
 
+@shared_plan
 def demo_trips(spark: SparkSession, sf_dir: str, as_of_year: int = K.AS_OF_YEAR) -> DataFrame:
     """Legacy riders with demographics: ``age``, ``age_group``, ``age_rank``,
     ``duration_log10`` added to the enriched trips."""
-    df = demographic_trips(normalize_legacy(legacy_source(spark, sf_dir)), as_of_year)
+    df = demographic_trips(normalize_legacy(legacy_raw(spark, sf_dir)), as_of_year)
     df = with_peak_flag(enrich_trips(df))
-    return with_duration_log10(with_age_group(df))
+    return materialize(with_duration_log10(with_age_group(df)), f"demo_trips_{as_of_year}")

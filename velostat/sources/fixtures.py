@@ -16,9 +16,39 @@ from pyspark.sql import functions as F
 
 from velostat.functions import add_seconds
 
+SPREAD_CONF = "velostat.scan.partitions"
+
+# Columns (and their types) the derivations read from each test table.
+# Declaring them skips schema inference (a footer-reading job per read) and
+# limits the scan to these columns.
+SOURCE_COLUMNS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_extendedprice DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT",
+    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if name in SOURCE_COLUMNS:
+        return spark.read.schema(SOURCE_COLUMNS[name]).parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a pruned scan over ``velostat.scan.partitions`` tasks when
+    that setting is given (unset by default).
+
+    Meant for inputs that cannot be split — e.g. one parquet file holding a
+    single row group, which the scan reads in one task.  Large inputs of many
+    files/row groups are split by the scan itself and must not set it.
+    Hash partitioning on a key (not round-robin) needs no pre-sort to stay
+    deterministic when a task is retried.
+    """
+    n = int(spark.conf.get(SPREAD_CONF, "0") or 0)
+    return df.repartition(n, key) if n > 0 else df
 
 
 def _station_name(station_id):
@@ -27,9 +57,9 @@ def _station_name(station_id):
 
 def legacy_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy trip table: one row per line item, rider fields from the customer."""
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread(spark, read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"
-    )
+    ), "l_orderkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     j = li.join(orders, li.l_orderkey == orders.o_orderkey).join(
@@ -89,9 +119,9 @@ def legacy_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def modern_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modern trip table: one row per event (a single scan, no join)."""
-    ev = read_table(spark, sf_dir, "events").select(
+    ev = spread(spark, read_table(spark, sf_dir, "events").select(
         "event_id", "user_id", "ts", "event_type", "value", "props"
-    )
+    ), "event_id")
     # fixed values: fixture derivation rules
     shift = F.when(F.col("event_id") % 500 == 0, F.lit(-60).cast("bigint")).otherwise(
         F.floor(F.col("value") * 60).cast("bigint")
