@@ -89,7 +89,8 @@ def legacy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared_plan
 def modern_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(modern_source(spark, sf_dir), "modern_source")
+    """The modern source table: a single scan and projection, left lazy."""
+    return modern_source(spark, sf_dir)
 
 
 @shared_plan
@@ -127,4 +128,4 @@ def demo_trips(spark: SparkSession, sf_dir: str, as_of_year: int = K.AS_OF_YEAR)
     ``duration_log10`` added to the enriched trips."""
     df = demographic_trips(normalize_legacy(legacy_raw(spark, sf_dir)), as_of_year)
     df = with_peak_flag(enrich_trips(df))
-    return materialize(with_duration_log10(with_age_group(df)), f"demo_trips_{as_of_year}")
+    return with_duration_log10(with_age_group(df))
