@@ -66,3 +66,14 @@ def test_streaming_append_equals_batch(spark):
     batch = normalize_legacy(read_trips_csv(spark, folder, "legacy"))
     assert got.count() == batch.count()
     assert got.select("duration_sec").exceptAll(batch.select("duration_sec")).count() == 0
+
+
+def test_bi_export_registry_writes_every_table(spark):
+    from velostat.plans.exports import bi_tables
+
+    out = tempfile.mkdtemp(prefix="vs-bi-all-")
+    tables = bi_tables(spark, SF_SMALL)
+    paths = write_exports(tables, out)
+    assert len(paths) == len(tables) == 15
+    n = spark.read.option("header", True).csv(f"{out}/pct_vld_2019").count()
+    assert n == tables["pct_vld_2019"]().count()

@@ -33,6 +33,10 @@ def _keys(keys: Sequence[str] | str | None) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def null_safe_join_cond(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column | None:
     cond = None
     for lk, rk in pairs:
@@ -84,33 +88,34 @@ def quantiles(
     if method != "counts":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    v = F.col(value)
-    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    by_group = Window.partitionBy(*keys)
-    running = by_group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.select(
-        *keys,
-        value,
-        (F.sum("__c").over(running) - F.col("__c")).alias("__lo"),  # first 0-based rank covered
-        F.sum("__c").over(running).alias("__hi"),                   # one past the last
-        F.sum("__c").over(by_group).alias("__n"),
+    # Built from SQL expression text: the same plan as Column objects, but one
+    # JVM call per expression instead of one per node.
+    q = _quote
+    vq = q(value)
+    part = f"PARTITION BY {', '.join(q(k) for k in keys)}" if keys else ""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = counts.selectExpr(
+        *[q(k) for k in keys], vq, "__c",
+        f"sum(__c) OVER ({part} ORDER BY {vq} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __hi",
+        f"sum(__c) OVER ({part}) AS __n",
     )
-    aggs = [F.max("__n").alias("__n")]
+    # a distinct value covers the 0-based ranks [__hi - __c, __hi)
+    aggs = [F.expr("max(__n)").alias("__n")]
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("__n") - 1).cast("double")
-        for side, rank in (("l", F.floor(pos)), ("h", F.ceil(pos))):
-            covers = (F.col("__lo") <= rank) & (rank < F.col("__hi"))
-            aggs.append(F.max(F.when(covers, v)).alias(f"__{side}{i}"))
+        pos = f"({float(p)!r}D * CAST(__n - 1 AS DOUBLE))"
+        for side, fn in (("l", "floor"), ("h", "ceil")):
+            rank = f"{fn}{pos}"
+            aggs.append(F.expr(f"max(CASE WHEN __hi - __c <= {rank} AND {rank} < __hi THEN {vq} END)")
+                        .alias(f"__{side}{i}"))
     picked = ranked.groupBy(*keys).agg(*aggs)
     cols = []
     for i, (p, n) in enumerate(zip(probs, names)):
-        pos = F.lit(float(p)) * (F.col("__n") - 1).cast("double")
-        lo, hi = F.col(f"__l{i}").cast("double"), F.col(f"__h{i}").cast("double")
+        pos = f"({float(p)!r}D * CAST(__n - 1 AS DOUBLE))"
+        lo, hi = f"CAST(__l{i} AS DOUBLE)", f"CAST(__h{i} AS DOUBLE)"
         # same arithmetic as the built-in: (ceil - pos) * lo + (pos - floor) * hi
-        interp = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
-        cols.append(F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(
-            F.when(lo == hi, lo).otherwise(interp)).alias(n))
-    return picked.select(*keys, *cols)
+        cols.append(f"CASE WHEN floor{pos} = ceil{pos} OR {lo} = {hi} THEN {lo} "
+                    f"ELSE (ceil{pos} - {pos}) * {lo} + ({pos} - floor{pos}) * {hi} END AS {q(n)}")
+    return picked.selectExpr(*[q(k) for k in keys], *cols)
 
 
 def iqr_summary(
@@ -123,11 +128,10 @@ def iqr_summary(
     """Per group: ``q1, med, q3, iqr, lower, upper`` (Tukey fences at ``k``·IQR)."""
     keys = _keys(keys)
     q = quantiles(df, keys, value, (0.25, 0.5, 0.75), ("q1", "med", "q3"), method=method)
-    iqr = F.col("q3") - F.col("q1")
-    return q.select(
-        *keys, "q1", "med", "q3", iqr.alias("iqr"),
-        (F.col("q1") - F.lit(k) * iqr).alias("lower"),
-        (F.col("q3") + F.lit(k) * iqr).alias("upper"),
+    kk = f"{float(k)!r}D"
+    return q.selectExpr(
+        *[_quote(c) for c in keys], "q1", "med", "q3", "q3 - q1 AS iqr",
+        f"q1 - {kk} * (q3 - q1) AS lower", f"q3 + {kk} * (q3 - q1) AS upper",
     )
 
 
