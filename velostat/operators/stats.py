@@ -211,7 +211,7 @@ def share_within(
     within = _keys(within)
     w = Window.partitionBy(*within) if within else Window.partitionBy()
     total = F.sum(count_col).over(w)
-    share = F.col(count_col) / total
+    share = F.try_divide(F.col(count_col).cast("double"), total.cast("double"))  # NULL for a 0 total
     if scale != 1.0:
         share = share * F.lit(scale)
     return counts.withColumn(name, share)
@@ -228,27 +228,29 @@ def count_share(
 
 # --------------------------------------------------------------- densify
 def densify(
-    counts: DataFrame, groups: Sequence[str], key: str, lo: int, hi: int,
-    fill: dict[str, object], group_table: DataFrame | None = None,
+    counts: DataFrame, groups: Sequence[str], key: str, lo: int, hi: int, fill: dict[str, object],
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Every integer ``key`` in ``[lo, hi]`` for every group; missing rows get ``fill``.
 
-    The domain is generated per group with ``explode(sequence(lo, hi))`` on
-    the (small) table of groups and left-joined with the counts.
+    ``counts`` must be one row per ``(groups…, key)`` with ``key`` in
+    ``[lo, hi]`` (an aggregate), so each group gathers at most ``hi - lo + 1``
+    entries into a map; the domain is then exploded from that map.  No join
+    and no second pass over the data that produced the counts.  ``carry``
+    columns are constant within a group and are copied to every key.
     """
-    groups = list(groups)
-    gt = group_table if group_table is not None else counts.select(*groups).distinct()
-    domain = gt.select(*groups, F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias(key))
-    domain = domain.withColumn(key, F.col(key).cast(counts.schema[key].dataType))
-    ren = {c: f"__d_{c}" for c in groups + [key]}
-    d = domain.withColumnsRenamed(ren)
-    cond = null_safe_join_cond(d, counts, [(ren[c], c) for c in groups + [key]])
-    joined = d.join(counts, cond, "left")
-    out_cols = [F.col(ren[c]).alias(c) for c in groups + [key]]
-    rest = [c for c in counts.columns if c not in groups + [key]]
-    for c in rest:
-        out_cols.append(F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c))
-    return joined.select(*out_cols)
+    groups, carry = list(groups), list(carry)
+    values = [c for c in counts.columns if c not in groups and c != key and c not in carry]
+    kt = counts.schema[key].dataType
+    per_group = counts.groupBy(*groups).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*values)))).alias("__m"),
+        *[F.max(c).alias(c) for c in carry],
+    )
+    dom = per_group.select(*groups, *carry, "__m",
+                           F.explode(F.sequence(F.lit(lo).cast(kt), F.lit(hi).cast(kt))).alias(key))
+    hit = F.try_element_at(F.col("__m"), F.col(key))
+    cols = [F.coalesce(hit[c], F.lit(fill[c])).alias(c) if c in fill else hit[c].alias(c) for c in values]
+    return dom.select(*groups, key, *carry, *cols)
 
 
 # ------------------------------------------------------------- histogram
@@ -270,6 +272,9 @@ def histogram(
     on ``min`` and the last on ``max``.  ``log10=True`` bins ``log10(value)``
     over positive values only.  Empty bins are emitted with ``n = 0``.
     Output: ``keys…, bin, bin_lo, bin_hi, n``.
+
+    Plan: one aggregate for the range per scale group (broadcast: one row
+    per scale group), one aggregate for the counts, then :func:`densify`.
     """
     keys = list(keys)
     scale_keys = list(scale_keys) if scale_keys is not None else keys
@@ -281,18 +286,16 @@ def histogram(
         rows.groupBy(*scale_keys)
         .agg(F.min("__x").alias("__min"), F.max("__x").alias("__max"))
         .select(*scale_keys, "__min", F.when(width > 0, width).otherwise(F.lit(1.0)).alias("__w"))
-        .select("*", (F.col("__min") - F.col("__w") / 2).alias("__b"))
+        .select(*scale_keys, (F.col("__min") - F.col("__w") / 2).alias("__b"), "__w")
     )
     idx = F.ceil((F.col("__x") - F.col("__b")) / F.col("__w")) - 1
     idx = F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = (
-        join_group_table(rows, stats.select(*scale_keys, "__b", "__w"), scale_keys)
+        join_group_table(rows, stats, scale_keys)
         .groupBy(*keys, idx.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("__b").alias("__b"), F.max("__w").alias("__w"))
     )
-    groups = counts.select(*keys).distinct()
-    dense = densify(counts, keys, "bin", 0, bins - 1, {"n": 0}, group_table=groups)
-    out = join_group_table(dense, stats.select(*scale_keys, "__b", "__w"), scale_keys)
+    out = densify(counts, keys, "bin", 0, bins - 1, {"n": 0}, carry=("__b", "__w"))
     return out.select(
         *keys, "bin",
         (F.col("__b") + F.col("bin") * F.col("__w")).alias("bin_lo"),
