@@ -179,3 +179,16 @@ def test_longest_is_top_k_with_deterministic_ties(spark):
     df = spark.createDataFrame([(5, "b"), (5, "a"), (9, "z"), (1, "q")], "d int, name string")
     out = [(r.d, r.name) for r in quality.longest(df, "d", "d", ["name"], k=3).collect()]
     assert out == [(9, "z"), (5, "a"), (5, "b")]
+
+
+def test_bucketed_quantiles_match_numpy_with_many_buckets(spark):
+    rng = np.random.default_rng(11)
+    rows = [(g, int(x)) for g in ("a", None, "c") for x in rng.integers(-300, 900, size=257)]
+    rows.append(("single", 5))
+    df = spark.createDataFrame(rows, "g string, v bigint")
+    bucketed = {r.g: (r.q1, r.med, r.q3) for r in stats.quantiles(df, ["g"], "v", bucket_width=7).collect()}
+    single = {r.g: (r.q1, r.med, r.q3) for r in stats.quantiles(df, ["g"], "v", bucket_width=None).collect()}
+    assert bucketed == single
+    for g in ("a", None, "c", "single"):
+        vals = [v for k, v in rows if k == g]
+        assert bucketed[g] == pytest.approx(tuple(float(x) for x in np.percentile(vals, [25, 50, 75])), rel=1e-12)

@@ -21,10 +21,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velostat import constants as K
 
 _QUANTILE_NAMES = {0.25: "q1", 0.5: "med", 0.75: "q3"}
+# distinct integral values per window partition in the bucketed running count
+QUANTILE_BUCKET_WIDTH = 4096
 
 
 def _keys(keys: Sequence[str] | str | None) -> list[str]:
@@ -72,11 +75,14 @@ def quantiles(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     names: Sequence[str] | None = None,
     method: str = "counts",
+    bucket_width: int | None = QUANTILE_BUCKET_WIDTH,
 ) -> DataFrame:
     """Exact type-7 (linear interpolation) quantiles of ``value`` per group.
 
-    NULL values are ignored; a group with no non-NULL value gets NULLs.
-    ``method="counts"`` (default) plans value counts + a running count;
+    NULL values are ignored; a group with no non-NULL value has no row.
+    ``method="counts"`` (default) plans value counts + a running count; for
+    an integral ``value`` the running count is split into value buckets of
+    ``bucket_width`` (``None``: one running count per group).
     ``method="builtin"`` uses Spark's ``percentile`` aggregate.
     """
     keys = _keys(keys)
@@ -92,13 +98,17 @@ def quantiles(
     # JVM call per expression instead of one per node.
     q = _quote
     vq = q(value)
-    part = f"PARTITION BY {', '.join(q(k) for k in keys)}" if keys else ""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = counts.selectExpr(
-        *[q(k) for k in keys], vq, "__c",
-        f"sum(__c) OVER ({part} ORDER BY {vq} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __hi",
-        f"sum(__c) OVER ({part}) AS __n",
-    )
+    integral = isinstance(df.schema[value].dataType, T.IntegralType)
+    if integral and bucket_width:
+        ranked = _ranks_bucketed(counts, keys, value, bucket_width)
+    else:
+        part = f"PARTITION BY {', '.join(q(k) for k in keys)}" if keys else ""
+        ranked = counts.selectExpr(
+            *[q(k) for k in keys], vq, "__c",
+            f"sum(__c) OVER ({part} ORDER BY {vq} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __hi",
+            f"sum(__c) OVER ({part}) AS __n",
+        )
     # a distinct value covers the 0-based ranks [__hi - __c, __hi)
     aggs = [F.expr("max(__n)").alias("__n")]
     for i, p in enumerate(probs):
@@ -118,6 +128,34 @@ def quantiles(
     return picked.selectExpr(*[q(k) for k in keys], *cols)
 
 
+def _ranks_bucketed(counts: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
+    """Running counts over integral values without sorting a whole group in
+    one task.
+
+    Values fall into buckets ``[b·width, (b+1)·width)``.  Bucket totals (one
+    row per non-empty bucket) give each bucket its rank offset; the running
+    count then only runs *within* a bucket, so a window partition holds at
+    most ``width`` distinct values.  Groups are carried as one non-null
+    struct, so NULL group keys match in the join without special handling.
+    """
+    q = _quote
+    vq = q(value)
+    grp = f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {q(k)}' for k in keys)})" if keys else "0"
+    cb = counts.selectExpr(f"{grp} AS __g", vq, "__c", f"({vq} - pmod({vq}, {width}L)) div {width}L AS __bk")
+    offsets = cb.groupBy("__g", "__bk").agg(F.sum("__c").alias("__bc")).selectExpr(
+        "__g", "__bk",
+        "sum(__bc) OVER (PARTITION BY __g ORDER BY __bk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        " - __bc AS __off",
+        "sum(__bc) OVER (PARTITION BY __g) AS __n",
+    )
+    ranked = cb.join(offsets, ["__g", "__bk"]).selectExpr(
+        "__g", vq, "__c", "__n",
+        "__off + sum(__c) OVER (PARTITION BY __g, __bk ORDER BY " + vq
+        + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __hi",
+    )
+    return ranked.selectExpr(*[f"__g.{q(k)} AS {q(k)}" for k in keys], vq, "__c", "__hi", "__n")
+
+
 def iqr_summary(
     df: DataFrame,
     keys: Sequence[str] | str | None = ("user_type",),
