@@ -52,7 +52,7 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     if not materialize_enabled(spark):
         return df
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/velostat-{_RUN_TAG}-{id(spark):x}/{name}"
+    path = f"{root}/velostat-{_RUN_TAG}-{id(spark):x}/{name}-{uuid.uuid4().hex[:8]}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -60,6 +60,13 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.parquet(path)
 
 
+def reset_plans(spark: SparkSession) -> None:
+    """Forget the shared plans of ``spark``: the next use rebuilds (and
+    re-curates) every dataset into fresh folders."""
+    for key in [k for k in _PLANS if k[1] == id(spark)]:
+        del _PLANS[key]
+
+
 def shared_plan(fn):
     """Build a dataset's (lazy) DataFrame once per session, input folder and
     arguments, and hand the same plan to every query that uses it.
