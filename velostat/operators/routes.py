@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velostat import constants as K
-from velostat.operators.stats import count_share, histogram, join_group_table, quantiles
+from velostat.operators.stats import count_share, histogram, join_groups, quantiles
 
 
 def route_share(
@@ -36,7 +36,7 @@ def route_share_iqr(shares: DataFrame, keys: Sequence[str] = ("year", "user_type
     keys = list(keys)
     q = quantiles(shares, keys, "n", (0.25, 0.5, 0.75), ("q1", "med", "q3"), method=method)
     tot = shares.groupBy(*keys).agg(F.sum("n").alias("__t"), F.max("n").alias("__mx"))
-    j = join_group_table(q, tot, keys)
+    j = join_groups(q, tot, keys)
 
     def scaled(c):
         return F.col(c) / F.col("__t") * 100
@@ -88,7 +88,8 @@ def route_ranked(summary: DataFrame, keys: Sequence[str] = ("user_type",)) -> Da
 
 
 def top_routes(ranked: DataFrame, k: int = K.TOP_ROUTES) -> DataFrame:
-    """Top-``k`` routes per group (planned as a window group limit)."""
+    """Top-``k`` routes per group (rank filter after the ranking window; the
+    totals need every route of the group, so no early group limit)."""
     return ranked.where(F.col("route_rank") <= k)
 
 

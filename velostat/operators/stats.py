@@ -11,8 +11,8 @@ Scale notes
   ``percentile`` (``method="builtin"``) is also exact but merges every
   partial value map of a group in one final task.
 * Bounds/statistics tables are one row per group of low-cardinality keys
-  (year, user type, age bin, peak flag); they are joined back to the trips
-  with a broadcast hash join whose build side is that bounded table.
+  (year, user type, age bin, peak flag).  They are checkpointed, counted,
+  and broadcast only when the count is under ``BROADCAST_MAX_ROWS``.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velostat import constants as K
+from velostat.session import ensure_checkpoint_dir
 
 _QUANTILE_NAMES = {0.25: "q1", 0.5: "med", 0.75: "q3"}
 # distinct integral values per window partition in the bucketed running count
 QUANTILE_BUCKET_WIDTH = 4096
+# largest per-group table (rows) that is broadcast to the row-level side
+BROADCAST_MAX_ROWS = 100_000
 
 
 def _keys(keys: Sequence[str] | str | None) -> list[str]:
@@ -49,24 +52,38 @@ def null_safe_join_cond(left: DataFrame, right: DataFrame, pairs: Sequence[tuple
 
 
 def join_group_table(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], broadcast: bool = True
+    df: DataFrame, table: DataFrame, keys: Sequence[str], max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Left-join a per-group table onto rows by ``keys``, NULL matching NULL.
 
-    ``table`` must be one row per group of ``keys`` (an aggregate over
-    low-cardinality keys), which bounds the broadcast side by the number of
-    groups, not by the data.
+    The group table is computed once and written to the session's checkpoint
+    folder (``checkpoint()``: lineage cut, survives a lost executor); its
+    row count is then read, and only a table of at most
+    ``max_broadcast_rows`` rows (default ``BROADCAST_MAX_ROWS``) is
+    broadcast.  A larger table is joined without a hint, i.e. shuffled.
     """
     keys = _keys(keys)
     if not keys:
         raise ValueError("join_group_table needs at least one key")
+    limit = BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
     ren = {k: f"__g_{k}" for k in keys}
-    t = table.withColumnsRenamed(ren)
-    t = F.broadcast(t) if broadcast else t
+    ensure_checkpoint_dir(table.sparkSession)
+    t = table.withColumnsRenamed(ren).checkpoint(eager=True)
+    if t.count() <= limit:
+        t = F.broadcast(t)
     cond = null_safe_join_cond(df, t, [(k, ren[k]) for k in keys])
     return df.join(t, cond, "left").drop(*ren.values())
 
 
+def join_groups(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left-join two per-group tables (both one row per group) on ``keys``,
+    NULL matching NULL.  Both sides are aggregates, so no hint is given."""
+    keys = _keys(keys)
+    ren = {k: f"__j_{k}" for k in keys}
+    bb = b.withColumnsRenamed(ren)
+    return a.join(bb, null_safe_join_cond(a, bb, [(k, ren[k]) for k in keys]), "left").drop(*ren.values())
+
+
 # ---------------------------------------------------------------- quantiles
 def quantiles(
     df: DataFrame,
@@ -226,14 +243,17 @@ def iqr_with_outlier_pct(
     method: str = "counts",
 ) -> DataFrame:
     """IQR summary plus the percentage of the group's rows outside its own
-    fences — a two-phase plan (fences, then a broadcast join and a count)."""
+    fences — two phases: the fences, then one pass over the rows joined to
+    them (the fence columns ride along through that aggregate)."""
     keys = _keys(keys)
     bounds = iqr_summary(df, keys, value, k, method=method)
-    flagged = flag_outliers(df.select(*keys, value), keys, value, k, bounds=bounds)
-    pct = flagged.groupBy(*keys).agg(
-        (F.avg(F.col("is_outlier").cast("double")) * 100).alias("outlier_pct")
+    stat_cols = ["q1", "med", "q3", "iqr", "lower", "upper"]
+    v = F.col(value)
+    joined = join_group_table(df.select(*keys, value), bounds, keys)
+    outside = ((v < F.col("lower")) | (v > F.col("upper"))).cast("double")
+    return joined.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in stat_cols], (F.avg(outside) * 100).alias("outlier_pct")
     )
-    return join_group_table(bounds, pct, keys)
 
 
 # ------------------------------------------------------------------- shares

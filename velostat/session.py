@@ -34,7 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     only when none is set (local tests) a fresh scratch folder is used."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
     path = tempfile.mkdtemp(prefix="velostat-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
