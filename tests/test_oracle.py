@@ -32,3 +32,21 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["year", "user_type", "total", "outliers", "pct"]
     assert df.count() > 0
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, duck):
+    from velostat.plans import datasets as D
+
+    names = ["entire_data", "trips_by_hour_weekday", "hour_threshold", "long_rentals", "bi_prepared_trips"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
+        D.reset_plans(spark)
+        for name in names:
+            got = E.queries()[name](spark, SF_SMALL).toPandas()
+            want = duck.execute(E.oracle_sql()[name]).df()
+            cols = sorted(got.columns)
+            assert _rows(got, cols, 12) == _rows(want, cols, 12), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+        D.reset_plans(spark)
