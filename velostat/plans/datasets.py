@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,7 +57,11 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    try:
+        writer.parquet(path)
+    except Exception as exc:  # noqa: BLE001 - e.g. a read-only checkpoint folder
+        warnings.warn(f"could not write {path} ({type(exc).__name__}); using the lazy plan", stacklevel=2)
+        return df
     return spark.read.parquet(path)
 
 
