@@ -192,3 +192,15 @@ def test_bucketed_quantiles_match_numpy_with_many_buckets(spark):
     for g in ("a", None, "c", "single"):
         vals = [v for k, v in rows if k == g]
         assert bucketed[g] == pytest.approx(tuple(float(x) for x in np.percentile(vals, [25, 50, 75])), rel=1e-12)
+
+
+def test_approx_quantiles_stay_within_rank_error(spark):
+    rng = np.random.default_rng(3)
+    vals = rng.integers(0, 100_000, size=5000)
+    df = spark.createDataFrame([("g", int(v)) for v in vals], "g string, v bigint")
+    got = stats.quantiles(df, ["g"], "v", method="approx").collect()[0]
+    srt = np.sort(vals)
+    n = len(vals)
+    for p, q in ((0.25, got.q1), (0.5, got.med), (0.75, got.q3)):
+        rank = np.searchsorted(srt, q, side="left")
+        assert abs(rank - p * (n - 1)) <= n / stats.APPROX_ACCURACY + 1

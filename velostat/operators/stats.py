@@ -30,6 +30,8 @@ from velostat.session import ensure_checkpoint_dir
 _QUANTILE_NAMES = {0.25: "q1", 0.5: "med", 0.75: "q3"}
 # distinct integral values per window partition in the bucketed running count
 QUANTILE_BUCKET_WIDTH = 4096
+# accuracy of the approximate quantile sketch (rank error <= n / accuracy)
+APPROX_ACCURACY = 10_000
 # largest per-group table (rows) that is broadcast to the row-level side
 BROADCAST_MAX_ROWS = 100_000
 
@@ -106,7 +108,9 @@ def quantiles(
     ``method="counts"`` (default) plans value counts + a running count; for
     an integral ``value`` the running count is split into value buckets of
     ``bucket_width`` (``None``: one running count per group).
-    ``method="builtin"`` uses Spark's ``percentile`` aggregate.
+    ``method="builtin"`` uses Spark's ``percentile`` aggregate;
+    ``method="approx"`` a bounded-memory sketch (``percentile_approx``) whose
+    results are data values within a rank error of ``n / APPROX_ACCURACY``.
     """
     keys = _keys(keys)
     names = list(names) if names else [_QUANTILE_NAMES.get(p, f"p{int(p * 100)}") for p in probs]
@@ -114,6 +118,12 @@ def quantiles(
         arr = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
         out = df.groupBy(*keys).agg(arr.alias("__q"))
         return out.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    if method == "approx":
+        # Greenwald-Khanna sketch per group: a returned value's rank is within
+        # n / APPROX_ACCURACY of the exact rank (not interpolated).
+        arr = F.percentile_approx(F.col(value), [float(p) for p in probs], APPROX_ACCURACY)
+        out = df.groupBy(*keys).agg(arr.alias("__q"))
+        return out.select(*keys, *[F.col("__q")[i].cast("double").alias(n) for i, n in enumerate(names)])
     if method != "counts":
         raise ValueError(f"unknown quantile method {method!r}")
 
