@@ -30,14 +30,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names in ``spark.checkpoint.dir``;
-    only when none is set (local tests) a fresh scratch folder is used."""
+    """The folder for checkpoints and curated tables.
+
+    This is the shared folder the cluster names in ``spark.checkpoint.dir``.
+    Failing that, it is the one the user set with
+    ``SparkContext.setCheckpointDir``.  Only when neither exists (local runs,
+    tests) is a fresh scratch folder created and set on the context.
+    """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
+        if current is None:
+            sc.setCheckpointDir(configured)
         return configured
+    if current:
+        return current
     path = tempfile.mkdtemp(prefix="velostat-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
