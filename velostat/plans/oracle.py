@@ -468,3 +468,30 @@ FROM rsh GROUP BY year, user_type""", _ROUTE_SHARE),
                                "cum_trips / group_trips AS cum_trip_pct FROM rk", _RANKED),
     "export_trip_demo": sql("SELECT trip_id, user_type, age_group, age_rank, duration_sec, duration_log10 FROM demo"),
 }
+
+
+def _bigint_count_if(text: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``: DuckDB returns
+    HUGEINT for it, Spark BIGINT."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = text.find(token, i)
+        if j < 0:
+            out.append(text[i:])
+            return "".join(out)
+        depth, k = 0, j + len(token) - 1
+        while True:
+            if text[k] == "(":
+                depth += 1
+            elif text[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(text[i:j])
+        out.append("CAST(" + _bigint_count_if(text[j:k + 1].replace(token, "\0", 1)).replace("\0", token, 1)
+                   + " AS BIGINT)")
+        i = k + 1
+
+
+ORACLE_SQL = {name: _bigint_count_if(text) for name, text in ORACLE_SQL.items()}
