@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
-from oracle_check import _rows  # noqa: E402
+from oracle_check import _rows, type_mismatches  # noqa: E402
 
 NAMES = sorted(E.queries())
 
@@ -20,8 +20,11 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    got = E.queries()[name](spark, SF_SMALL).toPandas()
-    want = duck.execute(E.oracle_sql()[name]).df()
+    sdf = E.queries()[name](spark, SF_SMALL)
+    got = sdf.toPandas()
+    rel = duck.sql(E.oracle_sql()[name])
+    assert type_mismatches(sdf, {c: str(t) for c, t in zip(rel.columns, rel.types)}) == []
+    want = rel.df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert len(got) == len(want)
