@@ -52,11 +52,16 @@ def hour_threshold(df: DataFrame, by: Sequence[str] = ("year",)) -> DataFrame:
 
 
 def peak_hours_detected(
-    threshold: DataFrame, cutoff_pct: float = K.PEAK_CUTOFF_PCT
+    threshold: DataFrame, cutoff_pct: float = K.PEAK_CUTOFF_PCT, flat_delta_pct: float = K.ADJACENT_DELTA_PCT,
 ) -> DataFrame:
     """Data-driven peak hours: hours whose count is at least ``cutoff_pct``
-    percent of the busiest hour (on the rounded ``pct_to_max``)."""
-    return threshold.where(F.col("pct_to_max") >= F.lit(cutoff_pct))
+    percent of the busiest hour (on the rounded ``pct_to_max``).
+
+    ``flat_step`` marks hours whose drop from the hour ranked above is below
+    ``flat_delta_pct`` percent — where the ranked curve flattens, the break
+    point used to choose the cut-off."""
+    return threshold.where(F.col("pct_to_max") >= F.lit(cutoff_pct)).withColumn(
+        "flat_step", F.col("delta_to_above") < F.lit(flat_delta_pct))
 
 
 def peak_share(df: DataFrame, keys: Sequence[str] = ("year", "user_type")) -> DataFrame:

@@ -383,12 +383,13 @@ def route_share_iqr(spark, sf):
 
 @query
 def route_share_histogram(spark, sf):
-    """50 bins per (year, user type); rows with ``year`` NULL bin both years' routes stacked."""
+    """50 bins per (year, user type); rows with ``year`` NULL bin both years' routes stacked.
+
+    The stacked copy is the same share rows with ``year`` set to NULL, so one
+    histogram pass (NULL is its own group) serves both views."""
     shares = _route_share(spark, sf)
-    per_year = routes.route_share_histogram(shares, YEAR_USER)
-    stacked = routes.route_share_histogram(shares.drop("year"), ["user_type"]).withColumn(
-        "year", F.lit(None).cast("int"))
-    return per_year.unionByName(stacked)
+    both = shares.unionByName(shares.withColumn("year", F.lit(None).cast("int")))
+    return routes.route_share_histogram(both, YEAR_USER)
 
 
 def _ranked(spark, sf):

@@ -378,7 +378,9 @@ ORACLE_SQL: dict[str, str] = {
                                  "FROM trips GROUP BY ALL"),
     "trips_by_hour_user": sql("SELECT year, user_type, start_hour, count(*) AS n FROM trips GROUP BY ALL"),
     "hour_threshold": sql("SELECT * FROM thr", _HOURS),
-    "peak_hours_detected": sql(f"SELECT * FROM thr WHERE pct_to_max >= CAST({K.PEAK_CUTOFF_PCT} AS DOUBLE)", _HOURS),
+    "peak_hours_detected": sql(
+        f"SELECT *, delta_to_above < CAST({K.ADJACENT_DELTA_PCT} AS DOUBLE) AS flat_step FROM thr "
+        f"WHERE pct_to_max >= CAST({K.PEAK_CUTOFF_PCT} AS DOUBLE)", _HOURS),
     "peak_share": sql(_PEAK_SHARE.format(src="trips")),
     "peak_share_trimmed": sql(
         _PEAK_SHARE.format(src="kept"),
