@@ -67,14 +67,15 @@ def test_quality_report_scans_each_source_once(spark):
     assert len(scans) == 2  # curated legacy table + events
 
 
-def test_route_window_runs_on_route_counts_not_trips(spark):
-    # the per-user-type window sits above the (user_type, route_id) aggregate,
-    # so its partitions hold one row per route; the aggregate itself is spread
-    # over (user_type, route_id), never over the few user types alone
+def test_route_ranking_is_split_below_the_user_type(spark):
+    # the per-route row number is partitioned by (group, count, id prefix);
+    # only the small table of bucket sizes is windowed by group alone
     p = plan_of(E.queries()["top10_routes"](spark, SF_SMALL))
-    window_at = p.index("Window [")
-    assert p.index("HashAggregate(keys=[user_type", window_at) > window_at
-    assert "hashpartitioning(user_type#" in p and ", route_id#" in p.split("HashAggregate")[1]
+    assert "row_number() windowspecdefinition(__g#" in p
+    rn = p.split("row_number() windowspecdefinition(")[1].split(",")[:3]
+    assert rn[0].startswith("__g#") and rn[1].strip().startswith("trip_count#") and rn[2].strip().startswith("__p#")
+    # the route counts are aggregated over (user_type, route_id) before any window
+    assert "HashAggregate(keys=[user_type#" in p
 
 
 def test_longest_trips_is_take_ordered(spark):

@@ -1,8 +1,8 @@
 """Route concentration: per-route shares, their spread, ranking and KPIs.
 
-Everything here runs on route counts (one row per user type × route), so the
-windows partitioned by user type hold one row per route — bounded by the
-square of the station count — never one row per trip.
+Everything here runs on route counts (one row per user type × route), never
+on trips.  The ranking is split into (count, id-prefix) buckets so that a
+user type holding most routes is still ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -62,24 +62,42 @@ def route_summary(df: DataFrame, keys: Sequence[str] = ("user_type",)) -> DataFr
     return df.groupBy(*keys, "route_id").agg(F.count(F.lit(1)).alias("trip_count"))
 
 
-def route_ranked(summary: DataFrame, keys: Sequence[str] = ("user_type",)) -> DataFrame:
+def route_ranked(summary: DataFrame, keys: Sequence[str] = ("user_type",), prefix_len: int = 2) -> DataFrame:
     """Rank routes by trip count (ties: route id ascending) within each group,
     with ``trip_pct`` and the cumulative share ``cum_trip_pct``.
 
-    The running total is summed on integer counts over an explicit ROWS
-    frame and divided once, so ``cum_trip_pct`` reaches exactly 1.
+    Ranking is split so that no task holds a whole group: routes fall into
+    buckets of equal trip count and equal ``prefix_len``-character route-id
+    prefix (prefix order agrees with full-id order, so buckets are ordered).
+    A small table of bucket sizes gives each bucket the number of routes and
+    trips ranked before it; the row number then runs inside a bucket only.
+    Every route in a bucket has the same count, so the running trip total is
+    ``trips before + local rank × count``.  Counts are summed as integers
+    and divided once, so ``cum_trip_pct`` reaches exactly 1.
     """
     keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy(F.col("trip_count").desc(), F.col("route_id").asc())
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    out = summary.select(
-        *keys, "route_id", "trip_count",
-        F.row_number().over(order).alias("route_rank"),
-        F.sum("trip_count").over(whole).alias("group_trips"),
-        F.sum("trip_count").over(running).alias("cum_trips"),
+    grp = F.struct(*keys) if keys else F.lit(0)
+    s = summary.select(
+        *keys, "route_id", "trip_count", grp.alias("__g"),
+        F.coalesce(F.substring("route_id", 1, prefix_len), F.lit("")).alias("__p"),
     )
-    return out.select(
+    bucket = ["__g", "trip_count", "__p"]
+    sizes = s.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__nr"), F.sum("trip_count").alias("__nt"))
+    order = Window.partitionBy("__g").orderBy(F.col("trip_count").desc(), F.col("__p").asc())
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sizes.select(
+        *bucket,
+        (F.sum("__nr").over(before) - F.col("__nr")).alias("__routes_before"),
+        (F.sum("__nt").over(before) - F.col("__nt")).alias("__trips_before"),
+        F.sum("__nt").over(Window.partitionBy("__g")).alias("group_trips"),
+    )
+    local = F.row_number().over(Window.partitionBy(*bucket).orderBy(F.col("route_id").asc()))
+    ranked = s.join(offsets, bucket).select(
+        *keys, "route_id", "trip_count", "group_trips",
+        (F.col("__routes_before") + local).cast("int").alias("route_rank"),
+        (F.col("__trips_before") + local * F.col("trip_count")).alias("cum_trips"),
+    )
+    return ranked.select(
         *keys, "route_id", "trip_count", "route_rank",
         (F.col("trip_count") / F.col("group_trips")).alias("trip_pct"),
         (F.col("cum_trips") / F.col("group_trips")).alias("cum_trip_pct"),
