@@ -24,7 +24,7 @@ def route_share(
     keys = list(keys)
     if user_types is not None:
         df = df.where(F.col("user_type").isin(*user_types))
-    return count_share(df, keys + ["route_id"], keys, scale=100.0, name="pct")
+    return count_share(df, keys + ["route_id"], keys, scale=100.0, name="pct", totals="join")
 
 
 def route_share_iqr(shares: DataFrame, keys: Sequence[str] = ("year", "user_type"), method: str = "counts") -> DataFrame:

@@ -293,11 +293,24 @@ def share_within(
 
 def count_share(
     df: DataFrame, count_keys: Sequence[str], within: Sequence[str] | str | None,
-    scale: float = 1.0, name: str = "pct",
+    scale: float = 1.0, name: str = "pct", totals: str = "window",
 ) -> DataFrame:
-    """``groupBy(count_keys).count()`` as ``n`` plus its share within ``within``."""
+    """``groupBy(count_keys).count()`` as ``n`` plus its share within ``within``.
+
+    ``totals="window"`` divides by a window sum (fine when a group has a few
+    counted keys); ``totals="join"`` aggregates the group totals separately
+    and attaches them with :func:`join_group_table`, so a group with very
+    many keys (routes) is never gathered into one task.
+    """
     counts = df.groupBy(*count_keys).agg(F.count(F.lit(1)).alias("n"))
-    return share_within(counts, within, "n", scale, name)
+    within = _keys(within)
+    if totals == "window" or not within:
+        return share_within(counts, within, "n", scale, name)
+    tot = counts.groupBy(*within).agg(F.sum("n").alias("__total"))
+    share = F.try_divide(F.col("n").cast("double"), F.col("__total").cast("double"))
+    if scale != 1.0:
+        share = share * F.lit(scale)
+    return join_group_table(counts, tot, within).select(*counts.columns, share.alias(name))
 
 
 # --------------------------------------------------------------- densify
