@@ -17,7 +17,6 @@ Scale notes
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velostat import constants as K
-from velostat.session import ensure_checkpoint_dir
+from velostat.session import save_and_reload
 
 _QUANTILE_NAMES = {0.25: "q1", 0.5: "med", 0.75: "q3"}
 # distinct integral values per window partition in the bucketed running count
@@ -60,8 +59,8 @@ def join_group_table(
     """Left-join a per-group table onto rows by ``keys``, NULL matching NULL.
 
     The group table is computed once and written to the session's checkpoint
-    folder (``checkpoint()``: lineage cut, survives a lost executor); its
-    row count is then read, and only a table of at most
+    folder (lineage cut, survives a lost executor); its row count is then
+    read back, and only a table of at most
     ``max_broadcast_rows`` rows (default ``BROADCAST_MAX_ROWS``) is
     broadcast.  A larger table is joined without a hint, i.e. shuffled.
     """
@@ -70,13 +69,7 @@ def join_group_table(
         raise ValueError("join_group_table needs at least one key")
     limit = BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
     ren = {k: f"__g_{k}" for k in keys}
-    t = table.withColumnsRenamed(ren)
-    try:
-        ensure_checkpoint_dir(table.sparkSession)
-        t = t.checkpoint(eager=True)
-    except Exception as exc:  # noqa: BLE001 - no writable checkpoint folder: count the plan itself
-        warnings.warn(f"checkpoint failed ({type(exc).__name__}); counting the group table instead",
-                      stacklevel=2)
+    t = save_and_reload(table.withColumnsRenamed(ren), "group_table")
     if t.count() <= limit:
         t = F.broadcast(t)
     cond = null_safe_join_cond(df, t, [(k, ren[k]) for k in keys])

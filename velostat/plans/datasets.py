@@ -8,8 +8,6 @@ on ``(year, …)`` over this one DataFrame instead of a loop over tables.
 from __future__ import annotations
 
 import functools
-import uuid
-import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +25,11 @@ from velostat.operators.normalize import (
     union_common,
     with_year,
 )
-from velostat.session import ensure_checkpoint_dir
+from velostat.session import save_and_reload
 from velostat.sources.fixtures import SPREAD_CONF, legacy_source, modern_source
 
 MATERIALIZE_CONF = "velostat.materialize"
 _PLANS: dict[tuple, DataFrame] = {}
-_RUN_TAG = uuid.uuid4().hex[:12]
 
 
 def materialize_enabled(spark: SparkSession) -> bool:
@@ -43,26 +40,15 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """Write ``df`` once as parquet under the session's checkpoint folder and
     return a scan of it (no-op when ``velostat.materialize`` is ``false``).
 
-    The folder is the shared one named by ``spark.checkpoint.dir`` (set to a
-    scratch folder only when unset, i.e. in local runs).  Writing cuts the
-    lineage — a lost executor costs a re-read, not a re-join — and later
+    The folder is the shared one named by ``spark.checkpoint.dir`` (a scratch
+    folder only when none is configured, i.e. in local runs).  Writing cuts
+    the lineage — a lost executor costs a re-read, not a re-join — and later
     queries get a columnar scan with column pruning, filter pushdown and,
     with ``partition_by``, partition pruning.
     """
-    spark = df.sparkSession
-    if not materialize_enabled(spark):
+    if not materialize_enabled(df.sparkSession):
         return df
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/velostat-{_RUN_TAG}-{id(spark):x}/{name}-{uuid.uuid4().hex[:8]}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    try:
-        writer.parquet(path)
-    except Exception as exc:  # noqa: BLE001 - e.g. a read-only checkpoint folder
-        warnings.warn(f"could not write {path} ({type(exc).__name__}); using the lazy plan", stacklevel=2)
-        return df
-    return spark.read.parquet(path)
+    return save_and_reload(df, name, partition_by)
 
 
 def reset_plans(spark: SparkSession) -> None:

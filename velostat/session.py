@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +51,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="velostat-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+_RUN_TAG = uuid.uuid4().hex[:12]
+
+
+def save_and_reload(df, name: str, partition_by: tuple[str, ...] = (), keep_schema: bool = True):
+    """Write ``df`` once as parquet under the checkpoint folder and return a
+    scan of it: one job computes it, lineage is cut, and a lost executor
+    costs a re-read.  Falls back to ``df`` itself (with a warning) when the
+    folder cannot be written.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/velostat-{_RUN_TAG}-{id(spark):x}/{name}-{uuid.uuid4().hex[:8]}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    try:
+        writer.parquet(path)
+    except Exception as exc:  # noqa: BLE001 - e.g. a read-only checkpoint folder
+        warnings.warn(f"could not write {path} ({type(exc).__name__}); using the lazy plan", stacklevel=2)
+        return df
+    reader = spark.read.schema(df.schema) if keep_schema and not partition_by else spark.read
+    return reader.parquet(path)
