@@ -5,14 +5,16 @@ Scale notes
 -----------
 * Exact quantiles default to a *value-count* plan: ``groupBy(keys, value)``
   counts (map-side combined, spread over all reducers by ``(keys, value)``),
-  then a running count per group ordered by value.  The per-group sort holds
-  one row per *distinct* value, not per trip, so a group holding a third of
-  all rows costs no more than its distinct durations.  The built-in
-  ``percentile`` (``method="builtin"``) is also exact but merges every
-  partial value map of a group in one final task.
+  then a running count ordered by value.  For integral values the running
+  count is split into value buckets whose rank offsets come from a small
+  table of bucket totals, so no window partition holds more than
+  ``QUANTILE_BUCKET_WIDTH`` distinct values, however large or skewed a group
+  is.  The built-in ``percentile`` (``method="builtin"``) is also exact but
+  merges every partial value map of a group in one final task.
 * Bounds/statistics tables are one row per group of low-cardinality keys
-  (year, user type, age bin, peak flag).  They are checkpointed, counted,
-  and broadcast only when the count is under ``BROADCAST_MAX_ROWS``.
+  (year, user type, age bin, peak flag).  They are written once to the
+  checkpoint folder, counted, and broadcast only when the count is at most
+  ``BROADCAST_MAX_ROWS``.
 """
 
 from __future__ import annotations
@@ -60,9 +62,9 @@ def join_group_table(
 
     The group table is computed once and written to the session's checkpoint
     folder (lineage cut, survives a lost executor); its row count is then
-    read back, and only a table of at most
-    ``max_broadcast_rows`` rows (default ``BROADCAST_MAX_ROWS``) is
-    broadcast.  A larger table is joined without a hint, i.e. shuffled.
+    read back, and only a table of at most ``max_broadcast_rows`` rows
+    (default ``BROADCAST_MAX_ROWS``) is broadcast.  A larger table is joined
+    without a hint, i.e. shuffled.
     """
     keys = _keys(keys)
     if not keys:
