@@ -204,3 +204,24 @@ def test_approx_quantiles_stay_within_rank_error(spark):
     for p, q in ((0.25, got.q1), (0.5, got.med), (0.75, got.q3)):
         rank = np.searchsorted(srt, q, side="left")
         assert abs(rank - p * (n - 1)) <= n / stats.APPROX_ACCURACY + 1
+
+
+@pytest.mark.parametrize("prefix_len", [1, 2, 3])
+def test_split_route_ranking_matches_a_plain_sort(spark, prefix_len):
+    rng = np.random.default_rng(prefix_len)
+    rows = []
+    for user in ("member", "casual", None):
+        ids = {f"{rng.integers(1, 120)}_{rng.integers(1, 120)}" for _ in range(400)}
+        for rid in sorted(ids):
+            rows.append((user, rid, int(rng.choice([1, 1, 1, 2, 2, 3, 5, 40]))))
+    summary = spark.createDataFrame(rows, "user_type string, route_id string, trip_count bigint")
+    got = {(r.user_type, r.route_id): (r.route_rank, r.cum_trips, r.group_trips)
+           for r in routes.route_ranked(summary, prefix_len=prefix_len).collect()}
+    want = {}
+    for user in ("member", "casual", None):
+        grp = sorted([(c, rid) for u, rid, c in rows if u == user], key=lambda t: (-t[0], t[1]))
+        total, cum = sum(c for c, _ in grp), 0
+        for rank, (c, rid) in enumerate(grp, start=1):
+            cum += c
+            want[(user, rid)] = (rank, cum, total)
+    assert got == want
