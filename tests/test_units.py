@@ -225,3 +225,18 @@ def test_split_route_ranking_matches_a_plain_sort(spark, prefix_len):
             cum += c
             want[(user, rid)] = (rank, cum, total)
     assert got == want
+
+
+def test_range_bucketed_quantiles_for_doubles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x)) for g in ("a", None) for x in rng.lognormal(3, 2, size=300)]
+    rows += [("const", 2.5), ("const", 2.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    bucketed = {r.g: (r.q1, r.med, r.q3) for r in stats.quantiles(df, ["g"], "v").collect()}
+    single = {r.g: (r.q1, r.med, r.q3) for r in stats.quantiles(df, ["g"], "v", bucket_width=None).collect()}
+    builtin = {r.g: (r.q1, r.med, r.q3) for r in stats.quantiles(df, ["g"], "v", method="builtin").collect()}
+    assert bucketed == single
+    for g in ("a", None, "const"):
+        vals = [v for k, v in rows if k == g]
+        want = tuple(float(x) for x in np.percentile(vals, [25, 50, 75]))
+        assert bucketed[g] == pytest.approx(want, rel=1e-12) and builtin[g] == pytest.approx(want, rel=1e-12)

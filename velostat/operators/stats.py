@@ -31,6 +31,8 @@ from velostat.session import save_and_reload
 _QUANTILE_NAMES = {0.25: "q1", 0.5: "med", 0.75: "q3"}
 # distinct integral values per window partition in the bucketed running count
 QUANTILE_BUCKET_WIDTH = 4096
+# slices of a group's value range for non-integral values in the bucketed running count
+RANGE_BUCKETS = 65536
 # accuracy of the approximate quantile sketch (rank error <= n / accuracy)
 APPROX_ACCURACY = 10_000
 # largest per-group table (rows) that is broadcast to the row-level side
@@ -100,9 +102,10 @@ def quantiles(
     """Exact type-7 (linear interpolation) quantiles of ``value`` per group.
 
     NULL values are ignored; a group with no non-NULL value has no row.
-    ``method="counts"`` (default) plans value counts + a running count; for
-    an integral ``value`` the running count is split into value buckets of
-    ``bucket_width`` (``None``: one running count per group).
+    ``method="counts"`` (default) plans value counts + a running count split
+    into value buckets: ``bucket_width`` wide for an integral ``value``,
+    ``RANGE_BUCKETS`` slices of the group's range otherwise (``bucket_width=
+    None``: one running count per group).
     ``method="builtin"`` uses Spark's ``percentile`` aggregate;
     ``method="approx"`` a bounded-memory sketch (``percentile_approx``) whose
     results are data values within a rank error of ``n / APPROX_ACCURACY``.
@@ -130,6 +133,8 @@ def quantiles(
     integral = isinstance(df.schema[value].dataType, T.IntegralType)
     if integral and bucket_width:
         ranked = _ranks_bucketed(counts, keys, value, bucket_width)
+    elif bucket_width:
+        ranked = _ranks_bucketed(counts, keys, value, None)
     else:
         part = f"PARTITION BY {', '.join(q(k) for k in keys)}" if keys else ""
         ranked = counts.selectExpr(
@@ -156,20 +161,31 @@ def quantiles(
     return picked.selectExpr(*[q(k) for k in keys], *cols)
 
 
-def _ranks_bucketed(counts: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
-    """Running counts over integral values without sorting a whole group in
-    one task.
+def _ranks_bucketed(counts: DataFrame, keys: list[str], value: str, width: int | None) -> DataFrame:
+    """Running counts without sorting a whole group in one task.
 
-    Values fall into buckets ``[b·width, (b+1)·width)``.  Bucket totals (one
-    row per non-empty bucket) give each bucket its rank offset; the running
-    count then only runs *within* a bucket, so a window partition holds at
-    most ``width`` distinct values.  Groups are carried as one non-null
-    struct, so NULL group keys match in the join without special handling.
+    Values fall into ordered buckets: ``[b·width, (b+1)·width)`` for integral
+    values, or for other values ``RANGE_BUCKETS`` equal slices of the group's
+    own [min, max] (taken from a small per-group table; the slice index is
+    monotone in the value).  Bucket totals (one row per non-empty bucket)
+    give each bucket its rank offset; the running count then only runs
+    *within* a bucket.  Groups are carried as one non-null struct, so NULL
+    group keys match in the join without special handling.
     """
     q = _quote
     vq = q(value)
     grp = f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {q(k)}' for k in keys)})" if keys else "0"
-    cb = counts.selectExpr(f"{grp} AS __g", vq, "__c", f"({vq} - pmod({vq}, {width}L)) div {width}L AS __bk")
+    if width is not None:
+        cb = counts.selectExpr(f"{grp} AS __g", vq, "__c", f"({vq} - pmod({vq}, {width}L)) div {width}L AS __bk")
+    else:
+        base = counts.selectExpr(f"{grp} AS __g", vq, "__c")
+        rng = base.groupBy("__g").agg(F.min(value).alias("__mn"), F.max(value).alias("__mx"))
+        nb = RANGE_BUCKETS
+        cb = join_group_table(base, rng, ["__g"]).selectExpr(
+            "__g", vq, "__c",
+            f"CASE WHEN __mx = __mn THEN 0L ELSE least(CAST(floor((CAST({vq} AS DOUBLE) - __mn) / "
+            f"(CAST(__mx AS DOUBLE) - __mn) * {nb}) AS BIGINT), {nb - 1}L) END AS __bk",
+        )
     offsets = cb.groupBy("__g", "__bk").agg(F.sum("__c").alias("__bc")).selectExpr(
         "__g", "__bk",
         "sum(__bc) OVER (PARTITION BY __g ORDER BY __bk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
