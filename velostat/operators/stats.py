@@ -186,6 +186,10 @@ def _ranks_bucketed(counts: DataFrame, keys: list[str], value: str, width: int |
             f"CASE WHEN __mx = __mn THEN 0L ELSE least(CAST(floor((CAST({vq} AS DOUBLE) - __mn) / "
             f"(CAST(__mx AS DOUBLE) - __mn) * {nb}) AS BIGINT), {nb - 1}L) END AS __bk",
         )
+    # the join below would infer this filter for one of cb's two uses only;
+    # stating it for both keeps the two plans identical, so the counts
+    # shuffle is computed once and reused
+    cb = cb.where(F.col("__bk").isNotNull())
     offsets = cb.groupBy("__g", "__bk").agg(F.sum("__c").alias("__bc")).selectExpr(
         "__g", "__bk",
         "sum(__bc) OVER (PARTITION BY __g ORDER BY __bk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
