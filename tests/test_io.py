@@ -77,3 +77,18 @@ def test_bi_export_registry_writes_every_table(spark):
     assert len(paths) == len(tables) == 15
     n = spark.read.option("header", True).csv(f"{out}/pct_vld_2019").count()
     assert n == tables["pct_vld_2019"]().count()
+
+
+def test_streaming_modern_shape_keeps_valid_trips_only(spark):
+    from velostat.operators.normalize import normalize_modern
+
+    folder = tempfile.mkdtemp(prefix="vs-stream-modern-")
+    D.modern_raw(spark, SF_SMALL).write.mode("overwrite").option("header", True).option(
+        "nullValue", "NA").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(folder)
+    out = tempfile.mkdtemp(prefix="vs-stream-modern-out-")
+    ckpt = tempfile.mkdtemp(prefix="vs-stream-modern-ckpt-")
+    q = append_trips(trip_stream(spark, folder, "modern"), out, ckpt)
+    q.awaitTermination(300)
+    got = spark.read.parquet(out)
+    assert {r.year for r in got.select("year").distinct().collect()} == {2020}
+    assert got.count() == normalize_modern(D.modern_raw(spark, SF_SMALL)).count()
