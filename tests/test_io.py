@@ -92,3 +92,19 @@ def test_streaming_modern_shape_keeps_valid_trips_only(spark):
     got = spark.read.parquet(out)
     assert {r.year for r in got.select("year").distinct().collect()} == {2020}
     assert got.count() == normalize_modern(D.modern_raw(spark, SF_SMALL)).count()
+
+
+def test_drop_session_tables_removes_only_this_sessions_folder(spark):
+    import os
+
+    from velostat.session import session_folder
+
+    D.trips(spark, SF_SMALL).count()
+    folder = session_folder(spark).replace("file:", "")
+    assert os.path.isdir(folder)
+    root = os.path.dirname(folder)
+    others = sorted(set(os.listdir(root)) - {os.path.basename(folder)})
+    assert D.drop_session_tables(spark)
+    assert not os.path.exists(folder)
+    assert sorted(set(os.listdir(root)) - {os.path.basename(folder)}) == others
+    assert D.trips(spark, SF_SMALL).count() > 0  # rebuilt on next use

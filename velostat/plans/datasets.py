@@ -25,7 +25,7 @@ from velostat.operators.normalize import (
     union_common,
     with_year,
 )
-from velostat.session import save_and_reload
+from velostat.session import delete_session_folder, save_and_reload
 from velostat.sources.fixtures import SPREAD_CONF, legacy_source, modern_source
 
 MATERIALIZE_CONF = "velostat.materialize"
@@ -58,6 +58,13 @@ def reset_plans(spark: SparkSession) -> None:
         del _PLANS[key]
 
 
+def drop_session_tables(spark: SparkSession) -> bool:
+    """Forget the shared plans of ``spark`` and delete its curated and
+    per-group tables from the checkpoint folder."""
+    reset_plans(spark)
+    return delete_session_folder(spark)
+
+
 def shared_plan(fn):
     """Build a dataset's (lazy) DataFrame once per session, input folder and
     arguments, and hand the same plan to every query that uses it.

@@ -56,6 +56,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _RUN_TAG = uuid.uuid4().hex[:12]
 
 
+def session_folder(spark: SparkSession) -> str:
+    """The folder (under the checkpoint folder) holding this session's
+    curated and per-group tables."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/velostat-{_RUN_TAG}-{id(spark):x}"
+
+
+def delete_session_folder(spark: SparkSession) -> bool:
+    """Delete :func:`session_folder` (only this session's tables) through the
+    Hadoop FileSystem of its path, so it works on any shared store."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))
+
+
 def save_and_reload(df, name: str, partition_by: tuple[str, ...] = (), keep_schema: bool = True):
     """Write ``df`` once as parquet under the checkpoint folder and return a
     scan of it: one job computes it, lineage is cut, and a lost executor
@@ -63,8 +79,7 @@ def save_and_reload(df, name: str, partition_by: tuple[str, ...] = (), keep_sche
     folder cannot be written.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/velostat-{_RUN_TAG}-{id(spark):x}/{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
