@@ -128,10 +128,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     spark = docs.sparkSession
     bounds = _bounds(docs, batches)
     state = LineRuns(spark, fanout)
+    lines = saved(keyed_lines(docs, min_chars), "lines")  # read four times below; a key is 16 bytes
     for i in range(len(bounds) + 1):
-        lines = keyed_lines(_batch(docs, bounds, i), min_chars)
-        state.add(lines.groupBy("h").agg(F.min("doc_id").alias("first")))
-    lines, known = keyed_lines(docs, min_chars), state.lookup()
+        state.add(_batch(lines, bounds, i).groupBy("h").agg(F.min("doc_id").alias("first")))
+    known = state.lookup()
     # a very frequent key goes by a broadcast join: at most HEAVY of them exist
     counts = saved(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
