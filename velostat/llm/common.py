@@ -97,3 +97,21 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         for i in range(width):
             out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
     return mixed(out)
+
+
+def _pack(texts: pd.Series) -> pd.Series:
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=1)
+    return pd.Series([packer.compress(b"" if is_null(t) else t.encode()) for t in texts], dtype=object)
+
+
+def unpacked(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def packed(text: str) -> F.Column:
+    """A text compressed, to shuffle half the bytes; null is empty."""
+    return F.pandas_udf(_pack, "binary")(text)

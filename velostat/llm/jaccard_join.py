@@ -26,8 +26,11 @@ Equal texts are one class first.  Then classes meet in lists:
 A list of copies of one text could be as long as the table, so its pairs are
 never all made.  First every class is checked against one pivot, the smallest
 of the list it shares most often; the links found are contracted to components.
-Then only pairs of different components in a list are checked, all of them.
-No link between components is lost, and links inside one are not needed.
+Then only members of different components in a list are compared, all of
+them: lists of up to ``LONG`` as pairs, longer ones in blocks of ``BLOCK``
+inside tasks (a product of 0/1 matrices for each two blocks), which put out a
+forest of the links, never the pairs.  No link between components is lost, and
+links inside one are not needed.
 
 A null ``doc_id`` takes no part and gets a null component.  Of rows that share
 a ``doc_id`` but not the text, the one with the largest digest stands for it.
@@ -44,11 +47,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_null, mixed, rows_of, saved, window_hashes, word_hashes
+from .common import is_null, mixed, packed, rows_of, saved, unpacked, window_hashes, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Sets above this size are never enumerated; the boundary is at most this.
 LIGHT_LIMIT = 16
+#: Members of a list that are compared as pairs; beyond, in blocks of BLOCK.
+LONG, BLOCK = 64, 1024
+#: Shingles in one product of 0/1 matrices.
+COLUMNS = 2048
 _HALF = np.uint64(1 << 63)
 
 
@@ -224,12 +231,15 @@ def light_postings(docs: DataFrame, standing: DataFrame, width: int, percent: in
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, members) of the wanted documents; texts travel compressed."""
+
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in rows_of(frames, "doc_id", "text"):
-            out = [(doc, _digest(words), shingles(words, width).tobytes()) for doc, words in ((d, words_of(t)) for d, t in rows)]
-            yield pd.DataFrame(out, columns=["doc_id", "digest", "members"])
+        for frame in frames:
+            members = [shingles(unpacked(x).lower().split(), width).tobytes() for x in frame["packed"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "members": members})
 
-    return docs.join(wanted, "doc_id", "left_semi").mapInPandas(emit, "doc_id long, digest binary, members binary")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", packed("text").alias("packed"))
+    return texts.join(wanted, "doc_id", "left_semi").mapInPandas(emit, "doc_id long, members binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,6 +263,62 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * low >= percent * high).mapInPandas(check, "a long, b long")
 
 
+def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs, as few as connect the same nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            root[y] = x
+            out.append((a, b))
+    return out
+
+
+def _block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the components of one or two blocks of a list."""
+    sets = [np.frombuffer(m, "<u8") for m in frame["members"]]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = df[column] > 1
+    row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[i:j], column[i:j] - at] = 1
+        both += part @ part.T
+    alike = 100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None] - both.astype(np.int64))
+    roots = frame["root"].to_numpy()
+    x, y = np.nonzero(np.triu(alike & (roots[:, None] != roots[None]), 1))
+    pairs = np.unique(np.stack([roots[x], roots[y]], 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+    return pd.DataFrame(_forest(pairs), columns=["a", "b"], dtype="int64")
+
+
+def links_in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): component roots that the long lists(token, doc_id, root, n)
+    link.  A list of n members makes (n / BLOCK)^2 / 2 groups at most."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks.cast("long")).cast("int")
+    rows = lists.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("own", own)
+    rows = rows.select("token", "doc_id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return (
+        rows.join(sets, "doc_id")
+        .groupBy("token", "i", "j")
+        .applyInPandas(lambda frame: _block_links(frame, percent), "a long, b long")
+        .distinct()
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links(a, b): equal roots, one component.
 
@@ -301,7 +367,7 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     postings = saved(postings, "postings")
     pivots = postings.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
     lists = saved(postings.join(pivots, "token").select("token", "doc_id", "pivot").distinct(), "lists")
-    sets = saved(_sets(docs, lists.select("doc_id").distinct(), width), "sets").drop("digest")
+    sets = saved(_sets(docs, lists.select("doc_id").distinct(), width), "sets")
 
     first = lists.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
     first = first.groupBy("doc_id").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("b")).withColumnRenamed("doc_id", "a")
@@ -313,13 +379,17 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     )
     mixed_lists = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     labelled = saved(labelled.join(mixed_lists.select("token"), "token", "left_semi"), "labelled")
-    left = labelled.select("token", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
-    right = labelled.select("token", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
+    sized = labelled.join(labelled.groupBy("token").agg(F.count("*").alias("n")), "token")
+    short = sized.where(F.col("n") <= LONG)
+    left = short.select("token", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
+    right = short.select("token", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
     across = left.join(right, "token").where("ra < rb").select("a", "b").distinct()
-    more = linked(across.join(first, ["a", "b"], "left_anti"), sets, percent)
+    more = linked(across, sets, percent).unionAll(links_in_blocks(sized.where(F.col("n") > LONG), sets, percent))
     # the links of the first step as the stars of its components
     star = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     final = components(star.unionAll(more))
     final = final.join(final.groupBy("root").agg(F.min("node").alias("least")), "root").select(F.col("node").alias("class_id"), "least")
     out = members.drop("n").join(final, "class_id", "left").select("doc_id", "class_id", F.coalesce("least", "class_id").alias("component_id"))
-    return described.select("doc_id", "n_shingles").join(out, "doc_id", "left")
+    rows = described.select("doc_id", "n_shingles").join(out, "doc_id", "left")
+    alone = lambda c: F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return rows.select("doc_id", "n_shingles", alone("class_id"), alone("component_id"))
