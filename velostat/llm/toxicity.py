@@ -47,6 +47,7 @@ CUT = 32
 REMEMBERED = 500_000
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+_MARK = re.compile(r"[\W_]+")
 _APART = re.compile(rb"(?<!\S)(?:[^\s.,;:!?]\s){2,}[^\s.,;:!?](?!\S)")
 _STOP = (b".", b"!", b"?")
 
@@ -131,16 +132,20 @@ class Sentences:
         self.similarity, self.active = Similarity(landmarks), active
         self.known: dict[bytes, np.ndarray | None] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+    def learn(self, found: set[bytes]) -> None:
+        new = [w for w in found if w not in self.known]
         if not new:
             return
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list(words)
+            new = list(found)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            values = self.similarity([plain(w) for w in part])
+            words = [plain(w) for w in part]
+            values = self.similarity(words)
+            marked = [i for i, w in enumerate(words) if _MARK.search(w)]
+            if marked:  # as it is, or without the marks inside
+                values[marked] = np.maximum(values[marked], self.similarity([_MARK.sub("", words[i]) for i in marked]))
             near = values.max(axis=1, initial=0) >= self.active
             self.known.update((w, v if ok else None) for w, v, ok in zip(part, values, near.tolist(), strict=True))
 
