@@ -21,6 +21,7 @@ from . import (
     toxicity,
 )
 from .common import table
+from .oracle import ORACLE_SQL
 
 
 def word_tokenizer() -> str:
@@ -116,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
