@@ -28,6 +28,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import is_null, rows_of
 
+#: A subsequence of up to three code points fits one 64-bit number.
 ORDER, DECAY = 3, 0.6
 LANDMARKS, CANDIDATES = 48, 400
 #: Words below this largest kernel value count as similar to no landmark.
@@ -43,7 +46,7 @@ ACTIVE = 0.4
 #: Labelled documents to learn from, and sentences of one of them.
 MAX_LABELLED, MAX_SENTENCES = 20_000, 16
 #: Long words are compared in overlapping cuts of this many characters.
-CUT = 32
+CUT = 16
 REMEMBERED = 500_000
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -53,63 +56,88 @@ _STOP = (b".", b"!", b"?")
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Code points, a row for each word, padded with 0."""
-    out = np.zeros((len(words), max(map(len, words), default=0)), np.int32)
-    for i, word in enumerate(words):
-        out[i, : len(word)] = np.frombuffer(word.encode("utf-32-le"), "<u4")
-    return out
-
-
-def _kernel(left: np.ndarray, right: np.ndarray, order: int, decay: float) -> np.ndarray:
-    """The subsequence kernel's dynamic program.  ``left`` is (n, s) and
-    ``right`` broadcasts as (n or 1, m, t); the result is (n, m)."""
-    n, m, t = left.shape[0], right.shape[1], right.shape[2]
-    prefix = [np.ones((n, m, t + 1), np.float32)] + [np.zeros((n, m, t + 1), np.float32) for _ in range(order - 1)]
-    total = np.zeros((n, m), np.float32)
-    for s in range(left.shape[1]):
-        own = left[:, s, None, None]
-        same = ((own == right) & (own != 0)).astype(np.float32) * np.float32(decay * decay)
-        total += (same * prefix[order - 1][:, :, :t]).sum(axis=2)
-        for i in range(order - 1, 0, -1):
-            step = same * prefix[i - 1][:, :, :t]
-            run = np.zeros((n, m), np.float32)
-            for j in range(t):
-                run = run * np.float32(decay) + step[:, :, j]
-                prefix[i][:, :, j + 1] = prefix[i][:, :, j + 1] * np.float32(decay) + run
-    return total
+    """Code points of words of one length, a row for each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.int64)
+
+
+@lru_cache(maxsize=None)
+def _choices(n: int, order: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """All ways to choose ``order`` of n places, and decay ** (their span)."""
+    places = np.array(list(combinations(range(n), order)), np.int64).reshape(-1, order)
+    return places, decay ** (places[:, -1] - places[:, 0] + 1).astype(float)
+
+
+def _subsequences(codes: np.ndarray, order: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per word (row) its subsequences as numbers, and their common weights."""
+    places, weights = _choices(codes.shape[1], order, decay)
+    out = np.zeros((len(codes), len(places)), np.int64)
+    for i in range(order):
+        out = (out << 21) | codes[:, places[:, i]]
+    return out, weights
 
 
 class Similarity:
-    """Normalised kernel values of words against fixed landmarks."""
+    """Normalised subsequence kernel values of words against fixed landmarks.
+
+    The kernel is the inner product of the words' subsequence weights; the
+    landmarks' subsequences are a sorted table, in which a batch of words of
+    one length is looked up at once.  A word's norm is at least that of a word
+    of its length without repeated subsequences, so values that cannot reach
+    ``floor`` are left at 0."""
 
     def __init__(self, landmarks: list[str], order: int = ORDER, decay: float = DECAY):
         self.landmarks, self.order, self.decay = landmarks, order, decay
-        self.codes = _codes(landmarks)[None]
-        self.norms = self._norms(self.codes[0])
-
-    def _norms(self, codes: np.ndarray) -> np.ndarray:
-        own = _kernel(codes, codes[:, None, :], self.order, self.decay)[:, 0]
-        return np.sqrt(np.maximum(own, 1e-12))
-
-    def __call__(self, words: list[str]) -> np.ndarray:
+        entries: dict[int, dict[int, float]] = {}
+        for i, word in enumerate(landmarks):
+            for part in _cuts(word)[:1]:
+                found, weights = _subsequences(_codes([part]), order, decay)
+                for x, w in zip(found[0].tolist(), weights.tolist(), strict=True):
+                    entries.setdefault(x, {})[i] = entries.get(x, {}).get(i, 0.0) + w
+        self.known = np.array(sorted(entries), np.int64)
+        self.weights = np.zeros((len(entries), len(landmarks)))
+        for at, x in enumerate(self.known.tolist()):
+            for i, w in entries[x].items():
+                self.weights[at, i] = w
+        self.norms = np.sqrt(np.maximum((self.weights**2).sum(axis=0), 1e-12))
+
+    def __call__(self, words: list[str], floor: float = 0.0) -> np.ndarray:
         """(words, landmarks); a long word has the largest of its cuts."""
-        cuts, owner = [], []
-        for i, word in enumerate(words):
-            for at in range(0, max(1, len(word) - CUT // 2), CUT // 2):
-                cuts.append(word[at : at + CUT])
-                owner.append(i)
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        order = np.argsort([len(c) for c in cuts], kind="stable")
-        for at in range(0, len(order), 512):  # alike lengths together: little padding
-            pick = order[at : at + 512]
-            codes = _codes([cuts[i] for i in pick])
-            if codes.shape[1] < self.order:
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for i, word in enumerate(words):
+            for part in _cuts(word):
+                by_length.setdefault(len(part), []).append((i, part))
+        for length, group in by_length.items():
+            if length < self.order or not len(self.known):
                 continue
-            values = _kernel(codes, self.codes, self.order, self.decay)
-            values /= self._norms(codes)[:, None] * self.norms[None]
-            np.maximum.at(out, np.array(owner)[pick], values)
+            step = max(1, 200_000 // len(_choices(length, self.order, self.decay)[1]))
+            for at in range(0, len(group), step):
+                owner = np.array([i for i, _ in group[at : at + step]])
+                values = self._values([x for _, x in group[at : at + step]], floor)
+                hit = np.flatnonzero(values.any(axis=1))
+                np.maximum.at(out, owner[hit], values[hit])
         return out
 
+    def _values(self, words: list[str], floor: float) -> np.ndarray:
+        own, weights = _subsequences(_codes(words), self.order, self.decay)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        word, place = np.nonzero(self.known[at] == own)
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        if word.size:  # rows come in order: sum each word's stretch
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            out[word[first]] = np.add.reduceat(weights[place, None] * self.weights[at[word, place]], first, axis=0)
+        out /= self.norms
+        possible = np.flatnonzero(out.max(axis=1, initial=0) >= floor * np.sqrt((weights**2).sum()))
+        kept = np.zeros_like(out)
+        for i in possible.tolist():
+            names, which = np.unique(own[i], return_inverse=True)
+            kept[i] = out[i] / np.sqrt((np.bincount(which, weights, len(names)) ** 2).sum())
+        return kept
+
+
+def _cuts(word: str) -> list[str]:
+    return [word[at : at + CUT] for at in range(0, max(1, len(word) - CUT // 2), CUT // 2)]
+
 
 def words_of(text) -> list[bytes]:
     return [] if is_null(text) else text.encode().lower().split()
@@ -142,10 +170,10 @@ class Sentences:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             words = [plain(w) for w in part]
-            values = self.similarity(words)
+            values = self.similarity(words, self.active)
             marked = [i for i, w in enumerate(words) if _MARK.search(w)]
             if marked:  # as it is, or without the marks inside
-                values[marked] = np.maximum(values[marked], self.similarity([_MARK.sub("", words[i]) for i in marked]))
+                values[marked] = np.maximum(values[marked], self.similarity([_MARK.sub("", words[i]) for i in marked], self.active))
             near = values.max(axis=1, initial=0) >= self.active
             self.known.update((w, v if ok else None) for w, v, ok in zip(part, values, near.tolist(), strict=True))
 
