@@ -11,11 +11,14 @@ import __spark_entry__ as E  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 from oracle_check import _rows, type_mismatches  # noqa: E402
 
-NAMES = sorted(E.queries())
+from velostat.plans.catalog import QUERIES as OWN  # noqa: E402
+
+NAMES = sorted(OWN)
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(E.oracle_sql()) >= set(OWN)
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -25,7 +25,10 @@ def formatted(df) -> str:
     return _explain(df, "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+from velostat.plans.catalog import QUERIES as OWN  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_no_python_udf_in_any_plan(spark, name):
     p = plan_of(E.queries()[name](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
@@ -39,7 +42,7 @@ def test_outlier_join_is_a_broadcast_hash_join(spark):
 
 
 def test_no_cartesian_products_anywhere(spark):
-    for name, q in E.queries().items():
+    for name, q in OWN.items():
         p = plan_of(q(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
@@ -78,6 +81,12 @@ def test_route_ranking_is_split_below_the_user_type(spark):
     assert "HashAggregate(keys=[user_type#" in p
 
 
-def test_longest_trips_is_take_ordered(spark):
-    p = plan_of(E.queries()["longest_trips_legacy"](spark, SF_SMALL))
-    assert "TakeOrderedAndProject" in p
+def test_longest_trips_keep_every_row(spark):
+    from velostat.plans import datasets as D
+
+    df = E.queries()["longest_trips_legacy"](spark, SF_SMALL)
+    assert "rangepartitioning" in plan_of(df) and "Limit" not in plan_of(df)
+    lengths = [r.tripduration for r in df.collect()]
+    assert len(lengths) == D.legacy_raw(spark, SF_SMALL).count()
+    known = [x for x in lengths if x is not None]
+    assert known == sorted(known, reverse=True) and lengths[: len(known)] == known

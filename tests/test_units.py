@@ -173,12 +173,24 @@ def test_constant_columns_counts_null_as_a_value(spark):
     assert got == {"a": True, "b": True, "c": False}
 
 
-def test_longest_is_top_k_with_deterministic_ties(spark):
+def test_unknown_hours_stay_unknown(spark):
+    from velostat.functions import columns
+    from velostat.operators import stats
+
+    hours = spark.createDataFrame([(8,), (None,), (12,)], "h int")
+    peak = lambda c: columns.in_hour_windows(c, [(7, 9)])
+    assert [r.p for r in hours.select(peak("h").alias("p")).collect()] == [True, None, False]
+    counts = spark.createDataFrame([("a", 1, 5), ("a", None, 2)], "g string, h int, n long")
+    out = stats.densify(counts, ["g"], "h", 0, 2, {"n": 0})
+    assert sorted(((r.h, r.n) for r in out.collect()), key=str) == [(0, 0), (1, 5), (2, 0), (None, 2)]
+
+
+def test_longest_orders_all_rows_with_deterministic_ties(spark):
     from velostat.operators import quality
 
     df = spark.createDataFrame([(5, "b"), (5, "a"), (9, "z"), (1, "q")], "d int, name string")
-    out = [(r.d, r.name) for r in quality.longest(df, "d", "d", ["name"], k=3).collect()]
-    assert out == [(9, "z"), (5, "a"), (5, "b")]
+    out = [(r.d, r.name) for r in quality.longest(df, "d", "d", ["name"]).collect()]
+    assert out == [(9, "z"), (5, "a"), (5, "b"), (1, "q")]
 
 
 def test_bucketed_quantiles_match_numpy_with_many_buckets(spark):

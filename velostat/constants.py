@@ -51,4 +51,3 @@ MODERN_YEAR = 2020
 DURATION_HIST_BINS = 30
 ROUTE_HIST_BINS = 50
 TOP_ROUTES = 10
-TOP_LONGEST = 10

@@ -57,7 +57,7 @@ def in_hour_windows(hour: str | Column, windows: Sequence[tuple[int, int]]) -> C
     for lo, hi in windows:
         part = h.between(lo, hi)
         cond = part if cond is None else (cond | part)
-    return F.coalesce(cond, F.lit(False)) if cond is not None else F.lit(False)
+    return cond if cond is not None else F.lit(False)  # an unknown hour stays unknown
 
 
 def _fmt(v) -> str:

@@ -106,13 +106,12 @@ def modern_report(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------- row-returning
-def longest(df: DataFrame, order_col: str | Column, name: str, cols: Sequence[str], k: int = K.TOP_LONGEST) -> DataFrame:
-    """The ``k`` rows with the largest ``order_col`` (ties broken by the other
-    projected columns, so the result is deterministic).  Planned as a
-    per-task top-k and a merge (TakeOrderedAndProject), never a full sort."""
+def longest(df: DataFrame, order_col: str | Column, name: str, cols: Sequence[str]) -> DataFrame:
+    """All rows, the largest ``order_col`` first (ties by the other projected
+    columns).  A global sort: rows are range-partitioned, then sorted within."""
     oc = F.col(order_col) if isinstance(order_col, str) else order_col
     out = df.select(oc.alias(name), *cols)
-    return out.orderBy(F.col(name).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in cols]).limit(k)
+    return out.orderBy(F.col(name).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in cols])
 
 
 def duplicate_keys(df: DataFrame, key: str = "trip_id", name: str = "num_of_dup") -> DataFrame:

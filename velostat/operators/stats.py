@@ -333,26 +333,28 @@ def densify(
     counts: DataFrame, groups: Sequence[str], key: str, lo: int, hi: int, fill: dict[str, object],
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Every integer ``key`` in ``[lo, hi]`` for every group; missing rows get ``fill``.
+    """Every integer ``key`` in ``[lo, hi]`` for every group; missing rows get
+    ``fill``.  Rows with a NULL key, or one outside the domain, stay as they are.
 
-    ``counts`` must be one row per ``(groups…, key)`` with ``key`` in
-    ``[lo, hi]`` (an aggregate), so each group gathers at most ``hi - lo + 1``
-    entries into a map; the domain is then exploded from that map.  No join
-    and no second pass over the data that produced the counts.  ``carry``
-    columns are constant within a group and are copied to every key.
+    ``counts`` must be one row per ``(groups…, key)`` (an aggregate).  Inside
+    the domain each group gathers at most ``hi - lo + 1`` entries into a map;
+    the domain is then exploded from that map.  ``carry`` columns are constant
+    within a group and are copied to every key.
     """
     groups, carry = list(groups), list(carry)
     values = [c for c in counts.columns if c not in groups and c != key and c not in carry]
     kt = counts.schema[key].dataType
+    inside = F.coalesce(F.col(key).between(lo, hi), F.lit(False))
+    entries = F.collect_list(F.when(inside, F.struct(F.col(key), F.struct(*values))))
     per_group = counts.groupBy(*groups).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*values)))).alias("__m"),
-        *[F.max(c).alias(c) for c in carry],
+        F.map_from_entries(entries).alias("__m"), *[F.max(c).alias(c) for c in carry],
     )
     dom = per_group.select(*groups, *carry, "__m",
                            F.explode(F.sequence(F.lit(lo).cast(kt), F.lit(hi).cast(kt))).alias(key))
     hit = F.try_element_at(F.col("__m"), F.col(key))
     cols = [F.coalesce(hit[c], F.lit(fill[c])).alias(c) if c in fill else hit[c].alias(c) for c in values]
-    return dom.select(*groups, key, *carry, *cols)
+    outside = counts.where(~inside).select(*groups, key, *carry, *values)
+    return dom.select(*groups, key, *carry, *cols).unionByName(outside)
 
 
 # ------------------------------------------------------------- histogram

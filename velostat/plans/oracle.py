@@ -342,11 +342,11 @@ ORACLE_SQL: dict[str, str] = {
     # quality
     "longest_trips_legacy": sql(
         "SELECT tripduration, start_time, end_time FROM legacy ORDER BY tripduration DESC NULLS LAST, "
-        f"start_time ASC NULLS LAST, end_time ASC NULLS LAST LIMIT {K.TOP_LONGEST}"),
+        "start_time ASC NULLS LAST, end_time ASC NULLS LAST"),
     "longest_trips_modern": sql(
         f"SELECT {_MM} AS trip_duration_minutes, ride_id, started_at, ended_at FROM modern "
         "ORDER BY trip_duration_minutes DESC NULLS LAST, ride_id ASC NULLS LAST, started_at ASC NULLS LAST, "
-        f"ended_at ASC NULLS LAST LIMIT {K.TOP_LONGEST}"),
+        "ended_at ASC NULLS LAST"),
     "missing_id_rows": sql(f"SELECT count_if({LEGACY_RULES['missing_id_rows']}) AS missing_value FROM legacy"),
     "null_profile": _null_profile(),
     "constraint_violations": sql(_counts(LEGACY_RULES, ["constraint_violation"], "legacy")),

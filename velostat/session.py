@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import warnings
 
 from pyspark.sql import SparkSession
 
@@ -37,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     This is the shared folder the cluster names in ``spark.checkpoint.dir``.
     Failing that, it is the one the user set with
     ``SparkContext.setCheckpointDir``.  Only when neither exists (local runs,
-    tests) is a fresh scratch folder created and set on the context.
+    tests) is a fresh scratch folder created and set on the context; a
+    cluster without either raises, as its nodes share no scratch folder.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="velostat-ckpt-")
     sc.setCheckpointDir(path)
     return path
@@ -72,21 +74,17 @@ def delete_session_folder(spark: SparkSession) -> bool:
     return bool(fs.exists(path) and fs.delete(path, True))
 
 
-def save_and_reload(df, name: str, partition_by: tuple[str, ...] = (), keep_schema: bool = True):
+def save_and_reload(df, name: str, partition_by: tuple[str, ...] = ()):
     """Write ``df`` once as parquet under the checkpoint folder and return a
     scan of it: one job computes it, lineage is cut, and a lost executor
-    costs a re-read.  Falls back to ``df`` itself (with a warning) when the
-    folder cannot be written.
+    costs a re-read.  A write that fails raises.  The columns keep the order
+    of ``df``; the files' own schema is read, so a folder without data raises
+    too instead of being an empty table.
     """
     spark = df.sparkSession
     path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    try:
-        writer.parquet(path)
-    except Exception as exc:  # noqa: BLE001 - e.g. a read-only checkpoint folder
-        warnings.warn(f"could not write {path} ({type(exc).__name__}); using the lazy plan", stacklevel=2)
-        return df
-    reader = spark.read.schema(df.schema) if keep_schema and not partition_by else spark.read
-    return reader.parquet(path)
+    writer.parquet(path)
+    return spark.read.parquet(path).select(*df.columns)
