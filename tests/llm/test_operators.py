@@ -259,3 +259,19 @@ def test_pipeline(spark, table):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = [x[0] for x in brute.decontaminate(rows, items) if not x[5]]
     assert sorted({r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}) == sorted(clean)
+
+
+def test_suffixes_with_edits_and_overlaps(spark):
+    """Near copies and shifted passages: names with several surroundings."""
+    import random
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abé ") for _ in range(400)) for _ in range(4)]
+    rows = []
+    for doc in range(60):
+        text = list(rng.choice(base)[rng.randrange(60) :] + rng.choice(base)[: rng.randrange(120)])
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = rng.choice("xyz")
+        rows.append((doc, "".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held(brute.suffix(rows), rows_of(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))

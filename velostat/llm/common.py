@@ -99,6 +99,12 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def compressed(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
 def _pack(texts: pd.Series) -> pd.Series:
     import zstandard
 
