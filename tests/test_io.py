@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -22,7 +23,7 @@ def test_csv_scan_round_trip(spark):
     folder = tempfile.mkdtemp(prefix="vs-csv-")
     src = _legacy_csv(spark, folder)
     back = read_trips_csv(spark, folder, "legacy")
-    assert back.schema == read_trips_csv(spark, folder, "legacy").schema
+    assert back.dtypes == src.dtypes
     assert back.count() == src.count()
     assert back.exceptAll(src).count() == 0 and src.exceptAll(back).count() == 0
 
@@ -108,3 +109,75 @@ def test_drop_session_tables_removes_only_this_sessions_folder(spark):
     assert not os.path.exists(folder)
     assert sorted(set(os.listdir(root)) - {os.path.basename(folder)}) == others
     assert D.trips(spark, SF_SMALL).count() > 0  # rebuilt on next use
+
+
+def _csv_file(rows):
+    import os
+
+    path = os.path.join(tempfile.mkdtemp(prefix="vs-csv-file-"), "trips.csv")
+    with open(path, "w") as f:
+        f.write("\n".join(rows) + "\n")
+    return path
+
+
+LEGACY_ROW = {"trip_id": "1", "start_time": "2019-01-01 08:00:00", "end_time": "2019-01-01 08:10:00", "bikeid": "5",
+              "tripduration": "600", "from_station_id": "77", "from_station_name": "A", "to_station_id": "8",
+              "to_station_name": "B", "usertype": "Subscriber", "gender": "NA", "birthyear": "1980"}
+
+
+def test_csv_columns_are_matched_by_name_and_extra_ones_ignored(spark):
+    names = [*reversed(LEGACY_ROW), "weather"]
+    path = _csv_file([",".join(names), ",".join({**LEGACY_ROW, "weather": "rain"}[n] for n in names)])
+    df = read_trips_csv(spark, path, "legacy")
+    assert df.columns == list(LEGACY_ROW)
+    row = df.first()
+    assert (row.trip_id, row.bikeid, row.from_station_id, row.gender, row.birthyear) == (1, 5, 77, None, 1980)
+
+
+def test_csv_missing_column_raises(spark):
+    names = [n for n in LEGACY_ROW if n != "bikeid"]
+    path = _csv_file([",".join(names), ",".join(LEGACY_ROW[n] for n in names)])
+    with pytest.raises(ValueError, match="bikeid"):
+        read_trips_csv(spark, path, "legacy")
+
+
+def test_csv_malformed_row_raises(spark):
+    path = _csv_file([",".join(LEGACY_ROW), ",".join({**LEGACY_ROW, "tripduration": "ten"}.values())])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_trips_csv(spark, path, "legacy").collect()
+
+
+@pytest.mark.parametrize("fault", ["header", "row"])
+def test_stream_fails_on_another_header_or_a_malformed_row(spark, fault):
+    import os
+
+    names = list(LEGACY_ROW)
+    row = dict(LEGACY_ROW)
+    if fault == "header":
+        i, j = names.index("bikeid"), names.index("from_station_id")
+        names[i], names[j] = names[j], names[i]
+    else:
+        row["start_time"] = "yesterday"
+    path = _csv_file([",".join(names), ",".join(row[n] for n in names)])
+    out = tempfile.mkdtemp(prefix="vs-stream-bad-out-")
+    q = append_trips(trip_stream(spark, os.path.dirname(path), "legacy"), out, tempfile.mkdtemp(prefix="vs-stream-bad-ckpt-"))
+    with pytest.raises(Exception):
+        q.awaitTermination(120)
+    assert not [f for _, _, files in os.walk(out) for f in files if f.endswith(".parquet")]
+
+
+def test_missing_parquet_column_raises(spark):
+    from velostat.sources.fixtures import read_table
+
+    folder = tempfile.mkdtemp(prefix="vs-pq-")
+    spark.read.parquet(f"{SF_SMALL}/customer.parquet").drop("c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    with pytest.raises(Exception, match="c_mktsegment"):
+        read_table(spark, folder, "customer").collect()
+
+
+def test_trip_exports_keep_their_own_columns(spark):
+    from velostat.plans.exports import bi_tables
+
+    tables = bi_tables(spark, SF_SMALL)
+    assert {"bike_id", "gender", "birth"} <= set(tables["trip_2019"]().columns)
+    assert {"start_lat", "start_lng", "end_lat", "end_lng"} <= set(tables["trip_2020"]().columns)

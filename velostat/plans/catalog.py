@@ -154,6 +154,11 @@ def null_profile(spark, sf):
     return quality.null_profile(D.legacy_raw(spark, sf))
 
 
+@query
+def null_profile_modern(spark, sf):
+    return quality.null_profile(D.modern_raw(spark, sf))
+
+
 @query
 def constraint_violations(spark, sf):
     return _legacy_checks(spark, sf, ["constraint_violation"])
@@ -169,6 +174,11 @@ def duplicate_trip_ids(spark, sf):
     return quality.duplicate_keys(D.legacy_raw(spark, sf), "trip_id")
 
 
+@query
+def duplicate_ride_ids(spark, sf):
+    return quality.duplicate_keys(D.modern_raw(spark, sf), "ride_id")
+
+
 @query
 def short_round_trips(spark, sf):
     legacy = _legacy_checks(spark, sf, ["short_round_trips_le_3min"]).withColumn("year", F.lit(K.LEGACY_YEAR))
@@ -254,6 +264,12 @@ def peak_share(spark, sf):
     return profile.peak_share(D.trips(spark, sf), YEAR_USER)
 
 
+@query
+def peak_share_demo(spark, sf):
+    """Peak share with the legacy year cut to riders with demographics."""
+    return profile.peak_share(D.trips(spark, sf, "demo"), YEAR_USER)
+
+
 @query
 def peak_share_trimmed(spark, sf):
     """Peak share after removing each group's duration outliers (IQR fences)."""
@@ -305,6 +321,11 @@ def iqr_all(spark, sf):
     return _iqr(D.trips(spark, sf))
 
 
+@query
+def iqr_all_demo(spark, sf):
+    return _iqr(D.trips(spark, sf, "demo"))
+
+
 @query
 def iqr_peak(spark, sf):
     return _iqr(D.trips(spark, sf).where(F.col("is_peak")))
@@ -428,6 +449,16 @@ def route_kpi_summary(spark, sf):
 
 
 # ------------------------------------------------------------------- export
+@query
+def export_trip_2019(spark, sf):
+    return D.legacy_trips(spark, sf)
+
+
+@query
+def export_trip_2020(spark, sf):
+    return D.modern_trips(spark, sf)
+
+
 @query
 def bi_prepared_trips(spark, sf):
     return bi_prepare(D.trips(spark, sf))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velostat import constants as K
+from velostat.plans import datasets as D
 from velostat.plans.catalog import QUERIES
 
 
@@ -30,8 +31,8 @@ def bi_tables(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFr
 
     # fixed values: export table names
     return {
-        "trip_2019": by("entire_data", year=ly),
-        "trip_2020": by("entire_data", year=my),
+        "trip_2019": lambda: D.legacy_trips(spark, sf_dir),
+        "trip_2020": lambda: D.modern_trips(spark, sf_dir),
         "trip_2019_demo": q["export_trip_demo"],
         "entire_data": q["entire_data"],
         "member_route_2019": by("route_share", year=ly, user_type="member"),

@@ -258,9 +258,9 @@ def _constant_columns() -> str:
     return sql("\nUNION ALL\n".join(parts))
 
 
-def _null_profile() -> str:
+def _null_profile(view: str, columns: list[str]) -> str:
     return sql("\nUNION ALL\n".join(
-        f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS null_count FROM legacy" for c in LEGACY_COLS))
+        f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS null_count FROM {view}" for c in columns))
 
 
 _RANKED = """
@@ -301,6 +301,11 @@ _PEAK_SHARE = ("SELECT year, user_type, count_if(is_peak) AS n_peak, count(*) AS
                "count_if(is_peak) / count(*) * 100 AS peak_pct FROM {src} GROUP BY year, user_type")
 
 
+# the modern trips, and the legacy trips of riders with gender and birth year
+_DEMO_BOTH = ("demo_both AS (SELECT * FROM trips WHERE year = 2020 "
+              "OR trip_id IN (SELECT CAST(trip_id AS VARCHAR) FROM demo_base))")
+
+
 def _route_hist() -> str:
     c1, b1 = _histogram("rsh", ["year", "user_type"], ["year", "user_type"], "pct", K.ROUTE_HIST_BINS,
                         "pct IS NOT NULL", "hy")
@@ -348,11 +353,14 @@ ORACLE_SQL: dict[str, str] = {
         "ORDER BY trip_duration_minutes DESC NULLS LAST, ride_id ASC NULLS LAST, started_at ASC NULLS LAST, "
         "ended_at ASC NULLS LAST"),
     "missing_id_rows": sql(f"SELECT count_if({LEGACY_RULES['missing_id_rows']}) AS missing_value FROM legacy"),
-    "null_profile": _null_profile(),
+    "null_profile": _null_profile("legacy", LEGACY_COLS),
+    "null_profile_modern": _null_profile("modern", MODERN_COLS),
     "constraint_violations": sql(_counts(LEGACY_RULES, ["constraint_violation"], "legacy")),
     "logical_issues": sql(_counts(LEGACY_RULES, ["logical_issues"], "legacy")),
     "duplicate_trip_ids": sql("SELECT trip_id, count(*) AS num_of_dup FROM legacy GROUP BY trip_id "
                               "HAVING count(*) > 1"),
+    "duplicate_ride_ids": sql("SELECT ride_id, count(*) AS num_of_dup FROM modern GROUP BY ride_id "
+                              "HAVING count(*) > 1"),
     "short_round_trips": sql(
         _counts(LEGACY_RULES, ["short_round_trips_le_3min"], "legacy", year=K.LEGACY_YEAR,
                 all_names=["short_round_trips_le_3min", "short_round_trips_lt_2min", "short_round_trips_lt_3min"])
@@ -382,6 +390,7 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT *, delta_to_above < CAST({K.ADJACENT_DELTA_PCT} AS DOUBLE) AS flat_step FROM thr "
         f"WHERE pct_to_max >= CAST({K.PEAK_CUTOFF_PCT} AS DOUBLE)", _HOURS),
     "peak_share": sql(_PEAK_SHARE.format(src="trips")),
+    "peak_share_demo": sql(_PEAK_SHARE.format(src="demo_both"), _DEMO_BOTH),
     "peak_share_trimmed": sql(
         _PEAK_SHARE.format(src="kept"),
         f"""
@@ -409,6 +418,7 @@ FROM (SELECT user_type, max(CASE WHEN year = {K.LEGACY_YEAR} THEN peak_pct END)
         "am AS (" + _share("demo", "age_group, user_type", "age_group", "100") + ")"),
     # spread
     "iqr_all": sql(_iqr_cols("trips", "year, user_type")),
+    "iqr_all_demo": sql(_iqr_cols("demo_both", "year, user_type"), _DEMO_BOTH),
     "iqr_peak": sql(_iqr_cols("trips", "year, user_type", "is_peak")),
     "iqr_offpeak": sql(_iqr_cols("trips", "year, user_type", "NOT is_peak")),
     "iqr_entire_data": sql(_iqr_cols("trips", "user_type")),
@@ -461,6 +471,11 @@ FROM rsh GROUP BY year, user_type""", _ROUTE_SHARE),
         f"sum(CASE WHEN route_rank <= {K.TOP_ROUTES} THEN trip_count END) / max(group_trips) "
         f"AS pct_trip_top{K.TOP_ROUTES} FROM rk GROUP BY user_type", _RANKED),
     # export
+    "export_trip_2019": sql(
+        f"SELECT * REPLACE (CAST(trip_id AS VARCHAR) AS trip_id), {_peak()} AS is_peak "
+        f"FROM (SELECT *, CAST(2019 AS INTEGER) AS year, {_ENRICH} FROM legacy_canon) t"),
+    "export_trip_2020": sql(
+        f"SELECT *, {_peak()} AS is_peak FROM (SELECT *, CAST(2020 AS INTEGER) AS year, {_ENRICH} FROM modern_canon) t"),
     "bi_prepared_trips": sql(
         "SELECT * EXCLUDE (start_time, end_time, is_weekend, round_trip, is_peak), "
         "strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time, "

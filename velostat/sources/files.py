@@ -1,8 +1,8 @@
 """Reading trip tables from files or catalog tables with an explicit schema.
 
 Schemas are declared, never inferred: inference costs an extra pass over the
-input and can drift between files.  Extra columns in a file are ignored by
-the projection that follows; a missing required column raises at analysis.
+input and can drift between files.  Columns are matched by name: extra ones
+are ignored, a missing one raises.  Malformed rows raise, in batch and stream.
 """
 
 from __future__ import annotations
@@ -48,23 +48,38 @@ MODERN_SCHEMA = T.StructType(
 SCHEMAS = {"legacy": LEGACY_SCHEMA, "modern": MODERN_SCHEMA}
 
 
+#: One set of options for the batch and the stream reader.  The header of every
+#: file is checked against the schema, and a malformed row raises.
+CSV_OPTIONS = {
+    "header": True,
+    "enforceSchema": False,
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "nullValue": "NA",
+    "mode": "FAILFAST",
+}
+
+
+def file_order_schema(names: list[str], shape: str) -> T.StructType:
+    """The declared types of ``shape`` in the order of a file's columns; other
+    columns are text.  Raises if a declared column is missing."""
+    declared = {f.name: f for f in SCHEMAS[shape]}
+    missing = [n for n in declared if n not in names]
+    if missing:
+        raise ValueError(f"columns missing in the {shape} trip files: {', '.join(missing)}")
+    return T.StructType([declared.get(n) or T.StructField(n, T.StringType()) for n in names])
+
+
 def read_trips_csv(spark: SparkSession, path: str, shape: str) -> DataFrame:
     """CSV with a header row, typed by the declared schema of ``shape``.
 
-    Columns are matched by header name (``enforceSchema=false``), so files
-    whose columns come in another order still read correctly.  Timestamps
-    are ``yyyy-MM-dd HH:mm:ss`` as written by common exporters.
+    Columns are matched by header name: they may come in another order, and
+    extra ones are ignored.  All files of one path must share one header, else
+    the read raises.  Timestamps are ``yyyy-MM-dd HH:mm:ss`` as written by
+    common exporters.
     """
-    schema = SCHEMAS[shape]
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-        .option("nullValue", "NA")
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    names = spark.read.option("header", True).csv(path).columns
+    reader = spark.read.schema(file_order_schema(names, shape)).options(**CSV_OPTIONS)
+    return reader.csv(path).select(*SCHEMAS[shape].fieldNames())
 
 
 def read_trips_table(spark: SparkSession, name: str, shape: str) -> DataFrame:

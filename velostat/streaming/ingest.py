@@ -15,20 +15,23 @@ from pyspark.sql.streaming import StreamingQuery
 from velostat import constants as K
 from velostat.operators.features import enrich_trips, with_peak_flag
 from velostat.operators.normalize import normalize_legacy, normalize_modern, with_year
-from velostat.sources.files import SCHEMAS
+from velostat.sources.files import CSV_OPTIONS, SCHEMAS
 
 
 def trip_stream(
     spark: SparkSession, path: str, shape: str, year: int | None = None, fmt: str = "csv",
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """A streaming DataFrame of canonical, enriched trips from files of one shape."""
+    """A streaming DataFrame of canonical, enriched trips from files of one shape.
+
+    CSV files must have the declared columns in the declared order (a stream
+    has one schema for files that are not there yet); another header or a
+    malformed row fails the micro-batch, and nothing of it is appended."""
     reader = spark.readStream.schema(SCHEMAS[shape])
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        reader = reader.option("header", True).option("nullValue", "NA").option(
-            "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        reader = reader.options(**CSV_OPTIONS)
     raw = reader.format(fmt).load(path)
     if shape == "legacy":
         df, default_year = normalize_legacy(raw), K.LEGACY_YEAR
