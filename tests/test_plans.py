@@ -35,10 +35,44 @@ def test_no_python_udf_in_any_plan(spark, name):
         assert node not in p
 
 
-def test_outlier_join_is_a_broadcast_hash_join(spark):
-    p = plan_of(E.queries()["outlier_share_peak"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in p
-    assert "SortMergeJoin" not in p and "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+def executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+ONE_SCAN = ["outlier_share_peak", "outlier_tails_offpeak", "peak_share_trimmed", "duration_log_histogram",
+            "route_share", "route_share_iqr", "route_share_histogram", "top10_routes", "route_kpi_summary",
+            "hour_threshold"]
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_the_trips_are_scanned_once(spark, name):
+    assert executed(E.queries()[name](spark, SF_SMALL)).count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["outlier_share_peak", "iqr_age_group", "peak_share_trimmed",
+                                  "duration_log_histogram", "route_share_histogram", "route_share_iqr"])
+def test_no_job_runs_before_the_result_is_asked_for(spark, name):
+    q = E.queries()[name]
+    q(spark, SF_SMALL)  # curation, if not done yet
+    sc = spark.sparkContext
+    sc.setJobGroup(f"build-{name}", name)
+    try:
+        q(spark, SF_SMALL)
+        assert list(sc.statusTracker().getJobIdsForGroup(f"build-{name}")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_curated_and_lazy_trips_have_one_schema_in_order(spark):
+    from velostat.plans import datasets as D
+
+    curated = D.trips(spark, SF_SMALL).dtypes
+    spark.conf.set(D.MATERIALIZE_CONF, "false")
+    try:
+        assert D.trips(spark, SF_SMALL).dtypes == curated
+    finally:
+        spark.conf.unset(D.MATERIALIZE_CONF)
 
 
 def test_no_cartesian_products_anywhere(spark):
@@ -70,15 +104,15 @@ def test_quality_report_scans_each_source_once(spark):
     assert len(scans) == 2  # curated legacy table + events
 
 
+def test_top_routes_are_limited_per_task_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan_of(E.queries()["top10_routes"](spark, SF_SMALL))
+
+
 def test_route_ranking_is_split_below_the_user_type(spark):
-    # the per-route row number is partitioned by (group, count, id prefix);
-    # only the small table of bucket sizes is windowed by group alone
-    p = plan_of(E.queries()["top10_routes"](spark, SF_SMALL))
-    assert "row_number() windowspecdefinition(__g#" in p
-    rn = p.split("row_number() windowspecdefinition(")[1].split(",")[:3]
-    assert rn[0].startswith("__g#") and rn[1].strip().startswith("trip_count#") and rn[2].strip().startswith("__p#")
-    # the route counts are aggregated over (user_type, route_id) before any window
-    assert "HashAggregate(keys=[user_type#" in p
+    # ranks and running totals are per (group, range partition)
+    p = plan_of(E.queries()["route_ranked"](spark, SF_SMALL))
+    rn = p.split("row_number() windowspecdefinition(")[1].split(",")[:2]
+    assert rn[0].startswith("__g#") and rn[1].strip().startswith("__p#")
 
 
 def test_longest_trips_keep_every_row(spark):

@@ -84,7 +84,7 @@ def test_null_user_type_keeps_its_bounds_through_the_join(spark):
     flagged = stats.flag_outliers(df, ["user_type"])
     null_rows = flagged.where(F.col("user_type").isNull()).collect()
     assert len(null_rows) == 5 and all(r.lower is not None for r in null_rows)
-    share = {r.user_type: (r.total, r.outliers) for r in stats.outlier_share(flagged, ["user_type"]).collect()}
+    share = {r.user_type: (r.total, r.outliers) for r in stats.outlier_share(df, ["user_type"]).collect()}
     assert share == {"member": (5, 1), None: (5, 0)}
 
 
@@ -139,7 +139,7 @@ def test_route_rank_ties_break_on_route_id(spark):
     ranked = routes.route_ranked(routes.route_summary(df)).orderBy("route_rank").collect()
     assert [(r.route_id, r.route_rank) for r in ranked] == [("1_1", 1), ("2_2", 2), ("3_3", 3)]
     assert [r.cum_trip_pct for r in ranked][-1] == 1.0
-    kpi = routes.route_kpi_summary(routes.route_ranked(routes.route_summary(df))).collect()[0]
+    kpi = routes.route_kpi_summary(routes.route_summary(df)).collect()[0]
     assert kpi.routes_for_50pct == 2 and kpi.pct_trip_top10 == 1.0
 
 
@@ -218,25 +218,76 @@ def test_approx_quantiles_stay_within_rank_error(spark):
         assert abs(rank - p * (n - 1)) <= n / stats.APPROX_ACCURACY + 1
 
 
-@pytest.mark.parametrize("prefix_len", [1, 2, 3])
-def test_split_route_ranking_matches_a_plain_sort(spark, prefix_len):
-    rng = np.random.default_rng(prefix_len)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_split_route_ranking_matches_a_plain_sort(spark, seed):
+    rng = np.random.default_rng(seed)
     rows = []
     for user in ("member", "casual", None):
         ids = {f"{rng.integers(1, 120)}_{rng.integers(1, 120)}" for _ in range(400)}
         for rid in sorted(ids):
             rows.append((user, rid, int(rng.choice([1, 1, 1, 2, 2, 3, 5, 40]))))
     summary = spark.createDataFrame(rows, "user_type string, route_id string, trip_count bigint")
-    got = {(r.user_type, r.route_id): (r.route_rank, r.cum_trips, r.group_trips)
-           for r in routes.route_ranked(summary, prefix_len=prefix_len).collect()}
-    want = {}
+    ranked = {(r.user_type, r.route_id): (r.route_rank, r.cum_trips, r.group_trips)
+              for r in routes.route_ranked(summary).collect()}
+    want, need, top = {}, {}, {}
     for user in ("member", "casual", None):
         grp = sorted([(c, rid) for u, rid, c in rows if u == user], key=lambda t: (-t[0], t[1]))
         total, cum = sum(c for c, _ in grp), 0
         for rank, (c, rid) in enumerate(grp, start=1):
             cum += c
             want[(user, rid)] = (rank, cum, total)
-    assert got == want
+            if cum >= 0.5 * total:
+                need.setdefault(user, rank)
+        top[user] = sum(c for c, _ in grp[:10]) / total
+    assert ranked == want
+    got = {(r.user_type, r.route_id): (r.route_rank, r.cum_trips, r.group_trips)
+           for r in routes.top_routes(summary).collect()}
+    assert got == {k: v for k, v in want.items() if v[0] <= 10}
+    kpi = routes.route_kpi_summary(summary).collect()
+    assert {r.user_type: r.routes_for_50pct for r in kpi} == need
+    assert {r.user_type: r.pct_trip_top10 for r in kpi} == top
+
+
+def test_route_ranking_splits_many_routes_of_one_prefix_and_count(spark):
+    # the cluster default of AQE would merge these small partitions again
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        summary = spark.range(120_000).select(
+            F.lit("member").alias("user_type"), F.format_string("NA_%06d", "id").alias("route_id"),
+            F.lit(1).cast("bigint").alias("trip_count"))
+        ranked = routes.route_ranked(summary)
+        wrong = ranked.where(F.col("route_rank") != F.substring("route_id", 4, 6).cast("int") + 1)
+        assert ranked.count() == 120_000 and wrong.count() == 0
+        dealt = summary.repartitionByRange("user_type", F.col("trip_count").desc(), "route_id")
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 120_000 / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_outlier_counts_skip_null_values_and_null_groups(spark):
+    vals = [1, 2, 3, 4, 100, None]
+    df = spark.createDataFrame([("a", v) for v in vals] + [("b", None), (None, 7)], "g string, v bigint")
+    got = {r.g: r for r in stats.outlier_summary(df, ["g"], "v").collect()}
+    assert {g: (r.total, r.known, r.outlier_left, r.outlier_right) for g, r in got.items()} == {
+        "a": (6, 5, 0, 1), "b": (1, 0, 0, 0), None: (1, 1, 0, 0)}
+    assert got["a"].med == 3.0 and got["b"].med is None and got[None].upper == 7.0
+    pct = {r.g: r.outlier_pct for r in stats.iqr_with_outlier_pct(df, ["g"], "v").collect()}
+    assert pct == {"a": 20.0, "b": None, None: 0.0}
+
+
+def test_null_start_times_keep_their_row_and_no_peak_flag(spark):
+    df = features.enrich_trips(trips_df(spark, [
+        ("a", TS(2019, 1, 1, 8), TS(2019, 1, 1, 9), 1, 2, "member"),
+        ("b", None, TS(2019, 1, 1, 9), 1, 2, "member"),
+    ])).withColumn("year", F.lit(2019))
+    df = features.with_peak_flag(df)
+    out = {r.start_hour: r.n for r in profile.hour_threshold(df, ["year"]).collect()}
+    assert len(out) == 25 and out[8] == 1 and out[None] == 1
+    share = profile.peak_share(df).collect()[0]
+    assert (share.n_peak, share.n_total) == (1, 2)
+    assert df.where(~F.col("is_peak")).count() == 0
 
 
 def test_range_bucketed_quantiles_for_doubles(spark):

@@ -31,7 +31,7 @@ def hour_threshold(df: DataFrame, by: Sequence[str] = ("year",)) -> DataFrame:
     """
     by = list(by)
     counts = trips_by(df, by + ["start_hour"])
-    dense = densify(counts, by, "start_hour", 0, 23, {"n": 0})
+    dense = densify(counts, by, "start_hour", 0, 23, {"n": 0}, bounded=True)
     order = Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col("start_hour").asc())
     whole = Window.partitionBy(*by)
     rank = F.row_number().over(order)

@@ -1,8 +1,10 @@
 """Route concentration: per-route shares, their spread, ranking and KPIs.
 
 Everything here runs on route counts (one row per user type × route), never
-on trips.  The ranking is split into (count, id-prefix) buckets so that a
-user type holding most routes is still ranked by many tasks.
+on trips.  The KPIs and the spread need only the number of routes per trip
+count: a group of N trips has at most sqrt(2N) distinct trip counts, so those
+windows stay small.  The full ranking is range-partitioned, so a user type
+holding most routes is ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +15,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velostat import constants as K
-from velostat.operators.stats import count_share, histogram, join_groups, quantiles
+from velostat.operators.stats import (
+    QUARTILES,
+    _quantiles_of_counts,
+    count_share,
+    histogram,
+    join_groups,
+)
+from velostat.session import save_and_reload
+
+
+def known_users(df: DataFrame, user_types: Sequence[str] | None) -> DataFrame:
+    return df if user_types is None else df.where(F.col("user_type").isin(*user_types))
 
 
 def route_share(
@@ -22,20 +35,33 @@ def route_share(
 ) -> DataFrame:
     """Trips per route and the route's percentage of its group's trips."""
     keys = list(keys)
-    if user_types is not None:
-        df = df.where(F.col("user_type").isin(*user_types))
-    return count_share(df, keys + ["route_id"], keys, scale=100.0, name="pct", totals="join")
+    return count_share(known_users(df, user_types), keys + ["route_id"], keys, scale=100.0, name="pct", totals="join")
 
 
-def route_share_iqr(shares: DataFrame, keys: Sequence[str] = ("year", "user_type"), method: str = "counts") -> DataFrame:
-    """Median, quartiles, IQR and maximum of the route percentage per group.
+def route_sizes(
+    df: DataFrame, keys: Sequence[str] = ("year", "user_type"),
+    user_types: Sequence[str] | None = ("member", "casual"),
+) -> DataFrame:
+    """Routes per group and trip count: ``keys…, n, routes, pct``, where ``pct``
+    is the percentage of the group's trips that one such route has."""
+    keys = list(keys)
+    counts = known_users(df, user_types).groupBy(*keys, "route_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("routes"))
+    total = F.sum(F.col("n") * F.col("routes")).over(Window.partitionBy(*keys))
+    return sizes.withColumn("pct", F.col("n").cast("double") / total.cast("double") * F.lit(100.0))
+
+
+def route_share_iqr(sizes: DataFrame, keys: Sequence[str] = ("year", "user_type")) -> DataFrame:
+    """Median, quartiles, IQR and maximum of the route percentage per group,
+    from :func:`route_sizes`.
 
     Within a group every route share is ``n / total × 100`` with one total,
     so the quantiles are taken on the integer counts and scaled once.
     """
     keys = list(keys)
-    q = quantiles(shares, keys, "n", (0.25, 0.5, 0.75), ("q1", "med", "q3"), method=method)
-    tot = shares.groupBy(*keys).agg(F.sum("n").alias("__t"), F.max("n").alias("__mx"))
+    counts = sizes.select(*keys, "n", F.col("routes").alias("__c"))
+    q = _quantiles_of_counts(counts, keys, "n", *QUARTILES)
+    tot = counts.groupBy(*keys).agg(F.sum(F.col("n") * F.col("__c")).alias("__t"), F.max("n").alias("__mx"))
     j = join_groups(q, tot, keys)
 
     def scaled(c):
@@ -52,87 +78,109 @@ def route_share_iqr(shares: DataFrame, keys: Sequence[str] = ("year", "user_type
 
 
 def route_share_histogram(
-    shares: DataFrame, keys: Sequence[str] = ("year", "user_type"), bins: int = K.ROUTE_HIST_BINS
+    sizes: DataFrame, keys: Sequence[str] = ("year", "user_type"), bins: int = K.ROUTE_HIST_BINS
 ) -> DataFrame:
     """Histogram of route percentages per group (each group its own bins)."""
-    return histogram(shares, keys, "pct", bins)
+    return histogram(sizes, keys, "pct", bins, weight="routes")
 
 
 def route_summary(df: DataFrame, keys: Sequence[str] = ("user_type",)) -> DataFrame:
     return df.groupBy(*keys, "route_id").agg(F.count(F.lit(1)).alias("trip_count"))
 
 
-def route_ranked(summary: DataFrame, keys: Sequence[str] = ("user_type",), prefix_len: int = 2) -> DataFrame:
+def _ranked_columns(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(
+        *keys, "route_id", "trip_count", "route_rank",
+        (F.col("trip_count") / F.col("group_trips")).alias("trip_pct"),
+        (F.col("cum_trips") / F.col("group_trips")).alias("cum_trip_pct"),
+        "cum_trips", "group_trips",
+    )
+
+
+def route_ranked(summary: DataFrame, keys: Sequence[str] = ("user_type",)) -> DataFrame:
     """Rank routes by trip count (ties: route id ascending) within each group,
     with ``trip_pct`` and the cumulative share ``cum_trip_pct``.
 
-    Ranking is split so that no task holds a whole group: routes fall into
-    buckets of equal trip count and equal ``prefix_len``-character route-id
-    prefix (prefix order agrees with full-id order, so buckets are ordered).
-    A small table of bucket sizes gives each bucket the number of routes and
-    trips ranked before it; the row number then runs inside a bucket only.
-    Every route in a bucket has the same count, so the running trip total is
-    ``trips before + local rank × count``.  Counts are summed as integers
-    and divided once, so ``cum_trip_pct`` reaches exactly 1.
+    No task holds a whole group: the routes are range-partitioned in ranking
+    order, and the table is written with its partition numbers (a second run
+    of the partitioning could number them differently).  A small table of
+    partition sizes gives each part of a group the routes and trips ranked
+    before it; ranks and running totals are then local to a part.  Counts are
+    summed as integers and divided once, so ``cum_trip_pct`` reaches exactly 1.
     """
     keys = list(keys)
-    grp = F.struct(*keys) if keys else F.lit(0)
-    s = summary.select(
-        *keys, "route_id", "trip_count", grp.alias("__g"),
-        F.coalesce(F.substring("route_id", 1, prefix_len), F.lit("")).alias("__p"),
-    )
-    bucket = ["__g", "trip_count", "__p"]
-    sizes = s.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__nr"), F.sum("trip_count").alias("__nt"))
-    order = Window.partitionBy("__g").orderBy(F.col("trip_count").desc(), F.col("__p").asc())
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grp = F.struct(*keys) if keys else F.struct(F.lit(0))
+    order = [F.col("trip_count").desc(), F.col("route_id").asc()]
+    dealt = summary.select(*keys, "route_id", "trip_count").repartitionByRange(*keys, *order)
+    parts = save_and_reload(dealt.withColumn("__p", F.spark_partition_id()), "route_order")
+    parts = parts.withColumn("__g", grp)
+    part = ["__g", "__p"]
+    sizes = parts.groupBy(*part).agg(F.count(F.lit(1)).alias("__nr"), F.sum("trip_count").alias("__nt"))
+    before = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.select(
-        *bucket,
+        *part,
         (F.sum("__nr").over(before) - F.col("__nr")).alias("__routes_before"),
         (F.sum("__nt").over(before) - F.col("__nt")).alias("__trips_before"),
         F.sum("__nt").over(Window.partitionBy("__g")).alias("group_trips"),
     )
-    local = F.row_number().over(Window.partitionBy(*bucket).orderBy(F.col("route_id").asc()))
-    ranked = s.join(offsets, bucket).select(
+    local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = parts.join(offsets, part).select(
         *keys, "route_id", "trip_count", "group_trips",
-        (F.col("__routes_before") + local).cast("int").alias("route_rank"),
-        (F.col("__trips_before") + local * F.col("trip_count")).alias("cum_trips"),
-    )
-    return ranked.select(
-        *keys, "route_id", "trip_count", "route_rank",
-        (F.col("trip_count") / F.col("group_trips")).alias("trip_pct"),
-        (F.col("cum_trips") / F.col("group_trips")).alias("cum_trip_pct"),
-        "cum_trips", "group_trips",
+        (F.col("__routes_before") + F.row_number().over(local)).cast("int").alias("route_rank"),
+        (F.col("__trips_before") + F.sum("trip_count").over(local)).alias("cum_trips"),
     )
+    return _ranked_columns(ranked, keys)
 
 
-def top_routes(ranked: DataFrame, k: int = K.TOP_ROUTES) -> DataFrame:
-    """Top-``k`` routes per group (rank filter after the ranking window; the
-    totals need every route of the group, so no early group limit)."""
-    return ranked.where(F.col("route_rank") <= k)
+def top_routes(summary: DataFrame, keys: Sequence[str] = ("user_type",), k: int = K.TOP_ROUTES) -> DataFrame:
+    """The ``k`` first routes per group of :func:`route_ranked`, straight from
+    the counts: each task keeps its own ``k`` per group before the shuffle."""
+    keys = list(keys)
+    w = (Window.partitionBy(*keys).orderBy(F.col("trip_count").desc(), F.col("route_id").asc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    top = summary.select(
+        *keys, "route_id", "trip_count",
+        F.row_number().over(w).alias("route_rank"), F.sum("trip_count").over(w).alias("cum_trips"),
+    ).where(F.col("route_rank") <= k)
+    totals = summary.groupBy(*keys).agg(F.sum("trip_count").alias("group_trips"))
+    return _ranked_columns(join_groups(top, totals, keys), keys)
 
 
-def routes_for_share(ranked: DataFrame, keys: Sequence[str] = ("user_type",), share: float = 0.5) -> DataFrame:
-    """Fewest top routes that together carry at least ``share`` of the trips."""
-    reached = F.col("cum_trips").cast("double") >= F.lit(share) * F.col("group_trips").cast("double")
-    return ranked.where(reached).groupBy(*keys).agg(
-        F.min("route_rank").alias(f"routes_for_{int(round(share * 100))}pct")
+def route_kpi_summary(summary: DataFrame, keys: Sequence[str] = ("user_type",), share: float = 0.5,
+                      k: int = K.TOP_ROUTES) -> DataFrame:
+    """Fewest top routes that together carry at least ``share`` of the group's
+    trips, and the share of trips carried by its top ``k`` routes.
+
+    Routes of equal trip count need no order for this: the steps run over the
+    distinct trip counts of a group, largest first.
+    """
+    keys = list(keys)
+    c, nr = F.col("trip_count"), F.col("__nr")
+    sizes = summary.groupBy(*keys, "trip_count").agg(F.count(F.lit(1)).alias("__nr"))
+    before = (Window.partitionBy(*keys).orderBy(c.desc())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = sizes.select(
+        *keys, c, nr,
+        (F.sum("__nr").over(before) - nr).alias("__rb"),
+        (F.sum(c * nr).over(before) - c * nr).alias("__tb"),
+        F.sum(c * nr).over(Window.partitionBy(*keys)).alias("__t"),
+    )
+    # the first whole number of trips that reaches the share
+    missing = F.ceil(F.lit(float(share)) * F.col("__t").cast("double")).cast("bigint") - F.col("__tb")
+    needed = F.greatest(F.lit(1).cast("bigint"), F.ceil(missing / F.greatest(c, F.lit(1))).cast("bigint"))
+    of_top = F.greatest(F.lit(0).cast("bigint"), F.least(nr, F.lit(k) - F.col("__rb")))
+    return steps.groupBy(*keys).agg(
+        F.min(F.when(missing <= c * nr, F.col("__rb") + needed)).cast("int")
+        .alias(f"routes_for_{int(round(share * 100))}pct"),
+        (F.sum(c * of_top) / F.max("__t")).alias(f"pct_trip_top{k}"),
     )
 
 
-def top_route_share(ranked: DataFrame, keys: Sequence[str] = ("user_type",), k: int = K.TOP_ROUTES) -> DataFrame:
-    """Share of the group's trips carried by its top-``k`` routes."""
-    return top_routes(ranked, k).groupBy(*keys).agg(
-        (F.sum("trip_count") / F.max("group_trips")).alias(f"pct_trip_top{k}")
-    )
+def routes_for_share(summary: DataFrame, keys: Sequence[str] = ("user_type",), share: float = 0.5) -> DataFrame:
+    """Fewest top routes that together carry at least ``share`` of the trips."""
+    return route_kpi_summary(summary, keys, share).select(*keys, f"routes_for_{int(round(share * 100))}pct")
 
 
-def route_kpi_summary(ranked: DataFrame, keys: Sequence[str] = ("user_type",), share: float = 0.5,
-                      k: int = K.TOP_ROUTES) -> DataFrame:
-    """Both route KPIs in one aggregate (the left join of the two KPI tables,
-    fused: every group reaches the share, so no group is lost)."""
-    reached = F.col("cum_trips").cast("double") >= F.lit(share) * F.col("group_trips").cast("double")
-    return ranked.groupBy(*keys).agg(
-        F.min(F.when(reached, F.col("route_rank"))).alias(f"routes_for_{int(round(share * 100))}pct"),
-        (F.sum(F.when(F.col("route_rank") <= k, F.col("trip_count"))) / F.max("group_trips"))
-        .alias(f"pct_trip_top{k}"),
-    )
+def top_route_share(summary: DataFrame, keys: Sequence[str] = ("user_type",), k: int = K.TOP_ROUTES) -> DataFrame:
+    """Share of the group's trips carried by its top-``k`` routes."""
+    return route_kpi_summary(summary, keys, k=k).select(*keys, f"pct_trip_top{k}")

@@ -11,10 +11,11 @@ Scale notes
   ``QUANTILE_BUCKET_WIDTH`` distinct values, however large or skewed a group
   is.  The built-in ``percentile`` (``method="builtin"``) is also exact but
   merges every partial value map of a group in one final task.
-* Bounds/statistics tables are one row per group of low-cardinality keys
-  (year, user type, age bin, peak flag).  They are written once to the
-  checkpoint folder, counted, and broadcast only when the count is at most
-  ``BROADCAST_MAX_ROWS``.
+* Outlier counts and histograms also start from value counts, so the rows are
+  scanned once and only distinct values meet the fences or ranges.
+* Only :func:`flag_outliers` joins fences to rows.  They are one row per group
+  of low-cardinality keys, written once to the checkpoint folder, counted, and
+  broadcast only when the count is at most ``BROADCAST_MAX_ROWS``.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from velostat import constants as K
 from velostat.session import save_and_reload
 
 _QUANTILE_NAMES = {0.25: "q1", 0.5: "med", 0.75: "q3"}
+QUARTILES = ((0.25, 0.5, 0.75), ("q1", "med", "q3"))
 # distinct integral values per window partition in the bucketed running count
 QUANTILE_BUCKET_WIDTH = 4096
 # slices of a group's value range for non-integral values in the bucketed running count
@@ -81,12 +83,27 @@ def join_group_table(
 
 
 def join_groups(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left-join two per-group tables (both one row per group) on ``keys``,
-    NULL matching NULL.  Both sides are aggregates, so no hint is given."""
+    """Left-join a per-group table ``b`` onto an aggregated table ``a`` by
+    ``keys``, NULL matching NULL.  Lazy and without a hint: a small ``b`` is
+    broadcast by Catalyst or, from its measured size, by AQE."""
     keys = _keys(keys)
+    if not keys:
+        raise ValueError("join_groups needs at least one key")
     ren = {k: f"__j_{k}" for k in keys}
-    bb = b.withColumnsRenamed(ren)
-    return a.join(bb, null_safe_join_cond(a, bb, [(k, ren[k]) for k in keys]), "left").drop(*ren.values())
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(ren[k]))
+        cond = c if cond is None else (cond & c)
+    return a.join(b.withColumnsRenamed(ren), cond, "left").drop(*ren.values())
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows per ``(keys, value)`` as ``__c``; NULL values are counted too.
+
+    Fences, outlier counts and histograms all start from this one aggregate.
+    They use it unfiltered and with the same columns, so its shuffle is
+    computed once and reused, and the trips are scanned once."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
 
 
 # ---------------------------------------------------------------- quantiles
@@ -125,19 +142,26 @@ def quantiles(
     if method != "counts":
         raise ValueError(f"unknown quantile method {method!r}")
 
+    counts = value_counts(df.where(F.col(value).isNotNull()), keys, value)
+    return _quantiles_of_counts(counts, keys, value, probs, names, bucket_width)
+
+
+def _quantiles_of_counts(
+    counts: DataFrame, keys: list[str], value: str, probs: Sequence[float], names: Sequence[str],
+    bucket_width: int | None = QUANTILE_BUCKET_WIDTH,
+) -> DataFrame:
+    """Quantiles from rows ``(keys, value, __c)``.  A value may be spread over
+    several rows; a NULL value has no rank."""
     # Built from SQL expression text: the same plan as Column objects, but one
     # JVM call per expression instead of one per node.
     q = _quote
     vq = q(value)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    integral = isinstance(df.schema[value].dataType, T.IntegralType)
-    if integral and bucket_width:
-        ranked = _ranks_bucketed(counts, keys, value, bucket_width)
-    elif bucket_width:
-        ranked = _ranks_bucketed(counts, keys, value, None)
+    integral = isinstance(counts.schema[value].dataType, T.IntegralType)
+    if bucket_width:
+        ranked = _ranks_bucketed(counts, keys, value, bucket_width if integral else None)
     else:
         part = f"PARTITION BY {', '.join(q(k) for k in keys)}" if keys else ""
-        ranked = counts.selectExpr(
+        ranked = counts.where(F.col(value).isNotNull()).selectExpr(
             *[q(k) for k in keys], vq, "__c",
             f"sum(__c) OVER ({part} ORDER BY {vq} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __hi",
             f"sum(__c) OVER ({part}) AS __n",
@@ -151,6 +175,8 @@ def quantiles(
             aggs.append(F.expr(f"max(CASE WHEN __hi - __c <= {rank} AND {rank} < __hi THEN {vq} END)")
                         .alias(f"__{side}{i}"))
     picked = ranked.groupBy(*keys).agg(*aggs)
+    if keys:
+        picked = picked.where("__n > 0")  # a group of NULL values only has no quantiles
     cols = []
     for i, (p, n) in enumerate(zip(probs, names)):
         pos = f"({float(p)!r}D * CAST(__n - 1 AS DOUBLE))"
@@ -170,26 +196,27 @@ def _ranks_bucketed(counts: DataFrame, keys: list[str], value: str, width: int |
     monotone in the value).  Bucket totals (one row per non-empty bucket)
     give each bucket its rank offset; the running count then only runs
     *within* a bucket.  Groups are carried as one non-null struct, so NULL
-    group keys match in the join without special handling.
+    group keys match in the join without special handling.  Rows with a NULL
+    value fall into bucket 0 with count 0 instead of being filtered out: no
+    filter can then make the two uses of ``counts`` differ, and their shuffle
+    is reused.
     """
     q = _quote
     vq = q(value)
+    known = f"CASE WHEN {vq} IS NULL THEN 0L ELSE __c END AS __c"
     grp = f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {q(k)}' for k in keys)})" if keys else "0"
     if width is not None:
-        cb = counts.selectExpr(f"{grp} AS __g", vq, "__c", f"({vq} - pmod({vq}, {width}L)) div {width}L AS __bk")
+        cb = counts.selectExpr(f"{grp} AS __g", vq, known,
+                               f"coalesce(({vq} - pmod({vq}, {width}L)) div {width}L, 0L) AS __bk")
     else:
-        base = counts.selectExpr(f"{grp} AS __g", vq, "__c")
+        base = counts.selectExpr(f"{grp} AS __g", vq, known)
         rng = base.groupBy("__g").agg(F.min(value).alias("__mn"), F.max(value).alias("__mx"))
         nb = RANGE_BUCKETS
         cb = join_group_table(base, rng, ["__g"]).selectExpr(
             "__g", vq, "__c",
-            f"CASE WHEN __mx = __mn THEN 0L ELSE least(CAST(floor((CAST({vq} AS DOUBLE) - __mn) / "
-            f"(CAST(__mx AS DOUBLE) - __mn) * {nb}) AS BIGINT), {nb - 1}L) END AS __bk",
+            f"coalesce(CASE WHEN __mx = __mn THEN 0L ELSE least(CAST(floor((CAST({vq} AS DOUBLE) - __mn) / "
+            f"(CAST(__mx AS DOUBLE) - __mn) * {nb}) AS BIGINT), {nb - 1}L) END, 0L) AS __bk",
         )
-    # the join below would infer this filter for one of cb's two uses only;
-    # stating it for both keeps the two plans identical, so the counts
-    # shuffle is computed once and reused
-    cb = cb.where(F.col("__bk").isNotNull())
     offsets = cb.groupBy("__g", "__bk").agg(F.sum("__c").alias("__bc")).selectExpr(
         "__g", "__bk",
         "sum(__bc) OVER (PARTITION BY __g ORDER BY __bk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -213,9 +240,12 @@ def iqr_summary(
 ) -> DataFrame:
     """Per group: ``q1, med, q3, iqr, lower, upper`` (Tukey fences at ``k``·IQR)."""
     keys = _keys(keys)
-    q = quantiles(df, keys, value, (0.25, 0.5, 0.75), ("q1", "med", "q3"), method=method)
+    return _fences(quantiles(df, keys, value, *QUARTILES, method=method), keys, k)
+
+
+def _fences(quartiles: DataFrame, keys: Sequence[str], k: float) -> DataFrame:
     kk = f"{float(k)!r}D"
-    return q.selectExpr(
+    return quartiles.selectExpr(
         *[_quote(c) for c in keys], "q1", "med", "q3", "q3 - q1 AS iqr",
         f"q1 - {kk} * (q3 - q1) AS lower", f"q3 + {kk} * (q3 - q1) AS upper",
     )
@@ -245,51 +275,68 @@ def flag_outliers(
     )
 
 
-def outlier_share(flagged: DataFrame, keys: Sequence[str] | str | None = ("user_type",)) -> DataFrame:
-    """``total, outliers, pct`` per group of flagged rows (pct in percent)."""
-    keys = _keys(keys)
-    out = flagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_outlier")).alias("outliers")
+def outlier_summary(
+    df: DataFrame, keys: Sequence[str] | str, value: str = "duration_sec", k: float = K.IQR_K,
+    by: Sequence[str] | str | None = None,
+) -> DataFrame:
+    """Per group of ``keys`` (and ``by``): ``total`` rows, ``known`` rows with a
+    value, ``outlier_left`` and ``outlier_right``, and the fences of the
+    ``keys`` group they were counted against.
+
+    Fences and counts both come from :func:`value_counts`: the rows are
+    scanned once and never joined, the fences meet one row per distinct value.
+    """
+    keys, by = _keys(keys), _keys(by)
+    counts = value_counts(df, keys + by, value)
+    fences = _fences(_quantiles_of_counts(counts, keys, value, *QUARTILES), keys, k)
+    v = F.col(value)
+
+    def rows(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("__c"))), F.lit(0).cast("bigint"))
+
+    return join_groups(counts, fences, keys).groupBy(*keys, *by).agg(
+        F.sum("__c").alias("total"),
+        rows(v.isNotNull()).alias("known"),
+        rows(v < F.col("lower")).alias("outlier_left"),
+        rows(v > F.col("upper")).alias("outlier_right"),
+        *[F.max(c).alias(c) for c in ("q1", "med", "q3", "iqr", "lower", "upper")],
     )
+
+
+def outlier_share(
+    df: DataFrame, keys: Sequence[str] | str = ("user_type",), value: str = "duration_sec", k: float = K.IQR_K,
+) -> DataFrame:
+    """``total, outliers, pct`` per group (pct in percent)."""
+    outliers = (F.col("outlier_left") + F.col("outlier_right")).alias("outliers")
+    out = outlier_summary(df, keys, value, k).select(*_keys(keys), "total", outliers)
     return out.withColumn("pct", F.col("outliers") / F.col("total") * 100)
 
 
-def outlier_tails(flagged: DataFrame, keys: Sequence[str] | str | None = ("user_type",)) -> DataFrame:
+def outlier_tails(
+    df: DataFrame, keys: Sequence[str] | str = ("user_type",), value: str = "duration_sec", k: float = K.IQR_K,
+) -> DataFrame:
     """``total, outlier_left, outlier_right, pct_left, pct_right`` per group."""
-    keys = _keys(keys)
-    out = flagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("is_outlier_left")).alias("outlier_left"),
-        F.count_if(F.col("is_outlier_right")).alias("outlier_right"),
-    )
-    return out.select(
-        "*",
+    return outlier_summary(df, keys, value, k).select(
+        *_keys(keys), "total", "outlier_left", "outlier_right",
         (F.col("outlier_left") / F.col("total") * 100).alias("pct_left"),
         (F.col("outlier_right") / F.col("total") * 100).alias("pct_right"),
     )
 
 
 def iqr_with_outlier_pct(
-    df: DataFrame, keys: Sequence[str] | str | None, value: str = "duration_sec", k: float = K.IQR_K,
-    method: str = "counts",
+    df: DataFrame, keys: Sequence[str] | str, value: str = "duration_sec", k: float = K.IQR_K,
 ) -> DataFrame:
-    """IQR summary plus the percentage of the group's rows outside its own
-    fences — two phases: the fences, then one pass over the rows joined to
-    them (the fence columns ride along through that aggregate)."""
-    keys = _keys(keys)
-    bounds = iqr_summary(df, keys, value, k, method=method)
-    stat_cols = ["q1", "med", "q3", "iqr", "lower", "upper"]
-    v = F.col(value)
-    joined = join_group_table(df.select(*keys, value), bounds, keys)
-    outside = ((v < F.col("lower")) | (v > F.col("upper"))).cast("double")
-    return joined.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in stat_cols], (F.avg(outside) * 100).alias("outlier_pct")
+    """IQR summary plus the percentage of the group's values outside its own fences."""
+    outside = (F.col("outlier_left") + F.col("outlier_right")).cast("double")
+    return outlier_summary(df, keys, value, k).select(
+        *_keys(keys), "q1", "med", "q3", "iqr", "lower", "upper",
+        (F.try_divide(outside, F.col("known")) * 100).alias("outlier_pct"),
     )
 
 
 # ------------------------------------------------------------------- shares
 def share_within(
-    counts: DataFrame, within: Sequence[str] | str | None, count_col: str = "n",
+    counts: DataFrame, within: Sequence[str] | str, count_col: str = "n",
     scale: float = 1.0, name: str = "pct",
 ) -> DataFrame:
     """Add ``name = count / sum(count) over the `within` group × scale``.
@@ -298,8 +345,9 @@ def share_within(
     window partition holds one row per key value, not per trip.
     """
     within = _keys(within)
-    w = Window.partitionBy(*within) if within else Window.partitionBy()
-    total = F.sum(count_col).over(w)
+    if not within:
+        raise ValueError("share_within needs a group: one over all rows would be a single task")
+    total = F.sum(count_col).over(Window.partitionBy(*within))
     share = F.try_divide(F.col(count_col).cast("double"), total.cast("double"))  # NULL for a 0 total
     if scale != 1.0:
         share = share * F.lit(scale)
@@ -307,34 +355,36 @@ def share_within(
 
 
 def count_share(
-    df: DataFrame, count_keys: Sequence[str], within: Sequence[str] | str | None,
+    df: DataFrame, count_keys: Sequence[str], within: Sequence[str] | str,
     scale: float = 1.0, name: str = "pct", totals: str = "window",
 ) -> DataFrame:
     """``groupBy(count_keys).count()`` as ``n`` plus its share within ``within``.
 
     ``totals="window"`` divides by a window sum (fine when a group has a few
     counted keys); ``totals="join"`` aggregates the group totals separately
-    and attaches them with :func:`join_group_table`, so a group with very
-    many keys (routes) is never gathered into one task.
+    and attaches them with :func:`join_groups`, so a group with very many keys
+    (routes) is never gathered into one task; the counts are aggregated once.
     """
     counts = df.groupBy(*count_keys).agg(F.count(F.lit(1)).alias("n"))
     within = _keys(within)
-    if totals == "window" or not within:
+    if totals == "window":
         return share_within(counts, within, "n", scale, name)
     tot = counts.groupBy(*within).agg(F.sum("n").alias("__total"))
     share = F.try_divide(F.col("n").cast("double"), F.col("__total").cast("double"))
     if scale != 1.0:
         share = share * F.lit(scale)
-    return join_group_table(counts, tot, within).select(*counts.columns, share.alias(name))
+    return join_groups(counts, tot, within).select(*counts.columns, share.alias(name))
 
 
 # --------------------------------------------------------------- densify
 def densify(
     counts: DataFrame, groups: Sequence[str], key: str, lo: int, hi: int, fill: dict[str, object],
-    carry: Sequence[str] = (),
+    carry: Sequence[str] = (), bounded: bool = False,
 ) -> DataFrame:
     """Every integer ``key`` in ``[lo, hi]`` for every group; missing rows get
     ``fill``.  Rows with a NULL key, or one outside the domain, stay as they are.
+    ``bounded`` states that no key is outside the domain (NULL may occur): the
+    counts are then read once.
 
     ``counts`` must be one row per ``(groups…, key)`` (an aggregate).  Inside
     the domain each group gathers at most ``hi - lo + 1`` entries into a map;
@@ -347,14 +397,23 @@ def densify(
     inside = F.coalesce(F.col(key).between(lo, hi), F.lit(False))
     entries = F.collect_list(F.when(inside, F.struct(F.col(key), F.struct(*values))))
     per_group = counts.groupBy(*groups).agg(
-        F.map_from_entries(entries).alias("__m"), *[F.max(c).alias(c) for c in carry],
+        F.map_from_entries(entries).alias("__m"),
+        F.max(F.when(F.col(key).isNull(), F.struct(*values))).alias("__null"),  # one row per group at most
+        *[F.max(c).alias(c) for c in carry],
     )
-    dom = per_group.select(*groups, *carry, "__m",
-                           F.explode(F.sequence(F.lit(lo).cast(kt), F.lit(hi).cast(kt))).alias(key))
-    hit = F.try_element_at(F.col("__m"), F.col(key))
-    cols = [F.coalesce(hit[c], F.lit(fill[c])).alias(c) if c in fill else hit[c].alias(c) for c in values]
-    outside = counts.where(~inside).select(*groups, key, *carry, *values)
-    return dom.select(*groups, key, *carry, *cols).unionByName(outside)
+    domain = F.sequence(F.lit(lo).cast(kt), F.lit(hi).cast(kt))
+    with_null = F.concat(domain, F.array(F.lit(None).cast(kt)))
+    domain = F.when(F.col("__null").isNull(), domain).otherwise(with_null)
+    dom = per_group.select(*groups, *carry, "__m", "__null", F.explode(domain).alias(key))
+    hit = F.when(F.col(key).isNull(), F.col("__null")).otherwise(
+        F.try_element_at(F.col("__m"), F.coalesce(F.col(key), F.lit(lo).cast(kt))))
+    cols = [F.when(F.col(key).isNull(), hit[c]).otherwise(F.coalesce(hit[c], F.lit(fill[c]))).alias(c)
+            if c in fill else hit[c].alias(c) for c in values]
+    dense = dom.select(*groups, key, *carry, *cols)
+    if bounded:
+        return dense
+    outside = counts.where(~inside & F.col(key).isNotNull()).select(*groups, key, *carry, *values)
+    return dense.unionByName(outside)
 
 
 # ------------------------------------------------------------- histogram
@@ -365,6 +424,7 @@ def histogram(
     bins: int,
     scale_keys: Sequence[str] | None = None,
     log10: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Equal-width histogram of ``value`` per group of ``keys``.
 
@@ -375,31 +435,36 @@ def histogram(
     ``(min - w/2 + i·w, min - w/2 + (i+1)·w]``, so the first bin is centred
     on ``min`` and the last on ``max``.  ``log10=True`` bins ``log10(value)``
     over positive values only.  Empty bins are emitted with ``n = 0``.
+    ``weight`` names a column saying how many values a row stands for.
     Output: ``keys…, bin, bin_lo, bin_hi, n``.
 
-    Plan: one aggregate for the range per scale group (broadcast: one row
-    per scale group), one aggregate for the counts, then :func:`densify`.
+    Plan: one aggregate over the rows, by distinct value; the range per scale
+    group and the bins both come from it, then :func:`densify`.
     """
     keys = list(keys)
     scale_keys = list(scale_keys) if scale_keys is not None else keys
     x = F.log10(F.col(value)) if log10 else F.col(value).cast("double")
     base = df.where(F.col(value) > 0) if log10 else df.where(F.col(value).isNotNull())
-    rows = base.select(*keys, x.alias("__x"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    rows = base.groupBy(*keys, value).agg(n.alias("__c")).select(*keys, x.alias("__x"), "__c")
+    # reading the count here keeps both uses of ``rows`` the same aggregate: a
+    # plain min/max would be planned on the raw rows, with a second scan
+    used = F.when(F.col("__c") > 0, F.col("__x"))
     width = (F.col("__max") - F.col("__min")) / F.lit(float(bins - 1))
     stats = (
         rows.groupBy(*scale_keys)
-        .agg(F.min("__x").alias("__min"), F.max("__x").alias("__max"))
+        .agg(F.min(used).alias("__min"), F.max(used).alias("__max"))
         .select(*scale_keys, "__min", F.when(width > 0, width).otherwise(F.lit(1.0)).alias("__w"))
         .select(*scale_keys, (F.col("__min") - F.col("__w") / 2).alias("__b"), "__w")
     )
     idx = F.ceil((F.col("__x") - F.col("__b")) / F.col("__w")) - 1
     idx = F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = (
-        join_group_table(rows, stats, scale_keys)
+        join_groups(rows, stats, scale_keys)
         .groupBy(*keys, idx.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max("__b").alias("__b"), F.max("__w").alias("__w"))
+        .agg(F.sum("__c").alias("n"), F.max("__b").alias("__b"), F.max("__w").alias("__w"))
     )
-    out = densify(counts, keys, "bin", 0, bins - 1, {"n": 0}, carry=("__b", "__w"))
+    out = densify(counts, keys, "bin", 0, bins - 1, {"n": 0}, carry=("__b", "__w"), bounded=True)
     return out.select(
         *keys, "bin",
         (F.col("__b") + F.col("bin") * F.col("__w")).alias("bin_lo"),

@@ -274,8 +274,12 @@ def peak_share_demo(spark, sf):
 def peak_share_trimmed(spark, sf):
     """Peak share after removing each group's duration outliers (IQR fences)."""
     t = D.trips(spark, sf).select("year", "user_type", "duration_sec", "is_peak")
-    kept = stats.flag_outliers(t, YEAR_USER).where(~F.col("is_outlier"))
-    return profile.peak_share(kept, YEAR_USER)
+    kept = F.col("known") - F.col("outlier_left") - F.col("outlier_right")
+    out = stats.outlier_summary(t, YEAR_USER, by=["is_peak"]).groupBy(*YEAR_USER).agg(
+        F.coalesce(F.sum(F.when(F.col("is_peak"), kept)), F.lit(0).cast("bigint")).alias("n_peak"),
+        F.sum(kept).alias("n_total"),
+    ).where(F.col("n_total") > 0)
+    return out.withColumn("peak_pct", F.col("n_peak") / F.col("n_total") * 100)
 
 
 @query
@@ -346,30 +350,29 @@ def iqr_age_group(spark, sf):
     return stats.iqr_with_outlier_pct(D.demo_trips(spark, sf), ["age_group"])
 
 
-def _peak_flagged(spark, sf, peak=True):
-    t = D.trips(spark, sf)
-    t = t.where(F.col("is_peak") if peak else ~F.col("is_peak"))
-    return stats.flag_outliers(t.select("year", "trip_id", "user_type", "duration_sec"), YEAR_USER)
+def _peak_trips(spark, sf, peak=True):
+    return D.trips(spark, sf).where(F.col("is_peak") if peak else ~F.col("is_peak"))
 
 
 @query
 def outlier_flags(spark, sf):
-    return _peak_flagged(spark, sf)
+    t = _peak_trips(spark, sf).select("year", "trip_id", "user_type", "duration_sec")
+    return stats.flag_outliers(t, YEAR_USER)
 
 
 @query
 def outlier_share_peak(spark, sf):
-    return stats.outlier_share(_peak_flagged(spark, sf), YEAR_USER)
+    return stats.outlier_share(_peak_trips(spark, sf), YEAR_USER)
 
 
 @query
 def outlier_tails_peak(spark, sf):
-    return stats.outlier_tails(_peak_flagged(spark, sf), YEAR_USER)
+    return stats.outlier_tails(_peak_trips(spark, sf), YEAR_USER)
 
 
 @query
 def outlier_tails_offpeak(spark, sf):
-    return stats.outlier_tails(_peak_flagged(spark, sf, peak=False), YEAR_USER)
+    return stats.outlier_tails(_peak_trips(spark, sf, peak=False), YEAR_USER)
 
 
 @query
@@ -386,6 +389,10 @@ def _route_share(spark, sf):
     return routes.route_share(D.trips(spark, sf).select("year", "user_type", "route_id"), YEAR_USER)
 
 
+def _route_sizes(spark, sf):
+    return routes.route_sizes(D.trips(spark, sf).select("year", "user_type", "route_id"), YEAR_USER)
+
+
 @query
 def route_share(spark, sf):
     return _route_share(spark, sf)
@@ -399,53 +406,51 @@ def route_share_stacked(spark, sf):
 
 @query
 def route_share_iqr(spark, sf):
-    return routes.route_share_iqr(_route_share(spark, sf), YEAR_USER)
+    return routes.route_share_iqr(_route_sizes(spark, sf), YEAR_USER)
 
 
 @query
 def route_share_histogram(spark, sf):
     """50 bins per (year, user type); rows with ``year`` NULL bin both years' routes stacked.
 
-    The stacked copy is the same share rows with ``year`` set to NULL, so one
+    The stacked copy is the same rows with ``year`` set to NULL, so one
     histogram pass (NULL is its own group) serves both views."""
-    shares = _route_share(spark, sf)
-    both = shares.unionByName(shares.withColumn("year", F.lit(None).cast("int")))
-    return routes.route_share_histogram(both, YEAR_USER)
+    views = F.explode(F.array(F.col("year"), F.lit(None).cast("int")))
+    return routes.route_share_histogram(_route_sizes(spark, sf).withColumn("year", views), YEAR_USER)
 
 
-def _ranked(spark, sf):
-    summary = routes.route_summary(D.trips(spark, sf).select("user_type", "route_id"))
-    return routes.route_ranked(summary)
+def _route_summary(spark, sf):
+    return routes.route_summary(D.trips(spark, sf).select("user_type", "route_id"))
 
 
 @query
 def route_summary(spark, sf):
-    return routes.route_summary(D.trips(spark, sf).select("user_type", "route_id"))
+    return _route_summary(spark, sf)
 
 
 @query
 def route_ranked(spark, sf):
-    return _ranked(spark, sf).drop("cum_trips", "group_trips")
+    return routes.route_ranked(_route_summary(spark, sf)).drop("cum_trips", "group_trips")
 
 
 @query
 def top10_routes(spark, sf):
-    return routes.top_routes(_ranked(spark, sf)).drop("cum_trips", "group_trips")
+    return routes.top_routes(_route_summary(spark, sf)).drop("cum_trips", "group_trips")
 
 
 @query
 def routes_for_50pct(spark, sf):
-    return routes.routes_for_share(_ranked(spark, sf))
+    return routes.routes_for_share(_route_summary(spark, sf))
 
 
 @query
 def top10_route_share(spark, sf):
-    return routes.top_route_share(_ranked(spark, sf))
+    return routes.top_route_share(_route_summary(spark, sf))
 
 
 @query
 def route_kpi_summary(spark, sf):
-    return routes.route_kpi_summary(_ranked(spark, sf))
+    return routes.route_kpi_summary(_route_summary(spark, sf))
 
 
 # ------------------------------------------------------------------- export
@@ -466,7 +471,7 @@ def bi_prepared_trips(spark, sf):
 
 @query
 def export_route_ranked(spark, sf):
-    return _ranked(spark, sf).select("user_type", "route_rank", "cum_trip_pct")
+    return routes.route_ranked(_route_summary(spark, sf)).select("user_type", "route_rank", "cum_trip_pct")
 
 
 @query

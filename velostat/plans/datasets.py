@@ -69,9 +69,10 @@ def shared_plan(fn):
     """Build a dataset's (lazy) DataFrame once per session, input folder and
     arguments, and hand the same plan to every query that uses it.
 
-    Only the plan is shared — nothing is cached or materialised — so every
-    action still reads the inputs.  This saves the Python-side cost of
-    re-analysing the same chain of transformations for each query.
+    With ``velostat.materialize`` on, the shared plan reads the curated copy
+    written at first use: input files that change later are seen only after
+    :func:`reset_plans`.  With it off only the plan is shared, and every action
+    reads the inputs.
     """
 
     @functools.wraps(fn)
