@@ -99,17 +99,10 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def compressed(raw: bytes) -> bytes:
+def compressed(raw: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _pack(texts: pd.Series) -> pd.Series:
-    import zstandard
-
-    packer = zstandard.ZstdCompressor(level=1)
-    return pd.Series([packer.compress(b"" if is_null(t) else t.encode()) for t in texts], dtype=object)
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def unpacked(packed: bytes) -> bytes:
@@ -118,6 +111,13 @@ def unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def packed(text: str) -> F.Column:
+def packed(text: str, level: int = 1) -> F.Column:
     """A text compressed, to shuffle half the bytes; null is empty."""
-    return F.pandas_udf(_pack, "binary")(text)
+
+    def pack(texts: pd.Series) -> pd.Series:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=level)
+        return pd.Series([packer.compress(b"" if is_null(t) else t.encode()) for t in texts], dtype=object)
+
+    return F.pandas_udf(pack, "binary")(text)
