@@ -97,6 +97,14 @@ def test_jaccard(case, monkeypatch, block):
     held(brute.jaccard(rows), rows_of(jaccard_join.similar_components(docs), "doc_id", "n_shingles", "component_id"))
 
 
+@pytest.mark.parametrize("few", [["x " * 50, "x " * 60], ["a b c d e " * 20, "a b c d e " * 30, "x y"]])
+def test_jaccard_of_long_texts_with_few_shingles(spark, few):
+    rows = list(enumerate(few))
+    want = brute.jaccard(rows)
+    assert [c for _, _, c in want[:2]] == [0, 0]
+    held(want, rows_of(jaccard_join.similar_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id"))
+
+
 @pytest.mark.parametrize("block_words", [10**6, 20])
 def test_decontamination(spark, case, block_words):
     docs, rows = case

@@ -215,9 +215,7 @@ def light_postings(docs: DataFrame, standing: DataFrame, width: int, percent: in
         for rows in rows_of(frames, "doc_id", "text"):
             out = []
             for doc, text in rows:
-                if is_null(text) or is_null(doc) or len(text.encode().split(None, boundary + width)) > boundary + width:
-                    continue
-                own = shingles(words_of(text), width).tolist()
+                own = [] if is_null(doc) else shingles(words_of(text), width).tolist()
                 for b in range(len(own), boundary + 1):
                     need = overlap_needed(b, percent)
                     if own and need <= len(own):
