@@ -105,6 +105,19 @@ def test_jaccard_of_long_texts_with_few_shingles(spark, few):
     held(want, rows_of(jaccard_join.similar_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id"))
 
 
+@pytest.mark.parametrize("in_half", [16, 19, 22])
+def test_jaccard_of_a_lower_percent(spark, in_half):
+    names = [f"w{i}" for i in range(400)]
+    low = [bool(jaccard_join.shingles([w.encode()], 1)[0] < jaccard_join._HALF) for w in names]
+    inside, outside = ([w for w, x in zip(names, low, strict=True) if x is side] for side in (True, False))
+    one = inside[:in_half] + outside[: 40 - in_half]
+    rows = [(1, one), (2, one + inside[50:90]), (3, one[:24] + outside[60:64]), (4, inside[90:100] + outside[90:120])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_components(docs, 1, 50).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert jaccard_join.half_mark(80) == 45
+
+
 @pytest.mark.parametrize("block_words", [10**6, 20])
 def test_decontamination(spark, case, block_words):
     docs, rows = case

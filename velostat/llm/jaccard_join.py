@@ -19,9 +19,10 @@ Equal texts are one class first.  Then classes meet in lists:
   whose own members are more than its slack is out at once; that takes away
   documents that merely share a passage.  To halve the traffic, lists are made
   over the half of all hashes whose top bit is 0, where the same holds as long
-  as that half has more than slack members.  Classes with at most 45 % of
-  their members there use the lists over all hashes as well: if one of a
-  linked pair has too few members, both are below that mark.
+  as that half has more than slack members.  Classes with at most
+  (1 - t) / t + (1 - t) of their members there (45 % for t = 0.8) use the lists
+  over all hashes as well: if one of a linked pair has too few members, both
+  are below that mark.
 
 A list of copies of one text could be as long as the table, so its pairs are
 never all made.  First every class is checked against one pivot, the smallest
@@ -63,6 +64,14 @@ def overlap_needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def half_mark(percent: int) -> int:
+    """Percent of its members in the half, up to which a class needs the lists
+    over all hashes: the half of the other holds at most 1 - t of that one's
+    members, itself at most 1 / t times as large, and 1 - t are missing there."""
+    missing = 100 - percent
+    return -(-missing * (100 + percent) // percent)
+
+
 def words_of(text) -> list[bytes]:
     return [] if is_null(text) else text.encode().lower().split()
 
@@ -127,6 +136,7 @@ def _members(docs: DataFrame, width: int, percent: int, boundary: int, buckets:
     the documents, and per member its low 32 bits and document's position.
     universe 0 is the half of all hashes, 1 is all of them."""
     columns = ["bucket", "docs", "slack", "total", "members", "owners"]
+    mark = half_mark(percent)
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in rows_of(frames, "doc_id", "text"):
@@ -139,7 +149,7 @@ def _members(docs: DataFrame, width: int, percent: int, boundary: int, buckets:
                     missing = len(own) - overlap_needed(len(own), percent)
                     half = own[own < _HALF]
                     lists = [(0, half)] if len(half) > missing else []
-                    if 100 * len(half) <= 45 * len(own):
+                    if 100 * len(half) <= mark * len(own):
                         lists.append((1, own))
                     for universe, part in lists:
                         docs.append(2 * int(doc) + universe)
