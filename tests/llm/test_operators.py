@@ -173,6 +173,26 @@ def test_packing_plan_covers_each_length_once():
     assert made == dict(zip(lengths, counts, strict=True))
 
 
+def test_packing_program_covers_everything(monkeypatch):
+    """Best-fit decreasing sees the whole histogram, to compare, and never a rest of the program."""
+    rng = np.random.default_rng(8)
+    lengths = np.unique(np.concatenate([rng.integers(2, 400, 300), rng.integers(2, 1024, 120), [1024]])).tolist()
+    counts = rng.integers(1, 6, len(lengths)).tolist()
+    plain, seen = packing.best_fit, []
+    monkeypatch.setattr(packing, "best_fit", lambda s, c, k: seen.append((c.tolist(), plain(s, c, k))) or seen[-1][1])
+    got, made = packing.plan(lengths, counts, 1024), dict.fromkeys(lengths, 0)
+    for config, times in got:
+        assert sum(a * b for a, b in config.items()) <= 1024
+        for length, n in config.items():
+            made[length] += n * times
+    assert made == dict(zip(lengths, counts, strict=True))
+    assert [c for c, _ in seen] == [counts]
+    assert sum(n for _, n in got) <= sum(n for _, n in seen[0][1])
+    alone = packing.program(np.array(lengths), np.array(counts), 1024)
+    assert sum(lengths[i] * n * times for c, times in alone for i, n in c.items()) == sum(a * b for a, b in zip(lengths, counts, strict=True))
+    assert sum(n for _, n in alone) <= 1.02 * sum(n for _, n in seen[0][1]) + 1  # as in test_packing
+
+
 def test_token_counts_follow_the_tokenizer(case):
     from tokenizers import Tokenizer, decoders, models, pre_tokenizers  # noqa: F401
 

@@ -1,13 +1,12 @@
-"""Best-fit packing by a configuration linear program.
+"""Packing by a configuration linear program.
 
 A document is the ids of its text followed by an end id; one longer than the
 capacity is cut into pieces of exactly that length, the last one possibly
 shorter.  Only the histogram of piece lengths, at most ``capacity`` rows, goes
 to the driver.  There the configuration program is solved by multiplicative
 weights: each round prices the lengths, a knapsack dynamic program finds the
-most valuable configuration, and that one is used as often as its scarcest
-length allows.  The average is rounded down to whole sequences; what is left
-over is packed best-fit decreasing.  The result is a bounded list of
+most valuable configurations, and those are used as many whole times as their
+scarcest length allows, until all is covered.  The result is a bounded list of
 (configuration, how often), and a join deals the pieces to places.
 
 A null or empty text is the end id alone.  Repeated rows are packed each.
@@ -33,8 +32,9 @@ from .common import is_null, rows_of, saved
 
 CAPACITY = 4096
 END = 1
-ROUNDS = 100
-EPSILON = 0.1
+#: How slowly covered lengths get cheap; configurations of one round, and by how
+#: much the others may be worth less than its best.
+EPSILON, TOGETHER, NEAR = 30.0, 32, 0.001
 #: Word ids that a worker remembers; it starts anew beyond that.
 REMEMBERED = 600_000
 #: Pieces that one task numbers, about.
@@ -131,52 +131,59 @@ def token_pieces(docs: DataFrame, tokenizer: str | Callable[[], str], capacity:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, _PIECES)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The knapsack program: whole numbers of each length, within capacity,
-    of the highest total price."""
+def best_values(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack program: per room, the highest total price that fits."""
+    price = np.full(capacity + 1, -np.inf)
+    price[lengths] = prices
     value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(int(lengths[0]), capacity + 1):
-        gains = value[room - lengths[: fits[room]]] + prices[: fits[room]]
-        best = gains.argmax()
-        if gains[best] > value[room - 1]:
-            value[room], choice[room] = gains[best], best
-        else:
-            value[room] = value[room - 1]
+        value[room] = max(value[room - 1], (value[:room] + price[room:0:-1]).max())
+    return value
+
+
+def best_configuration(lengths: np.ndarray, prices: np.ndarray, value: np.ndarray, free: np.ndarray) -> dict[int, int]:
+    """A configuration by the knapsack program's values that takes no more of
+    a length than are free; of equal choices the longest piece."""
     out: Counter = Counter()
-    room = capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-            continue
-        out[int(choice[room])] += 1
-        room -= int(lengths[choice[room]])
+    room = len(value) - 1
+    while (fits := np.flatnonzero((free > 0) & (lengths <= room))[::-1]).size:
+        best = int(fits[(value[room - lengths[fits]] + prices[fits]).argmax()])
+        out[best] += 1
+        free[best] -= 1
+        room -= int(lengths[best])
     return dict(out)
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, epsilon: float = EPSILON) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use each, by multiplicative weights.
+def program(size: np.ndarray, have: np.ndarray, capacity: int, epsilon: float = EPSILON) -> list[tuple[dict[int, int], int]]:
+    """(configuration by place of length, how often), covering every piece once,
+    by multiplicative weights.
 
     A length's price is its share of the capacity times a weight, which each
     use multiplies by exp(-covered share / epsilon): what is covered gets
-    cheap.  Each round takes the configuration of the highest price as often
-    as its scarcest length lasts, so the sum never covers a length above its
-    count, and a length that is covered leaves the program."""
-    covered = np.zeros(len(lengths))
-    used: list[tuple[dict[int, int], float]] = []
-    for _ in range(rounds):
-        open_ = np.nonzero(covered < counts - 1e-9)[0]
-        if not open_.size:
-            break
-        prices = lengths[open_] * np.exp(-covered[open_] / counts[open_] / epsilon)
-        config = {int(open_[i]): n for i, n in best_configuration(lengths[open_], prices, capacity).items()}
-        config = {i: min(n, int(counts[i])) for i, n in config.items()}
-        times = min((counts[i] - covered[i]) / n for i, n in config.items())
-        for i, n in config.items():
-            covered[i] += n * times
-        used.append((config, times))
-    return used
+    cheap.  A round prices the open lengths once and takes up to ``TOGETHER``
+    configurations that have no length in common, the best first and others
+    while they are worth nearly as much (``NEAR``).  Each is used as many whole
+    times as its scarcest length lasts; what rounding leaves stays in the
+    program, which goes on until nothing is left.  A use covers a length or
+    leaves less of it than the configuration takes, so the rounds grow with the
+    number of lengths, not with the counts."""
+    left = have.copy()
+    out: list[tuple[dict[int, int], int]] = []
+    while (open_ := np.flatnonzero(left)).size:
+        prices = size[open_] * np.exp((left[open_] / have[open_] - 1) / epsilon)
+        value, free, best = best_values(size[open_], prices, capacity), left[open_], 0.0
+        for _ in range(TOGETHER):
+            config = best_configuration(size[open_], prices, value, free)
+            worth = sum(prices[i] * n for i, n in config.items())
+            if not config or worth < (1 - NEAR) * best:
+                break
+            best = best or worth
+            times = min(int(left[open_[i]]) // n for i, n in config.items())
+            for i, n in config.items():
+                left[open_[i]] -= n * times
+                free[i] = 0
+            out.append(({int(open_[i]): n for i, n in config.items()}, times))
+    return out
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -204,25 +211,17 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return out
 
 
-def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """(configuration by length, how often), covering every piece once.
 
-    The rounded program and plain best-fit are both at hand; the one with
-    fewer sequences is taken, the program's on a tie."""
+    The program's plan, which covers all pieces by itself.  Where plain
+    best-fit needs fewer sequences (seen on histograms of some ten lengths with
+    high counts), that one is taken."""
     if not lengths:
         return []
     order = np.argsort(lengths)
     size, have = np.array(lengths, np.int64)[order], np.array(counts, np.int64)[order]
-    whole, left = [], have.copy()
-    for config, times in sorted(fractional(size, have, capacity, rounds), key=lambda x: -x[1]):
-        times = min([int(times), *(int(left[i]) // n for i, n in config.items())])
-        if times:
-            whole.append((config, times))
-            for i, n in config.items():
-                left[i] -= n * times
-    whole += best_fit(size, left, capacity)
-    plain = best_fit(size, have, capacity)
-    best = min((whole, plain), key=lambda x: sum(t for _, t in x))
+    best = min((program(size, have, capacity), best_fit(size, have, capacity)), key=lambda x: sum(t for _, t in x))
     return [({int(size[i]): n for i, n in config.items()}, times) for config, times in best]
 
 
@@ -275,10 +274,10 @@ def placed(pieces: DataFrame, configurations: list[tuple[dict[int, int], int]],
     )
 
 
-def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = CAPACITY, end: int = END, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Per piece of ``docs(doc_id, text)``: its ids' place, length and CRC-32,
     the sequence it goes to, and the place there."""
     pieces = saved(token_pieces(docs, tokenizer, capacity, end), "pieces")
     histogram = pieces.groupBy("length").count().orderBy("length").collect()  # at most capacity rows
-    configurations = plan([r["length"] for r in histogram], [r["count"] for r in histogram], capacity, rounds)
+    configurations = plan([r["length"] for r in histogram], [r["count"] for r in histogram], capacity)
     return placed(pieces, configurations, sum(r["count"] for r in histogram))
