@@ -15,6 +15,8 @@ from . import (
     jaccard_join,
     line_runs,
     packing,
+    periodic_runs,
+    prefix_trie,
     rule_ledger,
     suffix_dedup,
     token_count,
@@ -102,6 +104,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents", "doc_id", "text"))
+    runs, best = F.col("runs"), F.col("best")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    ranked = F.transform(runs, lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("q")))
+    return periodic_runs.find_runs(docs).withColumn("best", F.array_max(ranked)).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        (-best["s"]).alias("start"),
+        best["n"].alias("length"),
+        (-best["q"]).alias("period"),
+        F.expr("1000 * best.n div -best.q").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(runs, lambda r: F.concat(line(r), F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.turn_rows(rows)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -115,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_toxicity,
         op10_suffix_dedup,
+        op11_periodic_runs,
+        op13_prefix_trie,
     )
 }
 
