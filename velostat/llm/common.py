@@ -55,6 +55,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def deleted(df: DataFrame) -> None:
+    """Remove a table that :func:`saved` wrote, once nothing reads it again."""
+    files = df.inputFiles()
+    if files:
+        delete_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def lower_ascii(column):
     """A-Z to a-z, every other character as it is."""
     return F.translate(column, UPPER, LOWER)

@@ -98,9 +98,84 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN held USING (r)
 """
 
+#: Absolute canonical and refresh targets outside comments, scripts and styles.
+OP12 = r"""
+WITH RECURSIVE rules(action, host, path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), tags AS (
+  SELECT url, unnest(regexp_extract_all(
+    regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<textarea\b.*?</textarea\s*>', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>'
+  )) AS tag FROM pages WHERE url IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')
+), targets AS (
+  SELECT url AS a, CASE
+    WHEN regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?i)\shref\s*=\s*["'']?(https?://[^\s"''>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?(https?://[^\s"''>]+)', 1)
+  END AS b FROM tags
+), edges AS (
+  SELECT regexp_replace(a, '#.*$', '') AS a, regexp_replace(b, '#.*$', '') AS b FROM targets WHERE b <> ''
+), ends AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach(a, b) AS (
+  SELECT a, a FROM ends UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a
+), urls AS (
+  SELECT DISTINCT url FROM (SELECT coalesce(url, '') AS url FROM pages UNION ALL SELECT a FROM ends)
+), parts AS (
+  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls
+), fits AS (
+  SELECT url, r.host || r.path AS rule, action,
+    row_number() OVER (PARTITION BY url ORDER BY length(r.host || r.path) DESC, action, r.host || r.path) AS nr
+  FROM parts p JOIN rules r ON ends_with('.' || p.host, '.' || r.host) AND starts_with(p.path, r.path)
+), own AS (
+  SELECT url, host, path, rule, action FROM parts LEFT JOIN (SELECT url, rule, action FROM fits WHERE nr = 1) USING (url)
+), blocked AS (
+  SELECT DISTINCT reach.a AS node FROM reach JOIN own ON own.url = reach.b WHERE own.action = 'block'
+)
+SELECT page_id, host, path, rule, CASE WHEN action IS NOT NULL THEN action WHEN node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM pages JOIN own ON own.url = coalesce(pages.url, '') LEFT JOIN blocked ON blocked.node = regexp_replace(pages.url, '#.*$', '')
+"""
+
+#: crc32 of the decimal digits: each byte, then its eight shifts (-1), folded.
+_CRC32 = """(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}::VARCHAR, ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END))"""
+
+OP13 = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), keyed AS (
+  SELECT conv_id, turn, role, md5(length(role) || ':' || role || text) AS k, length(text)::BIGINT AS n FROM turns
+), convs AS (
+  SELECT conv_id, list(k ORDER BY turn NULLS FIRST, role, k) AS k, list(n ORDER BY turn NULLS FIRST, role, k) AS n FROM keyed GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, k, n, (xor({_CRC32.format("conv_id")}, 4294967295) % 6)::BIGINT AS h FROM convs
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.k[1 : h], []), c.k[h + 1 :]) AS k, list_concat(coalesce(b.n[1 : h], []), c.n[h + 1 :]) AS n
+  FROM heads c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100
+), members AS (
+  SELECT conv_id, d, array_to_string(k[1 : d], '') AS prefix, len(k) = d AS ends, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS n
+  FROM rebuilt, unnest(range(0, len(k) + 1)) AS t(d)
+), grouped AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS n,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends
+  FROM members GROUP BY prefix, d
+), nodes AS (
+  SELECT g.*, coalesce(c.n_children, 0) AS n_children FROM grouped g
+  LEFT JOIN (SELECT left(prefix, 32 * (d - 1)) AS prefix, count(*) AS n_children FROM grouped WHERE d > 0 GROUP BY 1) c ON c.prefix = g.prefix
+), below AS (
+  SELECT left(prefix, 32 * a) AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens
+  FROM nodes, unnest(range(0, d + 1)) AS t(a) GROUP BY 1
+)
+SELECT nodes.conv_id, nodes.d::BIGINT AS depth, up.conv_id AS parent_conv_id, nodes.n_convs::BIGINT AS n_convs, nodes.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(nodes.ends) AS ends_sha256
+FROM nodes JOIN below USING (prefix) LEFT JOIN grouped up ON nodes.d > 0 AND up.prefix = left(nodes.prefix, 32 * (nodes.d - 1))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": OP2,
     "op4_quality_rules": OP4,
     "op5_line_dedup": OP5,
     "op7_decontamination": OP7,
+    "op12_url_aliases": OP12,
+    "op13_prefix_trie": OP13,
 }

@@ -21,6 +21,7 @@ from . import (
     suffix_dedup,
     token_count,
     toxicity,
+    url_aliases,
 )
 from .common import table
 from .oracle import ORACLE_SQL
@@ -121,6 +122,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def url_rules() -> list[url_aliases.Rule]:
+    return [
+        url_aliases.Rule("allow", "org", "/"),
+        url_aliases.Rule("block", "example.org", "/es/"),
+        url_aliases.Rule("block", "example.org", "/en/1"),
+        url_aliases.Rule("allow", "com", "/fr/"),
+        url_aliases.Rule("block", "com", "/de/"),
+    ]
+
+
+def op12_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_aliases.verdicts(table(spark, sf_dir, "pages", "page_id", "url", "html"), url_rules())
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.turn_rows(rows)))
@@ -140,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_suffix_dedup,
         op11_periodic_runs,
+        op12_url_aliases,
         op13_prefix_trie,
     )
 }
