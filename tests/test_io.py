@@ -2,13 +2,14 @@
 
 import tempfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from velostat.operators.normalize import normalize_legacy
 from velostat.plans import datasets as D
-from velostat.sources import bi_prepare, read_trips_csv, snake_case, write_exports
+from velostat.sources import bi_prepare, published, read_trips_csv, snake_case, write_exports
 from velostat.streaming import append_trips, trip_stream
 
 
@@ -76,7 +77,9 @@ def test_bi_export_registry_writes_every_table(spark):
     tables = bi_tables(spark, SF_SMALL)
     paths = write_exports(tables, out)
     assert len(paths) == len(tables) == 15
-    n = spark.read.option("header", True).csv(f"{out}/pct_vld_2019").count()
+    paths = published(spark, out)
+    assert list(paths) == list(tables)
+    n = spark.read.option("header", True).csv(paths["pct_vld_2019"]).count()
     assert n == tables["pct_vld_2019"]().count()
 
 
@@ -181,3 +184,91 @@ def test_trip_exports_keep_their_own_columns(spark):
     tables = bi_tables(spark, SF_SMALL)
     assert {"bike_id", "gender", "birth"} <= set(tables["trip_2019"]().columns)
     assert {"start_lat", "start_lng", "end_lat", "end_lng"} <= set(tables["trip_2020"]().columns)
+
+
+def export_set(spark, tag, fail_at=None, n=6):
+    def table(i):
+        if i == fail_at:
+            # the fault shows only when the table's job runs
+            return spark.range(5).select(F.when(F.col("id") < 9, F.raise_error(F.lit("bad row"))).cast("int").alias("v"))
+        return spark.createDataFrame([(i, tag)], "i int, tag string")
+
+    return {f"table {i}": (lambda i=i: table(i)) for i in range(n)}
+
+
+def read_set(spark, out):
+    return {n: [tuple(r) for r in spark.read.option("header", True).csv(p).collect()] for n, p in published(spark, out).items()}
+
+
+def test_a_failed_export_leaves_the_old_set(spark):
+    import os
+
+    out = tempfile.mkdtemp(prefix="vs-publish-")
+    assert published(spark, out) == {}
+    write_exports(export_set(spark, "old"), out)
+    old = read_set(spark, out)
+    assert old == {f"table_{i}": [(str(i), "old")] for i in range(6)}
+    versions = sorted(os.listdir(f"{out}/versions"))
+    for fault in (dict(fail_at=5), dict(fail_at=0)):
+        with pytest.raises(Exception, match="bad row"):
+            write_exports(export_set(spark, "new", **fault), out)
+        assert read_set(spark, out) == old and sorted(os.listdir(f"{out}/versions")) == versions
+    with pytest.raises(ZeroDivisionError):
+        write_exports({**export_set(spark, "new"), "seventh": lambda: 1 / 0}, out)
+    assert read_set(spark, out) == old
+
+
+def test_a_new_export_replaces_the_whole_set_and_keeps_one_before(spark):
+    import os
+
+    out = tempfile.mkdtemp(prefix="vs-publish-again-")
+    for k, tag in enumerate(["one", "two", "three"]):
+        before = published(spark, out)
+        write_exports(export_set(spark, tag, n=6 - k), out)
+        assert read_set(spark, out) == {f"table_{i}": [(str(i), tag)] for i in range(6 - k)}
+        for path in before.values():  # a reader of the set before can finish
+            assert spark.read.option("header", True).csv(path).count() == 1
+    assert len(os.listdir(f"{out}/versions")) == 2
+    assert [f for f in os.listdir(out) if f.endswith(".tmp")] == []
+    write_exports(export_set(spark, "four"), out, keep=1)
+    assert len(os.listdir(f"{out}/versions")) == 1
+    with pytest.raises(ValueError, match="table_1"):
+        write_exports({"Table 1": lambda: None, "table_1": lambda: None}, out)
+
+
+def test_changed_input_files_are_curated_again(spark):
+    import shutil
+
+    folder = tempfile.mkdtemp(prefix="vs-inputs-")
+    for name in ("lineitem", "orders", "customer"):
+        shutil.copy(f"{SF_SMALL}/{name}.parquet", folder)
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.write.parquet(f"{folder}/events.parquet")
+    first = D.trips(spark, folder)
+    n = first.where("year = 2020").count()
+    assert D.trips(spark, folder) is first
+    events.withColumn("event_id", F.col("event_id") + 10_000_019).write.mode("append").parquet(f"{folder}/events.parquet")
+    second = D.trips(spark, folder)
+    assert second is not first and second.where("year = 2020").count() > n
+    assert first.where("year = 2020").count() == n  # a plan handed out keeps its copy
+    assert D.trips(spark, folder) is second
+    # written again in place: same name and rows, another time
+    pq.write_table(pq.read_table(f"{SF_SMALL}/orders.parquet").slice(0, 100), f"{folder}/orders.parquet")
+    assert D.legacy_raw(spark, folder).count() < 6000
+
+
+def test_input_key_of_many_files_follows_names_and_bytes(spark, monkeypatch):
+    import shutil
+
+    from velostat.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "LISTED_FILES", 0)
+    folder = tempfile.mkdtemp(prefix="vs-keys-")
+    for name in ("lineitem", "orders", "customer"):
+        shutil.copy(f"{SF_SMALL}/{name}.parquet", folder)
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.repartition(3).write.parquet(f"{folder}/events.parquet")
+    one = fixtures.input_key(spark, folder)
+    assert fixtures.input_key(spark, folder) == one
+    events.limit(5).write.mode("append").parquet(f"{folder}/events.parquet")
+    assert fixtures.input_key(spark, folder) != one

@@ -50,18 +50,24 @@ def test_the_trips_are_scanned_once(spark, name):
     assert executed(E.queries()[name](spark, SF_SMALL)).count("FileScan parquet") == 1
 
 
-@pytest.mark.parametrize("name", ["outlier_share_peak", "iqr_age_group", "peak_share_trimmed",
-                                  "duration_log_histogram", "route_share_histogram", "route_share_iqr"])
-def test_no_job_runs_before_the_result_is_asked_for(spark, name):
+@pytest.mark.parametrize("name", sorted(OWN))
+def test_no_job_runs_and_nothing_is_written_before_the_result_is_asked_for(spark, name):
+    import os
+
+    from velostat.session import session_folder
+
     q = E.queries()[name]
     q(spark, SF_SMALL)  # curation, if not done yet
     sc = spark.sparkContext
+    folder = session_folder(spark).replace("file:", "")
+    before = sorted(os.listdir(folder))
     sc.setJobGroup(f"build-{name}", name)
     try:
         q(spark, SF_SMALL)
         assert list(sc.statusTracker().getJobIdsForGroup(f"build-{name}")) == []
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(os.listdir(folder)) == before
 
 
 def test_curated_and_lazy_trips_have_one_schema_in_order(spark):
@@ -111,8 +117,14 @@ def test_top_routes_are_limited_per_task_before_the_shuffle(spark):
 def test_route_ranking_is_split_below_the_user_type(spark):
     # ranks and running totals are per (group, range partition)
     p = plan_of(E.queries()["route_ranked"](spark, SF_SMALL))
-    rn = p.split("row_number() windowspecdefinition(")[1].split(",")[:2]
-    assert rn[0].startswith("__g#") and rn[1].strip().startswith("__p#")
+    rn = p.split("row_number() windowspecdefinition(")[1].split(",")[:3]
+    assert [c.strip().split("#")[0] for c in rn] == ["__g", "trip_count", "__p"]
+
+
+def test_outlier_flags_broadcast_a_bounded_number_of_groups(spark):
+    p = plan_of(E.queries()["outlier_flags"](spark, SF_SMALL))
+    first = p.split("BroadcastExchange")[1].split("Exchange")[0]
+    assert "TakeOrderedAndProject(limit=100000" in first and "octet_length" in first
 
 
 def test_longest_trips_keep_every_row(spark):

@@ -254,14 +254,13 @@ def test_route_ranking_splits_many_routes_of_one_prefix_and_count(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         summary = spark.range(120_000).select(
-            F.lit("member").alias("user_type"), F.format_string("NA_%06d", "id").alias("route_id"),
-            F.lit(1).cast("bigint").alias("trip_count"))
+            F.when(F.col("id") >= 0, "member").alias("user_type"), F.format_string("NA_%06d", "id").alias("route_id"),
+            F.when(F.col("id") >= 0, 1).cast("bigint").alias("trip_count"))
         ranked = routes.route_ranked(summary)
         wrong = ranked.where(F.col("route_rank") != F.substring("route_id", 4, 6).cast("int") + 1)
         assert ranked.count() == 120_000 and wrong.count() == 0
-        dealt = summary.repartitionByRange("user_type", F.col("trip_count").desc(), "route_id")
-        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
-        assert len(sizes) > 1 and max(sizes) < 120_000 / 2
+        sizes = [r["count"] for r in routes.ranking_ranges(summary).groupBy("__p").count().collect()]
+        assert len(sizes) > 100 and max(sizes) < 120_000 / 50
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
 
@@ -303,3 +302,141 @@ def test_range_bucketed_quantiles_for_doubles(spark):
         vals = [v for k, v in rows if k == g]
         want = tuple(float(x) for x in np.percentile(vals, [25, 50, 75]))
         assert bucketed[g] == pytest.approx(want, rel=1e-12) and builtin[g] == pytest.approx(want, rel=1e-12)
+
+
+def test_one_outlier_leaves_the_value_buckets_small(spark):
+    rng = np.random.default_rng(8)
+    vals = [*rng.normal(0, 1, size=20_000).tolist(), 1e12, -1e300, 0.0, -0.0]
+    df = spark.createDataFrame([(1, float(v)) for v in vals] + [(None, 4.5), (2, None)], "g int, v double")
+    counts = stats.value_counts(df, ["g"], "v")
+    sc = spark.sparkContext
+    sc.setJobGroup("build-quantiles", "quantiles")
+    try:
+        out = stats.quantiles(df, ["g"], "v")
+        ranked = stats._ranks_bucketed(counts, ["g"], "v", None)
+        assert list(sc.statusTracker().getJobIdsForGroup("build-quantiles")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    got = {r.g: (r.q1, r.med, r.q3) for r in out.collect()}
+    assert got[1] == pytest.approx(tuple(np.percentile(vals, [25, 50, 75])), rel=1e-12)
+    assert got[None] == (4.5, 4.5, 4.5) and 2 not in got
+    # the window of the running count is partitioned by the bucket: measure its partitions
+    buckets = ranked.select(F.expr("__hi - __c").alias("lo"), "__n").where("__n > 1000").count()
+    assert buckets == counts.where("g = 1").count()
+    window = ranked._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(__g" in window and "__bk" in window
+    sizes = _bucket_sizes(counts)
+    assert sum(sizes) == buckets and max(sizes) < buckets / 100
+
+
+def _bucket_sizes(counts):
+    from velostat.functions import bisect_right
+
+    of_group = counts.where("g = 1")
+    probs = [i / stats.RANGE_BUCKETS for i in range(1, stats.RANGE_BUCKETS)]
+    bounds = of_group.agg(F.percentile_approx("v", probs, stats.BOUNDS_ACCURACY).alias("b")).first().b
+    part = bisect_right(F.array(*map(F.lit, bounds)), "v", stats.RANGE_BUCKETS)
+    return [r["count"] for r in of_group.groupBy(part.alias("p")).count().collect()]
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(12,3)"])
+def test_quantiles_of_non_integral_types(spark, kind):
+    rng = np.random.default_rng(1)
+    vals = np.round(rng.exponential(50, size=500), 3)
+    df = spark.createDataFrame([("a", float(v)) for v in vals], "g string, v double").withColumn("v", F.col("v").cast(kind))
+    got = stats.quantiles(df, ["g"], "v").collect()[0]
+    want = np.percentile(vals.astype(np.float32).astype(float) if kind == "float" else vals, [25, 50, 75])
+    assert (got.q1, got.med, got.q3) == pytest.approx(tuple(want), rel=1e-9)
+
+
+def test_bisection_counts_edges_below(spark):
+    from velostat.functions import bisect_left, bisect_right
+
+    rows = [(e, x) for e in ([], [1.0], [1.0, 2.0, 2.0, 5.0], list(map(float, range(40)))) for x in (-1.0, 1.0, 2.0, 3.5, 39.0, 99.0, None)]
+    df = spark.createDataFrame([*rows, (None, 1.0)], "e array<double>, x double")
+    out = df.select("e", "x", bisect_left("e", "x", 40).alias("l"), bisect_right("e", "x", 40).alias("r")).collect()
+    for r in out:
+        if r.e is None or r.e and r.x is None:
+            assert (r.l, r.r) == (None, None)
+        else:
+            assert (r.l, r.r) == (int(np.searchsorted(r.e, r.x or 0, "left")) if r.e else 0, int(np.searchsorted(r.e, r.x or 0, "right")) if r.e else 0)
+
+
+@pytest.mark.parametrize("limit", [None, 2, 0])
+def test_group_tables_join_the_same_whatever_is_broadcast(spark, limit):
+    rows = [(k, n, i) for i, (k, n) in enumerate([("a", 1), ("b", None), (None, 1), (None, None), ("c", 2), ("wide" * 300, 1), ("a", 1), ("gone", 9)])]
+    df = spark.createDataFrame(rows, "k string, n int, i int")
+    table = df.where("k IS NULL OR k <> 'gone'").groupBy("k", "n").agg(F.min("i").alias("least"))
+    got = stats.join_group_table(df, table, ["k", "n"], limit)
+    assert got.columns == ["k", "n", "i", "least"]
+    assert sorted((r.i, r.least) for r in got.where("least IS NOT NULL").collect()) == [(i, 0 if i == 6 else i) for i in range(7)]
+    assert [r.i for r in got.where("least IS NULL").collect()] == [7]
+
+
+@pytest.mark.parametrize("log10", [False, True])
+def test_bin_bounds_hold_for_values_on_the_edges(spark, log10):
+    import math
+
+    rng = np.random.default_rng(4)
+    for bins, lo, hi in ((7, 0.1, 0.7), (30, 1.0, 1e6), (50, 3.0, 3.0000001)):
+        to = math.log10 if log10 else float
+        w = (to(hi) - to(lo)) / (bins - 1)
+        edges = [to(lo) - w / 2 + i * w for i in range(1, bins)]
+        edges = [10**e for e in edges] if log10 else edges
+        near = [f(e) for e in edges for f in (lambda e: e, lambda e: np.nextafter(e, 0), lambda e: np.nextafter(e, 1e9))]
+        vals = [lo, hi, *[float(v) for v in near if lo <= v <= hi], *rng.uniform(lo, hi, 50).tolist()]
+        df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
+        h = stats.histogram(df, ["g"], "v", bins, log10=log10).orderBy("bin").collect()
+        xs = [r.x for r in df.select((F.log10("v") if log10 else F.col("v")).alias("x")).collect()]
+        assert [r.n for r in h] == [sum(r.bin_lo < x <= r.bin_hi for x in xs) for r in h] and sum(r.n for r in h) == len(xs)
+
+
+def curve(spark, years):
+    """Rows of hour_threshold from ranked (pct_to_max, delta_to_above)."""
+    rows = [(y, rank, 23 - rank, float(p), d) for y, steps in years.items() for rank, (p, d) in enumerate(steps, start=1)]
+    return spark.createDataFrame(rows, "year int, hour_rank int, start_hour int, pct_to_max double, delta_to_above double")
+
+
+def test_the_break_point_is_the_first_run_of_flat_steps(spark):
+    df = curve(spark, {
+        1: [(100, 0.0), (99, 1.0), (60, 39.0), (59.5, 0.8), (59, 0.8), (58.9, 0.2), (20, 66.0), (19.9, 0.5), (19.8, 0.5)],
+        2: [(100, 0.0), (50, 50.0), (49.9, 0.2), (10, 80.0)],       # one flat step is no run
+        3: [(100, 0.0), (99.5, 0.5), (99.4, 0.1)],                   # flat from the second rank on
+        4: [(100, 0.0), (0, 100.0), (0, None), (0, None)],           # no step from zero to zero
+    })
+    got = {r.year: (r.break_rank, r.break_hour, r.detected_cutoff, r.flat_steps) for r in profile.peak_cutoff(df).collect()}
+    assert got == {1: (4, 19, 59.5, 3), 2: (None, None, None, 0), 3: (2, 21, 99.5, 2), 4: (None, None, None, 0)}
+    one = {r.year: r.detected_cutoff for r in profile.peak_cutoff(df, run=1).collect()}
+    assert one == {1: 99.0, 2: 49.9, 3: 99.5, 4: None}
+    peaks = profile.peak_hours_by_curve(df).collect()
+    assert sorted((r.year, r.hour_rank) for r in peaks) == [(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (3, 2)]
+    assert {r.detected_cutoff for r in peaks if r.year == 1} == {59.5}
+
+
+def test_the_fixed_cutoff_is_the_break_point_of_such_a_curve(spark):
+    steps = [(100, 0.0), (80, 20.0), (60, 25.0), (40, 33.3), (36.2, 9.5), (35.55, 1.8), (35, 1.5), (20, 42.9)]
+    assert profile.peak_cutoff(curve(spark, {2019: steps})).first().detected_cutoff == 35.55
+
+
+def test_union_refuses_types_that_differ_without_a_rule(spark):
+    a = spark.createDataFrame([(1, 2.5)], "id int, x float")
+    b = spark.createDataFrame([("r1", 3.5)], "id string, x double")
+    with pytest.raises(TypeError, match="'id'.*int.*string"):
+        normalize.union_common(a, b)
+    out = normalize.union_common(a, b, types={"id": "string"})
+    assert out.dtypes == [("id", "string"), ("x", "double")]
+    assert sorted(tuple(r) for r in out.collect()) == [("1", 2.5), ("r1", 3.5)]
+    with pytest.raises(ValueError, match="gone"):
+        normalize.union_common(a, b, types={"id": "string", "gone": "int"})
+
+
+def test_union_widens_whole_numbers_and_floats_only(spark):
+    a = spark.createDataFrame([(1, "x", 1)], "n smallint, s string, only int")
+    b = spark.createDataFrame([(2**40, "y")], "n bigint, s string")
+    assert normalize.union_common(a, b).dtypes == [("n", "bigint"), ("s", "string")]
+    c = a.select(F.col("n").cast("decimal(10,0)").alias("n"), "s")
+    with pytest.raises(TypeError, match="'n'"):
+        normalize.union_common(a, c)
+    d = spark.sql("SELECT DATE'2020-01-01' AS t"), spark.sql("SELECT TIMESTAMP_NTZ'2020-01-01 00:00:00' AS t")
+    with pytest.raises(TypeError, match="'t'"):
+        normalize.union_common(*d)

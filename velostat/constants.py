@@ -42,6 +42,7 @@ AGE_BREAKS_COARSE = (18, 25, 35, 45, 55, None)
 IQR_K = 1.5                      # Tukey fence multiplier
 PEAK_CUTOFF_PCT = 35.55          # share of the busiest hour that marks a peak hour
 ADJACENT_DELTA_PCT = 2.0         # adjacent-hour change below which the curve is flat
+FLAT_RUN = 2                     # flat steps in a row that make a break point of the curve
 MONTH_SECONDS = 30 * 86400       # "more than one month"
 MAX_PLAUSIBLE_AGE = 98
 BIRTH_YEAR_RANGE = (1925, 2019)  # birth years outside are a logical issue

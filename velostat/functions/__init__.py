@@ -1,5 +1,7 @@
 from velostat.functions.columns import (  # noqa: F401
     add_seconds,
+    bisect_left,
+    bisect_right,
     cut,
     elapsed,
     elapsed_minutes,

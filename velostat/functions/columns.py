@@ -89,3 +89,25 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
 
 def round_half_even(c: str | Column, digits: int = 2) -> Column:
     return F.bround(col(c), digits)
+
+
+def bisect_left(edges: str | Column, x: str | Column, max_edges: int) -> Column:
+    """How many of the sorted ``edges`` (an array of at most ``max_edges``
+    values) are below ``x``: a binary search inside the row, NULL if either is.
+    """
+    e, v = col(edges), col(x)
+    return _bisect(e, max_edges, lambda edge: edge < v)
+
+
+def bisect_right(edges: str | Column, x: str | Column, max_edges: int) -> Column:
+    """How many of the sorted ``edges`` are at most ``x``."""
+    e, v = col(edges), col(x)
+    return _bisect(e, max_edges, lambda edge: edge <= v)
+
+
+def _bisect(edges: Column, max_edges: int, before) -> Column:
+    steps = F.array(*[F.lit(1 << k) for k in range(max(max_edges, 1).bit_length() - 1, -1, -1)])
+    # F.get is NULL beyond the end, and a NULL condition takes no step
+    found = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(before(F.get(edges, at + step - 1)), at + step).otherwise(at))
+    return F.when(F.size(edges) == 0, F.lit(0)).when(before(F.get(edges, F.lit(0))).isNotNull(), found)

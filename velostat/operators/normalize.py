@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velostat import constants as K
 from velostat.functions import elapsed
@@ -112,10 +113,50 @@ def common_columns(dfs: Sequence[DataFrame]) -> list[str]:
     return [c for c in first.columns if all(c in o for o in others)]
 
 
-def union_common(*dfs: DataFrame) -> DataFrame:
-    """UNION ALL by name over the common columns (schema-level intersection)."""
-    cols = common_columns(dfs)
-    out = dfs[0].select(*cols)
-    for d in dfs[1:]:
+_WIDER = (
+    (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()),
+    (T.FloatType(), T.DoubleType()),
+)
+
+
+def common_types(
+    dfs: Sequence[DataFrame], types: Mapping[str, str | T.DataType] | None = None,
+) -> dict[str, T.DataType]:
+    """The type of every common column after stacking ``dfs``.
+
+    A declared type (``types``) stands.  Without one, equal types stay, and
+    whole numbers, or floats, of different widths take the widest: no value
+    changes.  Any other difference raises ``TypeError`` with the column and
+    each source's type: what a number and a text are to become is for the
+    caller to declare, not for an implicit cast to decide.
+    """
+    names = common_columns(dfs)
+    declared = {c: T._parse_datatype_string(t) if isinstance(t, str) else t for c, t in (types or {}).items()}
+    if unknown := sorted(set(declared) - set(names)):
+        raise ValueError(f"types declared for columns that are not common: {', '.join(unknown)}")
+    out = {}
+    for c in names:
+        found = [d.schema[c].dataType for d in dfs]
+        if c in declared:
+            out[c] = declared[c]
+        elif all(t == found[0] for t in found):
+            out[c] = found[0]
+        else:
+            widths = next((w for w in _WIDER if all(t in w for t in found)), None)
+            if widths is None:
+                raise TypeError(f"column {c!r} differs between sources: {', '.join(t.simpleString() for t in found)}; "
+                                "declare its type")
+            out[c] = max(found, key=widths.index)
+    return out
+
+
+def union_common(*dfs: DataFrame, types: Mapping[str, str | T.DataType] | None = None) -> DataFrame:
+    """UNION ALL by name over the common columns (schema-level intersection),
+    each cast to its type of :func:`common_types`."""
+    kinds = common_types(dfs, types)
+    casts = [[F.col(f"`{c}`").cast(t).alias(c) if d.schema[c].dataType != t else F.col(f"`{c}`")
+              for c, t in kinds.items()] for d in dfs]
+    out = dfs[0].select(*casts[0])
+    for d, cols in zip(dfs[1:], casts[1:]):
         out = out.unionByName(d.select(*cols))
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from velostat import constants as K
 from velostat.functions import round_half_even, safe_ratio
-from velostat.operators.stats import count_share, densify
+from velostat.operators.stats import count_share, densify, join_groups
 
 
 def trips_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,6 +64,55 @@ def peak_hours_detected(
         "flat_step", F.col("delta_to_above") < F.lit(flat_delta_pct))
 
 
+def peak_cutoff(
+    threshold: DataFrame, by: Sequence[str] = ("year",), flat_delta_pct: float = K.ADJACENT_DELTA_PCT,
+    run: int = K.FLAT_RUN,
+) -> DataFrame:
+    """The break point of each ranked hour curve, one row per group of ``by``.
+
+    A step is flat when an hour's count is less than ``flat_delta_pct`` percent
+    below that of the hour ranked above.  The curve breaks at the hour that
+    begins the first ``run`` flat steps in a row: from there on the hours are
+    alike, above it they stand out.  Columns: ``break_rank`` and
+    ``break_hour``, ``detected_cutoff`` (the hour's ``pct_to_max``) and
+    ``flat_steps`` (the length of that run).  A curve without such a run has no
+    break: NULLs, and 0 steps.
+
+    Runs are found without a loop: flat steps numbered among all ranks and
+    among flat ranks differ by a constant within a run.  Windows hold the 24
+    hours (and an unknown one) of a group.
+    """
+    by = list(by)
+    order = Window.partitionBy(*by).orderBy("hour_rank")
+    flat = F.coalesce((F.col("hour_rank") > 1) & (F.col("delta_to_above") < F.lit(flat_delta_pct)), F.lit(False))
+    steps = threshold.withColumn("__flat", flat)
+    steps = steps.withColumn("__run", F.col("hour_rank") - F.sum(F.col("__flat").cast("int")).over(order))
+    runs = steps.groupBy(*by, "__run").agg(
+        F.count_if("__flat").alias("flat_steps"),
+        F.min_by(F.struct(F.col("hour_rank").alias("r"), F.col("start_hour").alias("h"), F.col("pct_to_max").alias("c")),
+                 F.when(F.col("__flat"), F.col("hour_rank"))).alias("__first"),
+    )
+    long = F.col("flat_steps") >= run
+    first = F.min(F.when(long, F.struct(F.col("__first.r").alias("r"), "__first", "flat_steps")))
+    out = runs.groupBy(*by).agg(first.alias("__b"))
+    return out.select(
+        *by, F.col("__b.r").alias("break_rank"), F.col("__b.__first.h").alias("break_hour"),
+        F.col("__b.__first.c").alias("detected_cutoff"),
+        F.coalesce("__b.flat_steps", F.lit(0).cast("bigint")).alias("flat_steps"),
+    )
+
+
+def peak_hours_by_curve(
+    threshold: DataFrame, by: Sequence[str] = ("year",), flat_delta_pct: float = K.ADJACENT_DELTA_PCT,
+    run: int = K.FLAT_RUN,
+) -> DataFrame:
+    """Peak hours whose cut-off is found from the curve itself: the hours of
+    each group with at least its :func:`peak_cutoff`, which they carry as
+    ``detected_cutoff``.  A curve without a break has no peak hours."""
+    cutoff = peak_cutoff(threshold, by, flat_delta_pct, run).select(*by, "detected_cutoff")
+    return join_groups(threshold, cutoff, by).where(F.col("pct_to_max") >= F.col("detected_cutoff"))
+
+
 def peak_share(df: DataFrame, keys: Sequence[str] = ("year", "user_type")) -> DataFrame:
     """``n_peak``, ``n_total`` and ``peak_pct`` (percent) per group — one pass
     with conditional aggregates instead of one pass per ratio."""

@@ -3,8 +3,9 @@
 Everything here runs on route counts (one row per user type × route), never
 on trips.  The KPIs and the spread need only the number of routes per trip
 count: a group of N trips has at most sqrt(2N) distinct trip counts, so those
-windows stay small.  The full ranking is range-partitioned, so a user type
-holding most routes is ranked by many tasks.
+windows stay small.  The full ranking is split by trip count, and routes of one
+trip count by ranges of route ids, so a user type holding most routes is ranked
+by many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velostat import constants as K
+from velostat.functions import bisect_right
 from velostat.operators.stats import (
     QUARTILES,
     _quantiles_of_counts,
@@ -22,7 +24,11 @@ from velostat.operators.stats import (
     histogram,
     join_groups,
 )
-from velostat.session import save_and_reload
+
+# routes of one group and trip count that are ranked in one range of route ids
+RANK_RANGE = 4096
+# about so many of them are looked at to place the bounds of more ranges
+RANK_SAMPLE = 1024
 
 
 def known_users(df: DataFrame, user_types: Sequence[str] | None) -> DataFrame:
@@ -97,37 +103,63 @@ def _ranked_columns(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def ranking_ranges(summary: DataFrame, keys: Sequence[str] = ("user_type",)) -> DataFrame:
+    """Routes dealt to the parts in which they are ranked: ``__g`` (the group),
+    ``trip_count`` and ``__p``, a range of route ids.
+
+    Parts follow the ranking order: the trip count first, then the range.  Up
+    to ``RANK_RANGE`` routes of one trip count are one range.  More are split
+    at the ids of a sample, every k-th by hash with k such that about
+    ``RANK_SAMPLE`` ids are taken however many there are.  The range of a
+    route is an expression of its id and these bounds, so evaluating the plan
+    again gives the same parts; nothing is written and no job runs here.
+    ``__rb`` and ``__tb`` are the group's routes and trips of higher trip
+    counts, ``group_trips`` all its trips.
+    """
+    keys = list(keys)
+    grp = F.struct(*keys) if keys else F.struct(F.lit(0))
+    rows = summary.select(grp.alias("__g"), "route_id", "trip_count")
+    before = Window.partitionBy("__g").orderBy(F.col("trip_count").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    c, n = F.col("trip_count"), F.col("__n")
+    steps = rows.groupBy("__g", "trip_count").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__g", "trip_count", "__n",
+        (F.sum("__n").over(before) - n).alias("__rb"),
+        (F.sum(c * n).over(before) - c * n).alias("__tb"),
+        F.sum(c * n).over(Window.partitionBy("__g")).alias("group_trips"),
+    )
+    rows = rows.join(steps, ["__g", "trip_count"])
+    every = F.ceil(n / F.lit(RANK_SAMPLE))
+    sampled = rows.where((n > RANK_RANGE) & (F.pmod(F.xxhash64("route_id"), every) == 0))
+    bounds = sampled.groupBy("__g", "trip_count").agg(F.sort_array(F.collect_list("route_id")).alias("__bounds"))
+    # the sample is Poisson distributed around RANK_SAMPLE; its double is never reached
+    part = F.coalesce(bisect_right("__bounds", "route_id", 2 * RANK_SAMPLE), F.lit(0))
+    return rows.join(bounds, ["__g", "trip_count"], "left").withColumn("__p", part).drop("__bounds", "__n")
+
+
 def route_ranked(summary: DataFrame, keys: Sequence[str] = ("user_type",)) -> DataFrame:
     """Rank routes by trip count (ties: route id ascending) within each group,
     with ``trip_pct`` and the cumulative share ``cum_trip_pct``.
 
-    No task holds a whole group: the routes are range-partitioned in ranking
-    order, and the table is written with its partition numbers (a second run
-    of the partitioning could number them differently).  A small table of
-    partition sizes gives each part of a group the routes and trips ranked
-    before it; ranks and running totals are then local to a part.  Counts are
-    summed as integers and divided once, so ``cum_trip_pct`` reaches exactly 1.
+    No task holds a whole group: the routes are dealt to the parts of
+    :func:`ranking_ranges`, a small table of part sizes gives each part the
+    routes ranked before it, and row numbers are local to a part.  All routes
+    of a part have one trip count, so the running total follows from the rank.
+    Counts are summed as integers and divided once, so ``cum_trip_pct``
+    reaches exactly 1.
     """
     keys = list(keys)
-    grp = F.struct(*keys) if keys else F.struct(F.lit(0))
-    order = [F.col("trip_count").desc(), F.col("route_id").asc()]
-    dealt = summary.select(*keys, "route_id", "trip_count").repartitionByRange(*keys, *order)
-    parts = save_and_reload(dealt.withColumn("__p", F.spark_partition_id()), "route_order")
-    parts = parts.withColumn("__g", grp)
-    part = ["__g", "__p"]
-    sizes = parts.groupBy(*part).agg(F.count(F.lit(1)).alias("__nr"), F.sum("trip_count").alias("__nt"))
-    before = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.select(
-        *part,
-        (F.sum("__nr").over(before) - F.col("__nr")).alias("__routes_before"),
-        (F.sum("__nt").over(before) - F.col("__nt")).alias("__trips_before"),
-        F.sum("__nt").over(Window.partitionBy("__g")).alias("group_trips"),
-    )
-    local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = parts.join(offsets, part).select(
-        *keys, "route_id", "trip_count", "group_trips",
-        (F.col("__routes_before") + F.row_number().over(local)).cast("int").alias("route_rank"),
-        (F.col("__trips_before") + F.sum("trip_count").over(local)).alias("cum_trips"),
+    part = ["__g", "trip_count", "__p"]
+    rows = ranking_ranges(summary, keys)
+    before = Window.partitionBy("__g", "trip_count").orderBy("__p").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("__m")).select(
+        *part, (F.sum("__m").over(before) - F.col("__m")).alias("__pb"))
+    of_count = F.col("__pb") + F.row_number().over(Window.partitionBy(*part).orderBy("route_id"))
+    ranked = rows.join(sizes, part).select(
+        *[F.col("__g")[k].alias(k) for k in keys], "route_id", "trip_count", "group_trips",
+        (F.col("__rb") + of_count).cast("int").alias("route_rank"),
+        (F.col("__tb") + F.col("trip_count") * of_count).alias("cum_trips"),
     )
     return _ranked_columns(ranked, keys)
 

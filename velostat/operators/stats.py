@@ -5,17 +5,20 @@ Scale notes
 -----------
 * Exact quantiles default to a *value-count* plan: ``groupBy(keys, value)``
   counts (map-side combined, spread over all reducers by ``(keys, value)``),
-  then a running count ordered by value.  For integral values the running
-  count is split into value buckets whose rank offsets come from a small
-  table of bucket totals, so no window partition holds more than
-  ``QUANTILE_BUCKET_WIDTH`` distinct values, however large or skewed a group
-  is.  The built-in ``percentile`` (``method="builtin"``) is also exact but
-  merges every partial value map of a group in one final task.
+  then a running count ordered by value.  The running count is split into
+  value buckets whose rank offsets come from a small table of bucket totals.
+  For integral values a bucket is ``QUANTILE_BUCKET_WIDTH`` wide; for others
+  its bounds are quantiles of the group's distinct values, so a bucket holds
+  about one in ``RANGE_BUCKETS`` of these wherever they lie.  However large or
+  skewed a group is, no window partition holds all of it.  The built-in
+  ``percentile`` (``method="builtin"``) is also exact but merges every partial
+  value map of a group in one final task.
 * Outlier counts and histograms also start from value counts, so the rows are
   scanned once and only distinct values meet the fences or ranges.
-* Only :func:`flag_outliers` joins fences to rows.  They are one row per group
-  of low-cardinality keys, written once to the checkpoint folder, counted, and
-  broadcast only when the count is at most ``BROADCAST_MAX_ROWS``.
+* Only :func:`flag_outliers` joins fences to rows.  The join broadcasts at
+  most ``BROADCAST_MAX_ROWS`` groups of at most ``BROADCAST_ROW_BYTES`` each,
+  and joins the rows of any other group by the size AQE measures.
+* Nothing here runs a job or writes a file while a plan is built.
 """
 
 from __future__ import annotations
@@ -27,18 +30,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velostat import constants as K
-from velostat.session import save_and_reload
+from velostat.functions import bisect_left, bisect_right
 
 _QUANTILE_NAMES = {0.25: "q1", 0.5: "med", 0.75: "q3"}
 QUARTILES = ((0.25, 0.5, 0.75), ("q1", "med", "q3"))
 # distinct integral values per window partition in the bucketed running count
 QUANTILE_BUCKET_WIDTH = 4096
-# slices of a group's value range for non-integral values in the bucketed running count
-RANGE_BUCKETS = 65536
+# buckets of a group's distinct non-integral values in the bucketed running count
+RANGE_BUCKETS = 1024
+# accuracy of the sketch that places their bounds (rank error <= distinct values / accuracy)
+BOUNDS_ACCURACY = 10_000
 # accuracy of the approximate quantile sketch (rank error <= n / accuracy)
 APPROX_ACCURACY = 10_000
-# largest per-group table (rows) that is broadcast to the row-level side
+# most groups, and most bytes of each (as JSON), of a per-group table that are broadcast to the row-level side
 BROADCAST_MAX_ROWS = 100_000
+BROADCAST_ROW_BYTES = 512
 
 
 def _keys(keys: Sequence[str] | str | None) -> list[str]:
@@ -62,24 +68,32 @@ def null_safe_join_cond(left: DataFrame, right: DataFrame, pairs: Sequence[tuple
 def join_group_table(
     df: DataFrame, table: DataFrame, keys: Sequence[str], max_broadcast_rows: int | None = None,
 ) -> DataFrame:
-    """Left-join a per-group table onto rows by ``keys``, NULL matching NULL.
-
-    The group table is computed once and written to the session's checkpoint
-    folder (lineage cut, survives a lost executor); its row count is then
-    read back, and only a table of at most ``max_broadcast_rows`` rows
-    (default ``BROADCAST_MAX_ROWS``) is broadcast.  A larger table is joined
-    without a hint, i.e. shuffled.
+    """Left-join a per-group table (one row per group) onto rows by ``keys``,
+    NULL matching NULL.
+
+    Two plans in one, chosen row by row when the query runs.  The first
+    ``max_broadcast_rows`` groups in key order (default
+    ``BROADCAST_MAX_ROWS``), as far as a group has at most
+    ``BROADCAST_ROW_BYTES`` bytes, are broadcast: a proven bound, and rows of
+    these groups are never shuffled.  Rows of all other groups are joined
+    without a hint, so AQE decides by the sizes it measures and splits skewed
+    groups.  Usually there are none, and that branch moves nothing.  ``df`` is
+    read by both branches and has to give the same rows to both.
     """
     keys = _keys(keys)
     if not keys:
         raise ValueError("join_group_table needs at least one key")
     limit = BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
     ren = {k: f"__g_{k}" for k in keys}
-    t = save_and_reload(table.withColumnsRenamed(ren), "group_table")
-    if t.count() <= limit:
-        t = F.broadcast(t)
-    cond = null_safe_join_cond(df, t, [(k, ren[k]) for k in keys])
-    return df.join(t, cond, "left").drop(*ren.values())
+    t = table.withColumnsRenamed(ren)
+    added = [c for c in t.columns if c not in ren.values()]
+    narrow = F.octet_length(F.to_json(F.struct(*map(_quote, t.columns)))) <= BROADCAST_ROW_BYTES
+    first = t.where(narrow).orderBy(*ren.values()).limit(limit).withColumn("__hit", F.lit(True))
+    cond = [F.col(_quote(k)).eqNullSafe(F.col(_quote(r))) for k, r in ren.items()]
+    met = df.join(F.broadcast(first), cond, "left")
+    done = met.where("__hit").select(*map(_quote, df.columns + added))
+    rest = met.where("__hit IS NULL").select(*map(_quote, df.columns))
+    return done.unionByName(rest.join(t, cond, "left").select(*done.columns))
 
 
 def join_groups(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -121,8 +135,8 @@ def quantiles(
     NULL values are ignored; a group with no non-NULL value has no row.
     ``method="counts"`` (default) plans value counts + a running count split
     into value buckets: ``bucket_width`` wide for an integral ``value``,
-    ``RANGE_BUCKETS`` slices of the group's range otherwise (``bucket_width=
-    None``: one running count per group).
+    ``RANGE_BUCKETS`` buckets of about equally many distinct values otherwise
+    (``bucket_width=None``: one running count per group).
     ``method="builtin"`` uses Spark's ``percentile`` aggregate;
     ``method="approx"`` a bounded-memory sketch (``percentile_approx``) whose
     results are data values within a rank error of ``n / APPROX_ACCURACY``.
@@ -191,11 +205,12 @@ def _ranks_bucketed(counts: DataFrame, keys: list[str], value: str, width: int |
     """Running counts without sorting a whole group in one task.
 
     Values fall into ordered buckets: ``[b·width, (b+1)·width)`` for integral
-    values, or for other values ``RANGE_BUCKETS`` equal slices of the group's
-    own [min, max] (taken from a small per-group table; the slice index is
-    monotone in the value).  Bucket totals (one row per non-empty bucket)
-    give each bucket its rank offset; the running count then only runs
-    *within* a bucket.  Groups are carried as one non-null struct, so NULL
+    values, or for other values the ``RANGE_BUCKETS`` ranges between quantiles
+    of the group's distinct values (one sketch per group, combined before the
+    shuffle; the range is found by bisection).  Crowded values get narrow
+    ranges, so an outlier empties no bucket.  Bucket totals (one row per
+    non-empty bucket) give each bucket its rank offset; the running count then
+    only runs *within* a bucket.  Groups are carried as one non-null struct, so NULL
     group keys match in the join without special handling.  Rows with a NULL
     value fall into bucket 0 with count 0 instead of being filtered out: no
     filter can then make the two uses of ``counts`` differ, and their shuffle
@@ -210,13 +225,10 @@ def _ranks_bucketed(counts: DataFrame, keys: list[str], value: str, width: int |
                                f"coalesce(({vq} - pmod({vq}, {width}L)) div {width}L, 0L) AS __bk")
     else:
         base = counts.selectExpr(f"{grp} AS __g", vq, known)
-        rng = base.groupBy("__g").agg(F.min(value).alias("__mn"), F.max(value).alias("__mx"))
-        nb = RANGE_BUCKETS
-        cb = join_group_table(base, rng, ["__g"]).selectExpr(
-            "__g", vq, "__c",
-            f"coalesce(CASE WHEN __mx = __mn THEN 0L ELSE least(CAST(floor((CAST({vq} AS DOUBLE) - __mn) / "
-            f"(CAST(__mx AS DOUBLE) - __mn) * {nb}) AS BIGINT), {nb - 1}L) END, 0L) AS __bk",
-        )
+        probs = [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)]
+        bounds = base.groupBy("__g").agg(F.percentile_approx(vq, probs, BOUNDS_ACCURACY).alias("__bounds"))
+        bucket = F.coalesce(bisect_right("__bounds", vq, RANGE_BUCKETS), F.lit(0)).cast("bigint")
+        cb = join_groups(base, bounds, ["__g"]).select("__g", vq, "__c", bucket.alias("__bk"))
     offsets = cb.groupBy("__g", "__bk").agg(F.sum("__c").alias("__bc")).selectExpr(
         "__g", "__bk",
         "sum(__bc) OVER (PARTITION BY __g ORDER BY __bk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -433,7 +445,10 @@ def histogram(
     scale group share the bins), width ``w = (max - min) / (bins - 1)``;
     bin ``i`` (0-based) is the right-closed interval
     ``(min - w/2 + i·w, min - w/2 + (i+1)·w]``, so the first bin is centred
-    on ``min`` and the last on ``max``.  ``log10=True`` bins ``log10(value)``
+    on ``min`` and the last on ``max``.  The bounds of all bins are one array
+    per scale group: a value is looked up in it by bisection, and ``bin_lo``
+    and ``bin_hi`` are its entries, so ``bin_lo < x <= bin_hi`` holds to the
+    last bit.  ``log10=True`` bins ``log10(value)``
     over positive values only.  Empty bins are emitted with ``n = 0``.
     ``weight`` names a column saying how many values a row stands for.
     Output: ``keys…, bin, bin_lo, bin_hi, n``.
@@ -457,8 +472,9 @@ def histogram(
         .select(*scale_keys, "__min", F.when(width > 0, width).otherwise(F.lit(1.0)).alias("__w"))
         .select(*scale_keys, (F.col("__min") - F.col("__w") / 2).alias("__b"), "__w")
     )
-    idx = F.ceil((F.col("__x") - F.col("__b")) / F.col("__w")) - 1
-    idx = F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)).cast("int")
+    edges = F.expr(f"transform(sequence(0, {bins}), i -> __b + i * __w)")
+    stats = stats.withColumn("__edges", edges)
+    idx = F.least(F.greatest(bisect_left("__edges", "__x", bins + 1) - 1, F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = (
         join_groups(rows, stats, scale_keys)
         .groupBy(*keys, idx.alias("bin"))
@@ -467,7 +483,7 @@ def histogram(
     out = densify(counts, keys, "bin", 0, bins - 1, {"n": 0}, carry=("__b", "__w"), bounded=True)
     return out.select(
         *keys, "bin",
-        (F.col("__b") + F.col("bin") * F.col("__w")).alias("bin_lo"),
+        (F.col("__b") + F.col("bin") * F.col("__w")).alias("bin_lo"),  # the entries of __edges
         (F.col("__b") + (F.col("bin") + 1) * F.col("__w")).alias("bin_hi"),
         F.col("n").cast("bigint").alias("n"),
     )

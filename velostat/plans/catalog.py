@@ -1,7 +1,9 @@
 """Named queries: one per operator, each ``(spark, sf_dir) -> DataFrame``.
 
 Every query reads the test tables under ``sf_dir`` (through the two source
-shapes) and returns a lazy DataFrame over all of their rows.
+shapes) and returns a lazy DataFrame over all of their rows: apart from the
+curated trip tables, written at their first use, no job runs and nothing is
+written while a query is built.
 """
 
 from __future__ import annotations
@@ -259,6 +261,22 @@ def peak_hours_detected(spark, sf):
     return profile.peak_hours_detected(profile.hour_threshold(D.trips(spark, sf), ["year"]))
 
 
+@query
+def peak_cutoff(spark, sf):
+    return profile.peak_cutoff(profile.hour_threshold(D.trips(spark, sf), ["year"]))
+
+
+@query
+def peak_cutoff_user(spark, sf):
+    """The break point of each user type's own hour curve."""
+    return profile.peak_cutoff(profile.hour_threshold(D.trips(spark, sf), YEAR_USER), YEAR_USER)
+
+
+@query
+def peak_hours_by_curve(spark, sf):
+    return profile.peak_hours_by_curve(profile.hour_threshold(D.trips(spark, sf), ["year"]))
+
+
 @query
 def peak_share(spark, sf):
     return profile.peak_share(D.trips(spark, sf), YEAR_USER)

@@ -26,10 +26,11 @@ from velostat.operators.normalize import (
     with_year,
 )
 from velostat.session import delete_session_folder, save_and_reload
-from velostat.sources.fixtures import SPREAD_CONF, legacy_source, modern_source
+from velostat.sources.fixtures import SPREAD_CONF, input_key, legacy_source, modern_source
 
 MATERIALIZE_CONF = "velostat.materialize"
 _PLANS: dict[tuple, DataFrame] = {}
+_LISTED: dict[tuple[int, str], str] = {}
 
 
 def materialize_enabled(spark: SparkSession) -> bool:
@@ -66,23 +67,31 @@ def drop_session_tables(spark: SparkSession) -> bool:
 
 
 def shared_plan(fn):
-    """Build a dataset's (lazy) DataFrame once per session, input folder and
-    arguments, and hand the same plan to every query that uses it.
+    """Build a dataset's (lazy) DataFrame once per session, state of the input
+    files and arguments, and hand the same plan to every query that uses it.
 
     With ``velostat.materialize`` on, the shared plan reads the curated copy
-    written at first use: input files that change later are seen only after
-    :func:`reset_plans`.  With it off only the plan is shared, and every action
-    reads the inputs.
+    written at first use.  The copies belong to the input files they were made
+    from (:func:`velostat.sources.fixtures.input_key`): once a file is added,
+    removed or rewritten, the next use curates anew.  Plans handed out before
+    keep reading their own copy, which stays until :func:`drop_session_tables`.
     """
 
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf_dir: str, *args):
-        key = (fn.__name__, id(spark), spark.conf.get(SPREAD_CONF, ""), materialize_enabled(spark),
-               sf_dir.rstrip("/"), args)
-        df = _PLANS.get(key)
-        if df is None or df.sparkSession is not spark:
-            df = _PLANS[key] = fn(spark, sf_dir, *args)
-        return df
+        sf_dir = sf_dir.rstrip("/")
+        # datasets built on others ask once, so that one plan holds one state of the files
+        outer = _LISTED.get((id(spark), sf_dir))
+        listed = _LISTED[id(spark), sf_dir] = outer or input_key(spark, sf_dir)
+        try:
+            key = (fn.__name__, id(spark), spark.conf.get(SPREAD_CONF, ""), materialize_enabled(spark), sf_dir, listed, args)
+            df = _PLANS.get(key)
+            if df is None or df.sparkSession is not spark:
+                df = _PLANS[key] = fn(spark, sf_dir, *args)
+            return df
+        finally:
+            if outer is None:
+                del _LISTED[id(spark), sf_dir]
 
     return wrapper
 

@@ -18,6 +18,7 @@ class K:
     IQR_K = 1.5
     PEAK_CUTOFF_PCT = 35.55
     ADJACENT_DELTA_PCT = 2.0
+    FLAT_RUN = 2
     MONTH_SECONDS = 2_592_000
     MAX_PLAUSIBLE_AGE = 98
     BIRTH_YEAR_RANGE = (1925, 2019)
@@ -184,13 +185,14 @@ def _histogram(src: str, keys: list[str], scale_keys: list[str], x: str, bins: i
     ctes = f"""
 {tag}_r AS (SELECT {k}, {x} AS x FROM {src} WHERE {where}),
 {tag}_s AS (
-  SELECT {sk}, mn, w, mn - w / 2 AS b FROM (
+  SELECT {sk}, list_transform(range({bins + 1}), lambda i: mn - w / 2 + i * w) AS edges FROM (
     SELECT {sk}, mn, CASE WHEN (mx - mn) / CAST({bins - 1} AS DOUBLE) > 0
                           THEN (mx - mn) / CAST({bins - 1} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS w
     FROM (SELECT {sk}, min(x) AS mn, max(x) AS mx FROM {tag}_r GROUP BY {sk}) m) z
 ),
 {tag}_c AS (
-  SELECT {rk}, CAST(least(greatest(ceil((r.x - s.b) / s.w) - 1, 0), {bins - 1}) AS INTEGER) AS bin, count(*) AS n
+  SELECT {rk}, CAST(least(greatest(len(list_filter(s.edges, lambda e: e < r.x)) - 1, 0), {bins - 1}) AS INTEGER) AS bin,
+         count(*) AS n
   FROM {tag}_r r JOIN {tag}_s s ON {on_s}
   GROUP BY ALL
 ),
@@ -198,7 +200,7 @@ def _histogram(src: str, keys: list[str], scale_keys: list[str], x: str, bins: i
   SELECT g.*, CAST(unnest(range({bins})) AS INTEGER) AS bin FROM (SELECT DISTINCT {k} FROM {tag}_c) g
 )"""
     dk = ", ".join(f"d.{c}" for c in keys)
-    body = f"""SELECT {dk}, d.bin, s.b + d.bin * s.w AS bin_lo, s.b + (d.bin + 1) * s.w AS bin_hi,
+    body = f"""SELECT {dk}, d.bin, s.edges[d.bin + 1] AS bin_lo, s.edges[d.bin + 2] AS bin_hi,
        CAST(COALESCE(c.n, 0) AS BIGINT) AS n
 FROM {tag}_d d LEFT JOIN {tag}_c c ON {on_c} JOIN {tag}_s s ON {on_ds}"""
     return ctes, body
@@ -317,6 +319,53 @@ thr AS (
   FROM ranked
 )"""
 
+
+
+def _curve_break(keys: str) -> str:
+    """Per group: the first rank after which FLAT_RUN steps in a row are flat,
+    by looking at every rank and the next ones."""
+    hours = _HOURS if keys == "year" else _HOURS_USER
+    on = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in keys.split(", "))
+    ak = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""{hours},
+flat AS (
+  SELECT *, COALESCE(hour_rank > 1 AND delta_to_above < CAST({K.ADJACENT_DELTA_PCT} AS DOUBLE), false) AS is_flat FROM thr
+),
+runs AS (
+  SELECT {ak}, a.hour_rank, a.start_hour, a.pct_to_max,
+         COALESCE(min(CASE WHEN NOT b.is_flat THEN b.hour_rank END), max(b.hour_rank) + 1) - a.hour_rank AS steps
+  FROM flat a JOIN flat b ON {on} AND b.hour_rank >= a.hour_rank WHERE a.is_flat
+  GROUP BY {ak}, a.hour_rank, a.start_hour, a.pct_to_max
+),
+brk AS (
+  SELECT {ak}, b.hour_rank AS break_rank, b.start_hour AS break_hour, b.pct_to_max AS detected_cutoff,
+         CAST(COALESCE(b.steps, 0) AS BIGINT) AS flat_steps
+  FROM (SELECT DISTINCT {keys} FROM flat) a
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY hour_rank) AS nr FROM runs WHERE steps >= {K.FLAT_RUN}) b
+    ON {on} AND b.nr = 1
+)"""
+
+
+_HOURS_USER = """
+hc AS (SELECT year, user_type, start_hour, count(*) AS n FROM trips GROUP BY year, user_type, start_hour),
+dom AS (SELECT y.year, y.user_type, CAST(h.start_hour AS INTEGER) AS start_hour
+        FROM (SELECT DISTINCT year, user_type FROM hc) y, (SELECT unnest(range(24)) AS start_hour) h),
+dense AS (SELECT d.year, d.user_type, d.start_hour, COALESCE(hc.n, 0) AS n
+          FROM dom d LEFT JOIN hc ON d.year = hc.year AND d.user_type IS NOT DISTINCT FROM hc.user_type
+           AND d.start_hour = hc.start_hour),
+ranked AS (
+  SELECT *, row_number() OVER w AS hour_rank, max(n) OVER (PARTITION BY year, user_type) AS mx, lag(n) OVER w AS prev
+  FROM dense WINDOW w AS (PARTITION BY year, user_type ORDER BY n DESC, start_hour ASC)
+),
+thr AS (
+  SELECT year, user_type, start_hour, n, CAST(hour_rank AS INTEGER) AS hour_rank,
+         CASE WHEN hour_rank = 1 THEN CAST(100 AS DOUBLE)
+              ELSE round_even(CAST(n AS DOUBLE) / CAST(mx AS DOUBLE) * 100, 2) END AS pct_to_max,
+         CASE WHEN hour_rank = 1 THEN CAST(0 AS DOUBLE) WHEN prev = 0 THEN NULL
+              ELSE round_even((1 - CAST(n AS DOUBLE) / CAST(prev AS DOUBLE)) * 100, 2) END AS delta_to_above
+  FROM ranked
+)"""
+
 _PEAK_SHARE = ("SELECT year, user_type, count_if(is_peak) AS n_peak, count(*) AS n_total, "
                "count_if(is_peak) / count(*) * 100 AS peak_pct FROM {src} GROUP BY year, user_type")
 
@@ -409,6 +458,11 @@ ORACLE_SQL: dict[str, str] = {
     "peak_hours_detected": sql(
         f"SELECT *, delta_to_above < CAST({K.ADJACENT_DELTA_PCT} AS DOUBLE) AS flat_step FROM thr "
         f"WHERE pct_to_max >= CAST({K.PEAK_CUTOFF_PCT} AS DOUBLE)", _HOURS),
+    "peak_cutoff": sql("SELECT * FROM brk", _curve_break("year")),
+    "peak_cutoff_user": sql("SELECT * FROM brk", _curve_break("year, user_type")),
+    "peak_hours_by_curve": sql(
+        "SELECT thr.*, brk.detected_cutoff FROM thr JOIN brk ON thr.year = brk.year "
+        "WHERE thr.pct_to_max >= brk.detected_cutoff", _curve_break("year")),
     "peak_share": sql(_PEAK_SHARE.format(src="trips")),
     "peak_share_demo": sql(_PEAK_SHARE.format(src="demo_both"), _DEMO_BOTH),
     "peak_share_trimmed": sql(

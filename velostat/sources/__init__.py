@@ -1,4 +1,4 @@
-from velostat.sources.export import bi_prepare, snake_case, write_exports  # noqa: F401
+from velostat.sources.export import bi_prepare, published, snake_case, write_exports  # noqa: F401
 from velostat.sources.files import (  # noqa: F401
     LEGACY_SCHEMA,
     MODERN_SCHEMA,

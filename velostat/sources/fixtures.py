@@ -11,6 +11,8 @@ at scale, broadcast when a side is small at runtime).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,42 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in columns])
 
 
+# files of one table whose sizes and times are looked at one by one
+LISTED_FILES = 1000
+
+
+def input_key(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the input files behind the two sources: it changes when a
+    file of theirs is added, removed or written again.
+
+    Per table the listing gives each file's path, length and modification
+    time.  A table of more than ``LISTED_FILES`` files is described by the
+    number, names and total length of its files, which the JVM adds up in one
+    call each (names of written parts are unique).  No job runs."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def status(path: str):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).getFileStatus(p)
+
+    parts = []
+    for name in SOURCE_COLUMNS:
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        at = status(path)
+        if at.isFile():
+            parts.append((path, at.getLen(), at.getModificationTime()))
+            continue
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        listed = listed._jdf.queryExecution().analyzed().relation().location()
+        files = listed.allFiles()
+        if files.size() > LISTED_FILES:
+            parts.append((path, files.size(), files.hashCode(), listed.sizeInBytes()))
+            continue
+        found = [files.apply(i) for i in range(files.size())]
+        parts.extend(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+    return hashlib.sha256(repr(parts).encode()).hexdigest()
+
+
 def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
     """Hash-spread a pruned scan over ``velostat.scan.partitions`` tasks when
     that setting is given (unset by default).
