@@ -135,11 +135,39 @@ def test_decontamination_cuts_spans(spark):
 
 
 @pytest.mark.parametrize("hot", [10_000, 2])
-def test_suffixes(case, hot, monkeypatch):
-    whole = suffix_dedup.repeated_spans
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda d, s, length, gram: whole(d, s, length, gram, hot))
+def test_suffixes(case, hot):
     docs, rows = case
-    held(brute.suffix(rows), rows_of(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    got = suffix_dedup.remove_repeats(docs, hot=hot)
+    held(brute.suffix(rows), rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+PASSAGE, OTHER = "A passage of some words that is long enough to repeat. " * 2, "Nothing of this is found in any earlier document at all. " * 5
+SAME_IDS = [
+    [(1, PASSAGE), (2, PASSAGE + " " + OTHER), (2, "unrelated " + "".join(map(str, range(400))))],
+    [(3, PASSAGE), (3, PASSAGE + "x"), (2, "y" + PASSAGE), (2, "y" + PASSAGE), (1, OTHER), (3, "z" + OTHER), (2, OTHER + OTHER)],
+]
+
+
+@pytest.mark.parametrize("hot", [10_000, 1])
+@pytest.mark.parametrize("rows", SAME_IDS)
+def test_suffixes_of_texts_that_share_an_id(spark, rows, hot):
+    got = suffix_dedup.remove_repeats(frame(spark, rows), hot=hot)
+    held(brute.suffix(rows), rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+def test_suffixes_move_the_texts_once(spark, table):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        got = suffix_dedup.remove_repeats(table[0], hot=20)
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert plan.count("pack(text") == 2  # the texts with an id, and those without
+    assert sum("ReusedExchange" in ln and "packed" in ln for ln in plan.splitlines()) >= 2
 
 
 def test_packing(case):

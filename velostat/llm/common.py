@@ -41,12 +41,46 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/velostat-llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a written table's job go when it ends, not when the driver
+#: next collects garbage.  The table is read from its files only.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: the
     lineage is cut, and a lost executor costs a read of the file again."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def parts_for(spark: SparkSession, size: int, each: int) -> int:
+    """How many parts hold ``size`` bytes or items, ``each`` in one, and at
+    least one for each shuffle partition."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each), 1)
+
+
+#: A key with more than one of so many rows is hot.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (one row for each value of
+    ``key``), whatever share of the ``n_rows`` rows one value has: values of
+    more than one in HOT_SHARE rows, of which there are fewer than HOT_SHARE,
+    are joined by broadcast, the others by what AQE measures.  ``rows`` is read
+    three times and best a saved table."""
+    hot = rows.groupBy(key).count().where(F.col("count") * HOT_SHARE > n_rows).select(key)
+    hot_rows = table.join(hot, key, "left_semi").withColumn("__hot", F.lit(True))
+    met = rows.join(F.broadcast(hot_rows), key, "left")
+    rest = met.where("__hot IS NULL").select(*rows.columns).join(table, key)
+    return met.where("__hot").drop("__hot").unionByName(rest)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
