@@ -50,9 +50,11 @@ def shingles(text):
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
 
 
-def jaccard(rows):
-    sets = {doc: shingles(text) for doc, text in rows if doc is not None}
-    root = {doc: doc for doc in sets}
+def jaccard(rows, percent=80):
+    """Components of (doc_id, words); a component's id is the smallest doc_id."""
+    words = lambda t: tuple(WORD.findall((t or "").translate(LOWER)))
+    nodes = {(doc, words(text)): shingles(text) for doc, text in rows if doc is not None}
+    root = {n: n for n in nodes}
 
     def find(x):
         while root[x] != x:
@@ -60,20 +62,20 @@ def jaccard(rows):
         return x
 
     holders = defaultdict(set)
-    for doc, s in sets.items():
+    for n, s in nodes.items():
         for x in s:
-            holders[x].add(doc)
+            holders[x].add(n)
     shared = Counter()
-    for docs in holders.values():
-        docs = sorted(docs)
-        for i, a in enumerate(docs):
-            for b in docs[i + 1 :]:
+    for own in holders.values():
+        own = sorted(own)
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
                 shared[a, b] += 1
     for (a, b), n in shared.items():
-        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(nodes[a]) + len(nodes[b]) - n):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    return [(doc, len(shingles(text)), None if doc is None else find(doc)) for doc, text in rows]
+    return [(doc, len(shingles(text)), None if doc is None else find((doc, words(text)))[0]) for doc, text in rows]
 
 
 def decontaminate(rows, items):

@@ -28,6 +28,7 @@ from velostat.llm.queries import QUERIES, piece_vocabulary, word_tokenizer  # no
 
 SF = "/root/testdata/sf0.001"
 BASE = " ".join(f"word{i}" for i in range(40))
+PASSAGE, OTHER = "A passage of some words that is long enough to repeat. " * 2, "Nothing of this is found in any earlier document at all. " * 5
 DOCS = [
     (1, BASE), (2, BASE), (3, BASE.replace("word20", "other")), (4, BASE + " tail"), (5, None), (6, ""), (7, "a b"),
     (8, "A b"), (9, "x " * 9000), (9, "x " * 9000), (10, "line one is long\nshort\nLINE one is long \n\nline one is long"),
@@ -105,6 +106,50 @@ def test_jaccard_of_long_texts_with_few_shingles(spark, few):
     held(want, rows_of(jaccard_join.similar_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id"))
 
 
+LINKED = [
+    [(1, BASE), (1, OTHER), (2, OTHER + " tail"), (3, BASE + " tail"), (3, "alone"), (3, "alone"), (None, BASE)],
+    [(5, BASE), (5, BASE + " tail"), (2**62, OTHER), (-(2**63), OTHER + " end"), (2**63 - 1, "alone"), (5, BASE.upper())],
+    [(2, BASE), (1, OTHER), (2, OTHER), (1, BASE)],
+]
+
+
+@pytest.mark.parametrize("rows", LINKED)
+def test_jaccard_of_texts_that_share_an_id(spark, rows):
+    docs = frame(spark, rows)
+    held(brute.jaccard(rows), rows_of(jaccard_join.similar_components(docs), "doc_id", "n_shingles", "component_id"))
+    docs = docs.selectExpr("*", "doc_id AS `a.b`", "text AS digest2")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.collect()]
+    # the smallest document of each component, once, and the rows without an id
+    assert sorted(got, key=repr) == sorted(_components(rows) + [doc for doc, _ in rows if doc is None], key=repr)
+
+
+def _components(rows):
+    """The smallest id of each component, found by growing groups of texts."""
+    ids = {}
+    for doc, text in rows:
+        if doc is not None:
+            words = " ".join(brute.WORD.findall((text or "").translate(brute.LOWER)))
+            ids.setdefault(words, []).append(doc)
+    left, out = set(ids), []
+    while left:
+        new, least = [left.pop()], []
+        while new:
+            words = new.pop()
+            least.append(min(ids[words]))
+            near = [w for w in left if _alike(words, w)]
+            left.difference_update(near)
+            new += near
+        out.append(min(least))
+    return out
+
+
+def _alike(a, b):
+    x, y = brute.shingles(a), brute.shingles(b)
+    return bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+
+
 @pytest.mark.parametrize("in_half", [16, 19, 22])
 def test_jaccard_of_a_lower_percent(spark, in_half):
     names = [f"w{i}" for i in range(400)]
@@ -141,7 +186,6 @@ def test_suffixes(case, hot):
     held(brute.suffix(rows), rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
-PASSAGE, OTHER = "A passage of some words that is long enough to repeat. " * 2, "Nothing of this is found in any earlier document at all. " * 5
 SAME_IDS = [
     [(1, PASSAGE), (2, PASSAGE + " " + OTHER), (2, "unrelated " + "".join(map(str, range(400))))],
     [(3, PASSAGE), (3, PASSAGE + "x"), (2, "y" + PASSAGE), (2, "y" + PASSAGE), (1, OTHER), (3, "z" + OTHER), (2, OTHER + OTHER)],

@@ -12,7 +12,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from velostat.llm import periodic_runs, prefix_trie, url_aliases
+from velostat.llm import components, periodic_runs, prefix_trie, url_aliases
 from velostat.llm.queries import QUERIES, url_rules
 from velostat.llm.url_aliases import Rule
 
@@ -168,7 +168,8 @@ def test_longest_rule_wins_then_allow(spark):
 
 @pytest.mark.parametrize("share", [1000, 3])
 def test_components_of_paths_stars_and_cycles(spark, monkeypatch, share):
-    monkeypatch.setattr(url_aliases, "HOT_SHARE", share)
+    monkeypatch.setattr(components, "HOT_SHARE", share)
+    monkeypatch.setattr(components, "COLD", share)
     rng = random.Random(5)
     edges = [(f"p{i}", f"p{i + 1}") for i in range(60)] + [("hub", f"s{i}") for i in range(80)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("me", "me")]
     edges += [(f"r{rng.randrange(60)}", f"r{rng.randrange(60)}") for _ in range(40)]
@@ -182,7 +183,7 @@ def test_components_of_paths_stars_and_cycles(spark, monkeypatch, share):
     for a, b in edges:
         root[find(a)] = find(b)
     groups = defaultdict(set)
-    for r in url_aliases.connected(spark.createDataFrame(edges, "a string, b string")).collect():
+    for r in components.connected(spark.createDataFrame(edges, "a string, b string")).collect():
         groups[r.root].add(r.node)
     want = defaultdict(set)
     for n in root:

@@ -33,8 +33,17 @@ inside tasks (a product of 0/1 matrices for each two blocks), which put out a
 forest of the links, never the pairs.  No link between components is lost, and
 links inside one are not needed.
 
-A null ``doc_id`` takes no part and gets a null component.  Of rows that share
-a ``doc_id`` but not the text, the one with the largest digest stands for it.
+A null ``doc_id`` takes no part and gets a null component.  Rows that share a
+``doc_id`` but not the words are documents of their own: they link only where
+their words do, and a component's id is the smallest ``doc_id`` in it.
+Repeated rows are all returned.  A null or empty text has an empty set.  An
+empty table gives an empty one.  Other columns are ignored, whatever their
+names; ``one_of_each`` keeps them.
+
+A member is its 64-bit hash's low half within a bucket that the high half
+chooses; the number of buckets follows the number of members, so the share of
+members that collide by chance does not grow, and what a bucket's task holds
+neither.  Collisions cost a check, never a link.
 """
 
 from __future__ import annotations
@@ -45,10 +54,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_null, mixed, packed, rows_of, saved, unpacked, window_hashes, word_hashes
+from .common import deleted, is_null, join_hot, mixed, packed, parts_for, rows_of, saved, unpacked, window_hashes, word_hashes
+from .components import connected
 
 WORDS, PERCENT = 5, 80
 #: Sets above this size are never enumerated; the boundary is at most this.
@@ -58,6 +68,10 @@ LONG, BLOCK = 64, 1024
 #: Shingles in one product of 0/1 matrices.
 COLUMNS = 2048
 _HALF = np.uint64(1 << 63)
+#: Members of one bucket.
+BUCKET_MEMBERS = 1 << 21
+#: Ids beyond this get a node number of their own.
+LARGEST = 1 << 60
 
 
 def overlap_needed(size: int, percent: int) -> int:
@@ -205,9 +219,8 @@ def _shared(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInPandas(count, "entry long, slack int, total int, member long, df int")
 
 
-def heavy_postings(docs: DataFrame, standing: DataFrame, width: int, percent: int, boundary: int) -> DataFrame:
+def heavy_postings(docs: DataFrame, standing: DataFrame, width: int, percent: int, boundary: int, buckets: int) -> DataFrame:
     """(token, doc_id) of the posted members of heavy classes."""
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shared = _shared(_members(docs, width, percent, boundary, buckets))
     shared = shared.withColumn("doc_id", F.shiftright("entry", 1)).join(standing.select("doc_id"), "doc_id", "left_semi")
     own = shared.groupBy("doc_id", "entry", "slack", "total").agg(F.sort_array(F.collect_list(F.struct("df", "member"))).alias("m"))
@@ -327,67 +340,72 @@ def links_in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFram
     )
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of links(a, b): equal roots, one component.
-
-    Each round every node goes to the neighbour (or itself) of the least
-    hash; links are rewritten to these.  A link is never dropped unless both
-    ends are one, and random order makes the nodes a fraction each round."""
-    links = saved(links.where("a <> b").distinct(), "links")
-    roots = None
-    seed = 0
-    while not links.isEmpty():
-        seed += 1
-        rank = lambda c, s=seed: F.struct(F.xxhash64(F.lit(s), c).alias("r"), F.col(c).alias("n"))
-        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["n"].alias("to"))
-        step = saved(step.withColumnRenamed("a", "node"), "components")
-        if roots is None:
-            roots = step.withColumnRenamed("to", "root")
-        else:
-            moved = step.withColumnRenamed("node", "root")
-            roots = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = saved(roots, "roots")
-        for end in ("a", "b"):
-            links = links.join(step.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("to", end)
-        links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    if roots is None:
-        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+def _digests(text: str) -> F.Column:
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([_digest(words_of(t)) for t in texts], dtype=object)
+
+    return F.pandas_udf(digest, "binary")(text)
+
+
+def _with_nodes(docs: DataFrame, odd: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``docs`` with nodes as ids, where rows of the ``odd`` ids are told apart
+    by their words; of these, rows that do not stand for a class go."""
+    plain = docs.join(odd, "doc_id", "left_anti")
+    told = docs.join(odd, "doc_id", "left_semi").withColumn("digest", _digests("text"))
+    nodes = kinds.select(F.col("least").alias("doc_id"), "digest", "node")
+    return plain.unionByName(told.join(nodes, ["doc_id", "digest"]).select(F.col("node").alias("doc_id"), "text"))
 
 
 def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, class_id (the
-    smallest doc_id with the same words) and component_id."""
+    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, digest (of its
+    words), class_id (the smallest doc_id with the same words), component_id
+    and ``stays``: whether the row's id and words are the ones that stand for
+    the component, the smallest id in it (and then digest)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    described = saved(classes(docs, width), "classes")
-    of_doc = described.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("digest", "n_shingles")).alias("x"))
-    by_class = of_doc.groupBy("x").agg(F.min("doc_id").alias("class_id"))
-    members = of_doc.join(by_class, "x").select("doc_id", "class_id", F.col("x.n_shingles").alias("n"))
-    members = saved(members, "members")
-    standing = members.where("doc_id = class_id AND n > 0").select("doc_id", F.col("n").alias("n_shingles"))
+    described = saved(classes(docs, width), "described")
+    known = described.where("doc_id IS NOT NULL")
+    docs = docs.where("doc_id IS NOT NULL")
+
+    # a class has a node: its smallest id, or a number of its own above all
+    # ids if another class has that id too
+    usable = F.col("least").between(-LARGEST, LARGEST)
+    kinds = known.groupBy("digest").agg(F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"))
+    kinds = kinds.withColumn("nr", F.row_number().over(Window.partitionBy("least").orderBy("digest")))
+    above = F.lit(LARGEST + 1) + F.monotonically_increasing_id()
+    kinds = saved(kinds.select("digest", "n_shingles", "least", F.when(usable & (F.col("nr") == 1), F.col("least")).otherwise(above).alias("node")), "classes")
+    n_rows = known.count()
+    n_kinds, n_members = kinds.agg(F.count("*"), F.sum("n_shingles")).first()
+    odd = known.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    odd = saved(odd.where("low <> high" f" OR NOT doc_id BETWEEN {-LARGEST} AND {LARGEST}").select("doc_id"), "odd-ids")
+    if not odd.isEmpty():
+        docs = _with_nodes(docs, odd, kinds)
+    standing = kinds.where("n_shingles > 0").select(F.col("node").alias("doc_id"), "n_shingles")
 
     sizes = standing.groupBy("n_shingles").count().where(F.col("n_shingles") <= 2 * LIGHT_LIMIT).collect()
     boundary = boundary_by_cost({r["n_shingles"]: r["count"] for r in sizes}, percent)
-    postings = heavy_postings(docs, standing, width, percent, boundary)
+    buckets = parts_for(spark, (n_members or 0) // 2, BUCKET_MEMBERS)
+    postings = heavy_postings(docs, standing, width, percent, boundary, buckets)
     if boundary:
         postings = postings.unionAll(light_postings(docs, standing, width, percent, boundary))
     postings = saved(postings, "postings")
     pivots = postings.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
     lists = saved(postings.join(pivots, "token").select("token", "doc_id", "pivot").distinct(), "lists")
+    deleted(postings)
     sets = saved(_sets(docs, lists.select("doc_id").distinct(), width), "sets")
 
     first = lists.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
     first = first.groupBy("doc_id").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("b")).withColumnRenamed("doc_id", "a")
-    near = saved(linked(first, sets, percent), "near")
-    roots = saved(components(near), "first-roots")
+    roots = connected(linked(first, sets, percent))
 
     labelled = lists.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "token", "doc_id", F.coalesce("root", "doc_id").alias("root")
     )
-    mixed_lists = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    labelled = saved(labelled.join(mixed_lists.select("token"), "token", "left_semi"), "labelled")
-    sized = labelled.join(labelled.groupBy("token").agg(F.count("*").alias("n")), "token")
+    labelled = saved(labelled, "all-labelled")
+    deleted(lists)
+    mixed_lists = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    sized = saved(labelled.join(mixed_lists.select("token", "n"), "token"), "labelled")
+    deleted(labelled)
     short = sized.where(F.col("n") <= LONG)
     left = short.select("token", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
     right = short.select("token", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
@@ -395,9 +413,44 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     more = linked(across, sets, percent).unionAll(links_in_blocks(sized.where(F.col("n") > LONG), sets, percent))
     # the links of the first step as the stars of its components
     star = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    final = components(star.unionAll(more))
-    final = final.join(final.groupBy("root").agg(F.min("node").alias("least")), "root").select(F.col("node").alias("class_id"), "least")
-    out = members.drop("n").join(final, "class_id", "left").select("doc_id", "class_id", F.coalesce("least", "class_id").alias("component_id"))
-    rows = described.select("doc_id", "n_shingles").join(out, "doc_id", "left")
-    alone = lambda c: F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return rows.select("doc_id", "n_shingles", alone("class_id"), alone("component_id"))
+    final = connected(star.unionAll(more))
+    for table in (sets, sized, roots):
+        deleted(table)
+
+    of_kind = saved(kinds.join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    standing_for = of_kind.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("rep"))
+    labels = join_hot(of_kind, standing_for, "root", n_kinds).select("digest", F.col("least").alias("class_id"), "rep")
+    rows = join_hot(known, saved(labels, "labels"), "digest", n_rows)
+    empty = F.col("n_shingles") == 0
+    rows = rows.select(
+        "doc_id", "n_shingles", "digest",
+        F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("rep.least")).alias("component_id"),
+        (empty | ((F.col("doc_id") == F.col("rep.least")) & (F.col("digest") == F.col("rep.digest")))).alias("stays"),
+    )
+    nobody = described.where("doc_id IS NULL")
+    none = F.lit(None).cast("long")
+    return rows.unionByName(nobody.withColumns({"class_id": none, "component_id": none, "stays": F.lit(True)}))
+
+
+def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, each once; rows
+    without an id are in none and stay.  All columns are kept.
+
+    Ids that go (or occur more than once) are joined against the rows, so the
+    rows move only if those are too many to broadcast; rows of an id that
+    occurs more than once are told apart by their words."""
+    found = saved(similar_components(docs, width, percent).select("doc_id", "digest", "stays").where("doc_id IS NOT NULL"), "standing")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
+    ids = saved(ids.where("n > 1 OR NOT stays"), "ids")
+    key = F.col("doc_id").cast("long")
+    out = docs.join(ids.select(F.col("doc_id").alias("__id")), key == F.col("__id"), "left_anti")
+    again = ids.where("stays").select(F.col("doc_id").alias("__id"))
+    if again.isEmpty():
+        return out
+
+    rows = docs.join(again, key == F.col("__id"), "left_semi")
+    rows = rows.select(key.alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.withColumn("digest", _digests("text")).join(found.where("stays").select("doc_id", "digest").distinct(), ["doc_id", "digest"])
+    rows = rows.groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
+    return out.unionByName(rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

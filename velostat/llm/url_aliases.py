@@ -15,9 +15,8 @@ allow.
 A null url has an empty host and path, no rule and no aliases.  Rows are
 judged one by one, repeated ones alike.  Other columns are ignored.  Rules are
 configuration on the driver: their number bounds the size of one expression.
-No group is collected: components come from rounds of joins and minima by key,
-with nodes of very many edges joined by broadcast (there are at most
-``HOT_SHARE`` of these), every round written to the shared folder.
+No group is collected: components come from rounds of joins and minima by key
+(:mod:`.components`), every round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -32,7 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, UPPER, deleted, is_null, lower_ascii, rows_of, saved
+from .common import ASCII_SPACE, LOWER, UPPER, is_null, lower_ascii, rows_of, saved
+from .components import connected
 
 
 class Rule(NamedTuple):
@@ -45,9 +45,6 @@ class Rule(NamedTuple):
         return self.host + self.path
 
 
-#: A node with more than one of so many edge ends is hot.
-HOT_SHARE = 1000
-
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -135,49 +132,6 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.where(able).select("url", "html").mapInPandas(find, "a string, b string")
 
 
-def _moved(edges: DataFrame, step: DataFrame, end: str) -> DataFrame:
-    """``edges`` with ``end`` replaced by where ``step(node, to, degree)``
-    sends it.  Nodes with over a share of all edge ends, at most HOT_SHARE,
-    are joined by broadcast; so no task holds the edges of a hot node."""
-    total = step.agg(F.sum("degree")).first()[0]
-    hot = step.where(F.col("degree") * HOT_SHARE > total).select(F.col("node").alias(end), F.col("to").alias("__hot"))
-    rest = step.where(F.col("degree") * HOT_SHARE <= total).select(F.col("node").alias(end), "to")
-    edges = edges.join(F.broadcast(hot), end, "left")
-    plain = edges.where("__hot IS NULL").drop("__hot").join(rest, end)
-    return plain.drop(end).withColumnRenamed("to", end).unionByName(
-        edges.where("__hot IS NOT NULL").drop(end).withColumnRenamed("__hot", end)
-    )
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``edges(a, b)``: equal roots, one
-    component.  Each round sends every node to the one of least hash among
-    itself and its neighbours, and rewrites edges and roots so; edges inside a
-    node go.  Hashes change with the round, so a fraction of the nodes is left
-    each time, whatever the shape of the graph."""
-    start = edges.withColumnsRenamed({"a": "node", "b": "root"})
-    edges = saved(edges.where("a <> b").distinct(), "alias-edges")
-    roots = saved(start.selectExpr("node").union(start.selectExpr("root")).distinct().selectExpr("node", "node AS root"), "alias-roots")
-    seed = 0
-    while not edges.isEmpty():
-        seed += 1
-        rank = lambda c, s=seed: F.struct(F.xxhash64(F.lit(s), c).alias("r"), F.col(c).alias("n"))
-        both = edges.unionAll(edges.selectExpr("b AS a", "a AS b")).groupBy("a")
-        step = both.agg(F.least(F.min(rank("b")), F.first(rank("a")))["n"].alias("to"), F.count("*").alias("degree"))
-        step = saved(step.withColumnRenamed("a", "node"), "alias-step")
-        sized = roots.groupBy("root").agg(F.count("*").alias("degree"))
-        moves = sized.withColumnRenamed("root", "node").join(step.drop("degree"), "node", "left").withColumn("to", F.coalesce("to", "node"))
-        moves = saved(moves, "alias-moves")
-        roots, before = saved(_moved(roots, moves, "root").select("node", "root"), "alias-roots"), roots
-        moved = _moved(_moved(edges, step, "a"), step, "b")
-        least, greatest = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        edges, old = saved(moved.select(least, greatest).where("a <> b").distinct(), "alias-edges"), edges
-        for used in (before, old, step, moves):
-            deleted(used)
-    deleted(edges)
-    return roots
-
-
 def blocked_aliases(links: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``node``: addresses without a rule of their own whose component a
     blocking rule hits."""
