@@ -238,31 +238,80 @@ def test_packing(case):
 def test_packing_plan_covers_each_length_once():
     lengths, counts = [7, 40, 41, 60, 100], [9, 5, 1, 13, 2]
     made = dict.fromkeys(lengths, 0)
-    for config, times in packing.plan(lengths, counts, 100):
+    for config, times in packing.plan(lengths, counts, 100)[0]:
         assert sum(a * b for a, b in config.items()) <= 100
         for length, n in config.items():
             made[length] += n * times
     assert made == dict(zip(lengths, counts, strict=True))
 
 
-def test_packing_program_covers_everything(monkeypatch):
-    """Best-fit decreasing sees the whole histogram, to compare, and never a rest of the program."""
-    rng = np.random.default_rng(8)
-    lengths = np.unique(np.concatenate([rng.integers(2, 400, 300), rng.integers(2, 1024, 120), [1024]])).tolist()
-    counts = rng.integers(1, 6, len(lengths)).tolist()
-    plain, seen = packing.best_fit, []
-    monkeypatch.setattr(packing, "best_fit", lambda s, c, k: seen.append((c.tolist(), plain(s, c, k))) or seen[-1][1])
-    got, made = packing.plan(lengths, counts, 1024), dict.fromkeys(lengths, 0)
-    for config, times in got:
-        assert sum(a * b for a, b in config.items()) <= 1024
+def covered(lengths, plan, capacity):
+    made = dict.fromkeys(lengths, 0)
+    for config, times in plan:
+        assert times > 0 and sum(a * b for a, b in config.items()) <= capacity
         for length, n in config.items():
             made[length] += n * times
-    assert made == dict(zip(lengths, counts, strict=True))
-    assert [c for c, _ in seen] == [counts]
-    assert sum(n for _, n in got) <= sum(n for _, n in seen[0][1])
-    alone = packing.program(np.array(lengths), np.array(counts), 1024)
-    assert sum(lengths[i] * n * times for c, times in alone for i, n in c.items()) == sum(a * b for a, b in zip(lengths, counts, strict=True))
-    assert sum(n for _, n in alone) <= 1.02 * sum(n for _, n in seen[0][1]) + 1  # as in test_packing
+    return list(made.values())
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_program_is_near_its_bound(seed):
+    """Few lengths, high counts: a program solved to a small tolerance and
+    rounded is off by that and about one sequence for each length."""
+    rng = np.random.default_rng(seed)
+    m = int(rng.integers(3, 14))
+    lengths = np.sort(rng.choice(np.arange(20, 1000), m, replace=False)).tolist()
+    counts = rng.integers(200, 20_001, m).tolist()
+    got, bound = packing.plan(lengths, counts, 1000)
+    assert covered(lengths, got, 1000) == counts
+    assert sum(a * b for a, b in zip(lengths, counts, strict=True)) <= 1000 * bound * 1.000001
+    assert bound <= sum(n for _, n in got) <= 1.005 * bound + m
+
+
+def test_packing_bound_is_below_the_best_plan():
+    """Against all plans of a small histogram."""
+    from functools import lru_cache
+
+    lengths, counts = [26, 30, 45, 61], [3, 3, 4, 2]
+
+    @lru_cache(None)
+    def fewest(left):
+        if not any(left):
+            return 0
+        first = max(i for i, n in enumerate(left) if n)  # the largest piece goes somewhere
+        best = 99
+
+        def fill(i, room, now):
+            nonlocal best
+            if i < 0:
+                best = min(best, 1 + fewest(tuple(now)))
+                return
+            for n in range(min(now[i], room // lengths[i]) + 1):
+                fill(i - 1, room - n * lengths[i], [*now[:i], now[i] - n, *now[i + 1 :]])
+
+        now = list(left)
+        now[first] -= 1
+        fill(len(lengths) - 1, 100 - lengths[first], now)
+        return best
+
+    got, bound = packing.plan(lengths, counts, 100)
+    assert bound - 1e-9 <= fewest(tuple(counts)) <= sum(n for _, n in got) <= fewest(tuple(counts)) + 1
+
+
+@pytest.mark.parametrize("kind", ["documents", "halves", "one", "full"])
+def test_packing_program_of_many_lengths(kind):
+    rng = np.random.default_rng(8)
+    lengths, counts = {
+        "documents": (np.unique(np.concatenate([rng.integers(2, 400, 300), rng.integers(2, 1024, 120), [1024]])), None),
+        "halves": (np.arange(480, 700), None),
+        "one": (np.array([3]), [10**7]),
+        "full": (np.array([1024]), [5]),
+    }[kind]
+    counts = rng.integers(1, 60, len(lengths)).tolist() if counts is None else counts
+    got, bound = packing.plan(lengths.tolist(), counts, 1024)
+    assert covered(lengths.tolist(), got, 1024) == counts
+    assert bound <= sum(n for _, n in got) <= 1.01 * bound + 2
+    assert packing.plan([], [], 1024) == ([], 0.0)
 
 
 def test_token_counts_follow_the_tokenizer(case):

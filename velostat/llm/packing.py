@@ -3,19 +3,22 @@
 A document is the ids of its text followed by an end id; one longer than the
 capacity is cut into pieces of exactly that length, the last one possibly
 shorter.  Only the histogram of piece lengths, at most ``capacity`` rows, goes
-to the driver.  There the configuration program is solved by multiplicative
-weights: each round prices the lengths, a knapsack dynamic program finds the
-most valuable configurations, and those are used as many whole times as their
-scarcest length allows, until all is covered.  The result is a bounded list of
-(configuration, how often), and a join deals the pieces to places.
-
-A null or empty text is the end id alone.  Repeated rows are packed each.
-Further columns of the input are not read.
+to the driver.  There the configuration program (cover every length's count by
+configurations, as few as possible) is solved by multiplicative weights: both
+its uses and its prices are weights that a round multiplies, a knapsack dynamic
+program finds the most valuable configuration at the current prices, and the
+value at those prices bounds the number of sequences from below.  Averaged
+uses within ``TOLERANCE`` of the bound are rounded down, and the rest is
+covered in whole uses at the program's prices.  The result is a bounded list
+of (configuration, how often), and a join deals the pieces to places.
+
+A null or empty text is the end id alone.  Repeated rows are packed each, and
+so are rows without a ``doc_id``.  An empty table gives an empty one.  Further
+columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import bisect
 import os
 import re
 import zlib
@@ -35,6 +38,9 @@ END = 1
 #: How slowly covered lengths get cheap; configurations of one round, and by how
 #: much the others may be worth less than its best.
 EPSILON, TOGETHER, NEAR = 30.0, 32, 0.001
+#: The program is solved to this share of its bound, in so many pricings and
+#: multiplications at most, with steps of this rate at first.
+TOLERANCE, PRICINGS, WORK, RATE = 0.002, 60, 1 << 25, 0.5
 #: Word ids that a worker remembers; it starts anew beyond that.
 REMEMBERED = 600_000
 #: Pieces that one task numbers, about.
@@ -154,23 +160,25 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, value: np.ndarra
     return dict(out)
 
 
-def program(size: np.ndarray, have: np.ndarray, capacity: int, epsilon: float = EPSILON) -> list[tuple[dict[int, int], int]]:
-    """(configuration by place of length, how often), covering every piece once,
-    by multiplicative weights.
+def priced_rounds(
+    size: np.ndarray, have: np.ndarray, capacity: int, weights: np.ndarray | None = None, epsilon: float = EPSILON
+) -> list[tuple[dict[int, int], int]]:
+    """(configuration by place of length, how often), covering every piece once
+    in whole uses.
 
-    A length's price is its share of the capacity times a weight, which each
+    A length's price is its ``weights`` (its size) times a factor which each
     use multiplies by exp(-covered share / epsilon): what is covered gets
     cheap.  A round prices the open lengths once and takes up to ``TOGETHER``
     configurations that have no length in common, the best first and others
     while they are worth nearly as much (``NEAR``).  Each is used as many whole
-    times as its scarcest length lasts; what rounding leaves stays in the
-    program, which goes on until nothing is left.  A use covers a length or
-    leaves less of it than the configuration takes, so the rounds grow with the
-    number of lengths, not with the counts."""
+    times as its scarcest length lasts.  A use covers a length or leaves less
+    of it than the configuration takes, so the rounds grow with the number of
+    lengths, not with the counts."""
     left = have.copy()
+    worth_of = size.astype(float) if weights is None else weights
     out: list[tuple[dict[int, int], int]] = []
     while (open_ := np.flatnonzero(left)).size:
-        prices = size[open_] * np.exp((left[open_] / have[open_] - 1) / epsilon)
+        prices = worth_of[open_] * np.exp((left[open_] / have[open_] - 1) / epsilon)
         value, free, best = best_values(size[open_], prices, capacity), left[open_], 0.0
         for _ in range(TOGETHER):
             config = best_configuration(size[open_], prices, value, free)
@@ -186,43 +194,155 @@ def program(size: np.ndarray, have: np.ndarray, capacity: int, epsilon: float =
     return out
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing on a histogram: sequences that are filled alike are
-    kept as one (contents, how often), so the work does not grow with counts."""
-    left = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
-    place = {length: i for i, length in enumerate(lengths.tolist())}
-    active = [length for length in lengths.tolist() if left[length]]
+class Game:
+    """The configuration program restricted to known configurations, as a game:
+    one side spreads uses over configurations, the other prices over lengths.
+    A configuration's gain for a length is how often it has the length, over
+    the length's count; the program's value is one over the game's.
+
+    Both sides play multiplicative weights with one step of optimism (the last
+    change is expected again).  Averages of a growing stretch are bounds from
+    both sides; the next stretch starts at the best ones, more carefully if the
+    gap does not close."""
+
+    def __init__(self, size: np.ndarray, have: np.ndarray):
+        self.size, self.have = size, have.astype(float)
+        self.row, self.column, self.often = ([] for _ in range(3))
+        self.known: dict[tuple, int] = {}
+        self.uses: list[float] = []
+        prices = size * self.have
+        self.prices = prices / prices.sum()
+
+    def add(self, config: dict[int, int], uses: float) -> bool:
+        key = tuple(sorted(config.items()))
+        if key in self.known:
+            self.uses[self.known[key]] += uses
+            return False
+        self.known[key] = len(self.uses)
+        for i, n in config.items():
+            self.row.append(i)
+            self.column.append(len(self.uses))
+            self.often.append(n)
+        self.uses.append(uses)
+        return True
+
+    def play(self, total: float, tolerance: float, work: int) -> tuple[float, int]:
+        """Improve uses and prices until they bound the restricted program
+        within ``tolerance``; the uses that cover everything, as a number of
+        sequences, and the multiplications spent."""
+        row, column = np.array(self.row), np.array(self.column)
+        gain = np.array(self.often) * total / self.have[row]
+        m, k = len(self.have), len(self.uses)
+        covers = lambda x: np.bincount(row, gain * x[column], m)
+        earns = lambda w: np.bincount(column, gain * w[row], k)
+        start = self.have * self.size / (self.have * self.size).sum()
+        x, w = np.array(self.uses) / sum(self.uses), 0.999 * self.prices + 0.001 * start
+        low, high, best_x, best_w = 0.0, np.inf, x, w
+        rate, length, spent, gap = RATE, 20, 0, np.inf
+        while spent < work:
+            sum_x, sum_w = np.zeros(k), np.zeros(m)
+            cover, earn = covers(x), earns(w)
+            for _ in range(length):
+                now_cover, now_earn = covers(x), earns(w)
+                x = x * np.exp(rate * np.clip(2 * now_earn - earn - 1, -3, 3))
+                w = w * np.exp(-rate * np.clip(2 * now_cover - cover - 1, -3, 3))
+                x, w = x / x.sum(), w / w.sum()
+                cover, earn = now_cover, now_earn
+                sum_x += x
+                sum_w += w
+            spent += 2 * length * len(row)
+            for own in (sum_x / length, x):
+                if (worst := covers(own).min()) > low:
+                    low, best_x = worst, own
+            for own in (sum_w / length, w):
+                if (most := earns(own).max()) < high:
+                    high, best_w = most, own
+            if high < (1 + tolerance) * low:
+                break
+            if high / low - 1 > 0.9 * gap:
+                rate = max(0.7 * rate, 0.01)
+            gap, length = high / low - 1, min(2 * length, 2000)
+            # a little of everything, or what has become tiny would be lost
+            x, w = 0.999 * best_x + 0.001 / k, 0.999 * best_w + 0.001 * start
+        self.uses, self.prices = (best_x * total / low).tolist(), best_w
+        return total / low, spent
+
+
+def fractional(
+    size: np.ndarray, have: np.ndarray, capacity: int, start: list[tuple[dict[int, int], int]], tolerance: float = TOLERANCE
+) -> tuple[list[tuple[dict[int, int], float]], float, np.ndarray]:
+    """The configuration program: (configuration, uses) that cover everything,
+    a lower bound of the number of sequences, and the lengths' prices.
+
+    ``start`` is a cover in whole uses.  The bound is what all pieces are worth
+    at some prices, over the most that one sequence can hold: a knapsack
+    program.  At prices by size it may already be within ``tolerance`` of the
+    start.  If not, the game on the known configurations is played, the
+    knapsack program at its prices gives the bound and the configuration to add,
+    and so on."""
+    total = float(sum(times for _, times in start))
+    game = Game(size, have)
+    for config, times in start:
+        game.add(config, times)
+    bound = float((size * have).sum()) / capacity
+    whole = max(total, 1.0)
+    spent = 0
+    for _ in range(PRICINGS):
+        prices = game.prices / game.have
+        value = best_values(size, prices, capacity)
+        bound = max(bound, game.prices.sum() / value[-1])
+        if total <= (1 + tolerance) * bound or spent >= WORK:
+            break
+        every = np.full(len(size), capacity, np.int64)
+        new = game.add(best_configuration(size, prices, value, every), 0.02 * total)
+        if not new and spent:
+            break
+        total, used = game.play(whole, tolerance / 3, WORK - spent)
+        spent += used
+    configs = sorted(game.known, key=game.known.get)
+    return [(dict(c), u) for c, u in zip(configs, game.uses, strict=True)], bound, game.prices / game.have
+
+
+def rounded(
+    size: np.ndarray, have: np.ndarray, capacity: int, uses: list[tuple[dict[int, int], float]], prices: np.ndarray
+) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of a fractional solution, the most used first and each
+    rounded down (a place whose length has run out stays empty); what is left
+    of the pieces is covered in whole uses at the program's prices."""
+    left = have.copy()
     out: list[tuple[dict[int, int], int]] = []
-    while active:
-        config: dict[int, int] = {}
-        room, at = capacity, len(active) - 1
-        while at >= 0:
-            length = active[at]
-            if n := min(left[length] - config.get(length, 0), room // length):
-                config[length] = config.get(length, 0) + n
-                room -= n * length
-            at = min(at, bisect.bisect_right(active, room)) - 1
-        times = min(left[length] // n for length, n in config.items())
-        for length, n in config.items():
-            left[length] -= n * times
-            if not left[length]:
-                del active[bisect.bisect_left(active, length)]
-        out.append(({place[length]: n for length, n in config.items()}, times))
+    for config, often in sorted(uses, key=lambda u: -u[1]):
+        rest = int(often + 1e-9)
+        while rest and (own := {i: min(n, int(left[i])) for i, n in config.items() if left[i]}):
+            times = min(rest, *(int(left[i]) // n for i, n in own.items()))
+            for i, n in own.items():
+                left[i] -= n * times
+            out.append((own, times))
+            rest -= times
+    open_ = np.flatnonzero(left)
+    if open_.size:
+        more = priced_rounds(size[open_], left[open_], capacity, prices[open_])
+        out += [({int(open_[i]): n for i, n in config.items()}, times) for config, times in more]
     return out
 
 
-def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(configuration by length, how often), covering every piece once.
+def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """(configuration by length, how often), covering every piece once, and the
+    program's lower bound of the number of sequences.
 
-    The program's plan, which covers all pieces by itself.  Where plain
-    best-fit needs fewer sequences (seen on histograms of some ten lengths with
-    high counts), that one is taken."""
+    The start's whole uses are the plan if the bound shows that they are within
+    the tolerance, or if rounding the program's solution needs more."""
     if not lengths:
-        return []
+        return [], 0.0
     order = np.argsort(lengths)
     size, have = np.array(lengths, np.int64)[order], np.array(counts, np.int64)[order]
-    best = min((program(size, have, capacity), best_fit(size, have, capacity)), key=lambda x: sum(t for _, t in x))
-    return [({int(size[i]): n for i, n in config.items()}, times) for config, times in best]
+    start = priced_rounds(size, have, capacity)
+    uses, bound, prices = fractional(size, have, capacity, start)
+    needed = lambda plan: sum(times for _, times in plan)
+    best = start
+    if needed(start) > (1 + TOLERANCE) * bound:
+        best = min(start, rounded(size, have, capacity, uses, prices), key=needed)
+    return [({int(size[i]): n for i, n in config.items()}, times) for config, times in best], bound
 
 
 def placed(pieces: DataFrame, configurations: list[tuple[dict[int, int], int]], n_pieces: int) -> DataFrame:
@@ -279,5 +399,5 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = CA
     the sequence it goes to, and the place there."""
     pieces = saved(token_pieces(docs, tokenizer, capacity, end), "pieces")
     histogram = pieces.groupBy("length").count().orderBy("length").collect()  # at most capacity rows
-    configurations = plan([r["length"] for r in histogram], [r["count"] for r in histogram], capacity)
+    configurations, _ = plan([r["length"] for r in histogram], [r["count"] for r in histogram], capacity)
     return placed(pieces, configurations, sum(r["count"] for r in histogram))
