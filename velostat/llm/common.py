@@ -70,19 +70,34 @@ def parts_for(spark: SparkSession, size: int, each: int) -> int:
 HOT_SHARE = 1000
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, n_rows: int) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n_rows: int, count: str | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row for each value of
     ``key``), whatever share of the ``n_rows`` rows one value has: values of
     more than one in HOT_SHARE rows, of which there are fewer than HOT_SHARE,
-    are joined by broadcast, the others by what AQE measures.  ``rows`` is read
-    three times and best a saved table."""
-    hot = rows.groupBy(key).count().where(F.col("count") * HOT_SHARE > n_rows).select(key)
-    hot_rows = table.join(hot, key, "left_semi").withColumn("__hot", F.lit(True))
-    met = rows.join(F.broadcast(hot_rows), key, "left")
+    are joined by broadcast, the others by what AQE measures.  ``count`` names
+    a column of ``table`` that says how many rows a value has; without one they
+    are counted.  ``rows`` is read two or three times and best a saved table."""
+    if count is None:
+        often = rows.groupBy(key).count().where(F.col("count") * HOT_SHARE > n_rows).select(key)
+        hot = table.join(often, key, "left_semi")
+    else:
+        hot = table.where(F.col(count) * HOT_SHARE > n_rows)
+    met = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
     rest = met.where("__hot IS NULL").select(*rows.columns).join(table, key)
     return met.where("__hot").drop("__hot").unionByName(rest)
 
 
+#: Ids (of 8 bytes) that may be broadcast.
+BROADCAST_IDS = 2_000_000
+
+
+def of_ids(ids: DataFrame) -> DataFrame:
+    """A saved table of one long column, to filter rows by: marked for
+    broadcast if it has at most BROADCAST_IDS rows (16 MB of ids), else left to
+    be joined by what AQE measures."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove one of this package's own intermediate tables."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -57,7 +57,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import deleted, is_null, join_hot, mixed, packed, parts_for, rows_of, saved, unpacked, window_hashes, word_hashes
+from .common import deleted, is_null, join_hot, mixed, of_ids, packed, parts_for, rows_of, saved, unpacked, window_hashes, word_hashes
 from .components import connected
 
 WORDS, PERCENT = 5, 80
@@ -252,7 +252,8 @@ def light_postings(docs: DataFrame, standing: DataFrame, width: int, percent: in
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, members) of the wanted documents; texts travel compressed."""
+    """(doc_id, members) of the wanted documents; if these are too many to
+    broadcast, texts travel compressed."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -389,10 +390,14 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     if boundary:
         postings = postings.unionAll(light_postings(docs, standing, width, percent, boundary))
     postings = saved(postings, "postings")
-    pivots = postings.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
-    lists = saved(postings.join(pivots, "token").select("token", "doc_id", "pivot").distinct(), "lists")
+    pivots = postings.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    pivots = pivots.where("pivot < last").drop("last")
+    lists = join_hot(postings, pivots, "token", postings.count(), "n")
+    lists = saved(lists.select("token", "doc_id", "pivot").distinct(), "lists")
     deleted(postings)
-    sets = saved(_sets(docs, lists.select("doc_id").distinct(), width), "sets")
+    listed = saved(lists.select("doc_id").distinct(), "listed")
+    sets = saved(_sets(docs, of_ids(listed), width), "sets")
+    deleted(listed)
 
     first = lists.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
     first = first.groupBy("doc_id").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("b")).withColumnRenamed("doc_id", "a")
@@ -404,7 +409,7 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     labelled = saved(labelled, "all-labelled")
     deleted(lists)
     mixed_lists = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    sized = saved(labelled.join(mixed_lists.select("token", "n"), "token"), "labelled")
+    sized = saved(join_hot(labelled, mixed_lists.select("token", "n"), "token", labelled.count(), "n"), "labelled")
     deleted(labelled)
     short = sized.where(F.col("n") <= LONG)
     left = short.select("token", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
@@ -444,7 +449,7 @@ def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
     ids = saved(ids.where("n > 1 OR NOT stays"), "ids")
     key = F.col("doc_id").cast("long")
-    out = docs.join(ids.select(F.col("doc_id").alias("__id")), key == F.col("__id"), "left_anti")
+    out = docs.join(of_ids(ids.select(F.col("doc_id").alias("__id"))), key == F.col("__id"), "left_anti")
     again = ids.where("stays").select(F.col("doc_id").alias("__id"))
     if again.isEmpty():
         return out
