@@ -376,6 +376,55 @@ def test_page_cases(spark):
     assert got == {i: want for i, (_, want) in enumerate(cases)}
 
 
+LONG = "A sentence of the body text, long enough to count as such, and then some more of it."
+MENU = "<ul>" + "".join(f"<li><a href='/{w}'>{w} page</a></li>" for w in ("home", "news", "sports", "about")) + "</ul>"
+#: Pages and what their text is: a row each of the lines that are kept.
+FOUND = [
+    # names of attributes and of classes
+    (f"<article><p title='a hidden gem'>{LONG}</p><p>Of.</p></article>", [LONG, "Of."]),
+    (f"<article><p class='hidden-gems related-work'>{LONG}</p><p data-class='ad'>B.</p></article>", [LONG, "B."]),
+    (f"<main id=main><p class='ad-slot'>no</p><p class='siteHeader'>no</p><div id=cookie_banner>no</div><p role=note>{LONG}</p></main>", [LONG]),
+    (f"<article><p hidden>no</p><p style='color:red; Display : none'>no</p><p aria-hidden=true>no</p><p aria-hidden=false>{LONG}</p></article>", [LONG]),
+    # marks inside what is left out do not count
+    (f"<div><p>{LONG}</p></div><div class=comments><article><p>I say {LONG}</p></article></div>", [LONG]),
+    (f"<article><h1>T</h1><p>{LONG}</p><article class='comment'>no</article></article>", ["T", LONG]),
+    # marked pages lose nothing, however short or far apart
+    ("<article><p>Is.</p></article>", ["Is."]),
+    (f"<article><p>A.</p><p>B.</p><aside>no</aside><form>no</form><nav>no</nav><p></p><p></p><p></p><p>{LONG * 9}</p><hr><hr><hr><p>C.</p></article>",
+     ["A.", "B.", LONG * 9, "C."]),
+    (f"<main><article><p>{LONG}</p></article></main><p>{LONG} no</p><article><p>Of.</p></article>", [LONG, "Of."]),
+    (f"<article><p><a href=x>only a link</a></p></article>", ["only a link"]),
+    # pages without marks
+    ("".join(f"<div><div><p>Sentence {i} of a page of short ones.</p></div></div>" for i in range(8)), [f"Sentence {i} of a page of short ones." for i in range(8)]),
+    (f"<h1>Title</h1>{''.join(f'<div>{i}. {LONG}</div>' for i in range(3))}", ["Title", *(f"{i}. {LONG}" for i in range(3))]),
+    (f"{MENU}<div><p>By John.</p><p>{LONG}</p><p>Of.</p></div>{MENU}", ["By John.", LONG, "Of."]),
+    (f"<header>no</header>{MENU}<p>{LONG}</p><div class=ad>no</div><p>{LONG}</p><footer>no</footer>", [LONG, LONG]),
+    (f"<p>{LONG}</p>{MENU}<p>Short.</p>{MENU}<p>{LONG} {LONG}</p>", [LONG, f"{LONG} {LONG}"]),
+    (f"<body class='home'><table><tr><td>One</td><td>{LONG}</td></tr></table></body>", [f"One {LONG}"]),
+    (f"<p>See <a href=x>this page</a> and {LONG}</p>{MENU}", [f"See this page and {LONG}"]),
+    ("<p>tiny</p>", ["tiny"]),
+    ("plain text &lt;b&gt;\n  two   words", ["plain text <b> two words"]),
+    (f"{MENU}", []), ("<nav>no</nav><footer>no</footer>", []), ("<p> </p>\n<div></div>", []),
+]
+
+
+@pytest.mark.parametrize("i", range(len(FOUND)))
+def test_text_of_page(i):
+    page, want = FOUND[i]
+    assert html_blocks.main_text(page) == "\n\n".join(want)
+
+
+def test_pages_empty_long_and_repeated(spark):
+    long = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    rows = [(1, "u", long), (2, None, f"<p>{LONG}</p>"), (2, None, f"<p>{LONG}</p>"), (None, "v", "<p>x</p>"), (3, "w", "<div>" * 30_000 + "deep")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' AS text", "1L AS n_chars", "2 AS `a.b`")
+    got = sorted(((r.page_id, r.url, r.n_chars) for r in html_blocks.extract(pages).collect()), key=repr)
+    n = 20_000 * len(LONG) + 2 * 19_999
+    assert got == sorted([(1, "u", n), (2, None, len(LONG)), (2, None, len(LONG)), (None, "v", 1), (3, "w", 4)], key=repr)
+    empty = html_blocks.extract(pages.limit(0))
+    assert empty.collect() == [] and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_chats(spark):
     got = {r.conv_id: r for r in QUERIES["op2_chat_formatting"](spark, SF).collect()}
     chats = {-7: [("user", r"\### Assistant: </turn> ok"), ("assistant", r"\### Assistant: </turn> ok")]}
