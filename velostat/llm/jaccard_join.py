@@ -219,14 +219,36 @@ def _shared(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInPandas(count, "entry long, slack int, total int, member long, df int")
 
 
+def _token_of(universe: int):
+    return lambda entry: F.xxhash64(F.lit(universe), entry["member"])
+
+
 def heavy_postings(docs: DataFrame, standing: DataFrame, width: int, percent: int, boundary: int, buckets: int) -> DataFrame:
     """(token, doc_id) of the posted members of heavy classes."""
     shared = _shared(_members(docs, width, percent, boundary, buckets))
-    shared = shared.withColumn("doc_id", F.shiftright("entry", 1)).join(standing.select("doc_id"), "doc_id", "left_semi")
-    own = shared.groupBy("doc_id", "entry", "slack", "total").agg(F.sort_array(F.collect_list(F.struct("df", "member"))).alias("m"))
-    room = F.col("slack") + 1 - (F.col("total") - F.size("m"))
-    own = own.where(room > 0).select("doc_id", F.explode(F.slice("m", F.lit(1), room)).alias("m"), F.col("entry").bitwiseAND(F.lit(1)).alias("u"))
-    return own.select(F.xxhash64("u", "m.member").alias("token"), "doc_id")
+    # gathered by document before the shuffle; what is no class's text goes after it
+    lists, aggregates = [], [F.max("slack").alias("slack")]
+    for u in (0, 1):
+        own = F.col("entry").bitwiseAND(F.lit(1)) == u
+        aggregates += [F.max(F.when(own, F.col("total"))).alias(f"total{u}"), F.collect_list(F.when(own, F.struct("df", "member"))).alias(f"m{u}")]
+        m = F.col(f"m{u}")
+        room = F.coalesce(F.greatest(F.col("slack") + 1 - (F.col(f"total{u}") - F.size(m)), F.lit(0)), F.lit(0))
+        lists.append(F.transform(F.slice(F.sort_array(m), F.lit(1), room), _token_of(u)))
+    own = shared.groupBy(F.shiftright("entry", 1).alias("doc_id")).agg(*aggregates)
+    own = own.join(standing.select("doc_id"), "doc_id", "left_semi")
+    return own.select(F.explode(F.concat(*lists)).alias("token"), "doc_id")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the ``wanted`` ids, a saved table: found where the texts lie
+    if the ids can be broadcast, else texts travel compressed."""
+    if (few := of_ids(wanted)) is not wanted:
+        return docs.join(few, "doc_id", "left_semi")
+    return docs.select("doc_id", packed("text").alias("text")).join(wanted, "doc_id", "left_semi")
+
+
+def _words(text) -> list[bytes]:
+    return words_of(text) if is_null(text) or isinstance(text, str) else unpacked(bytes(text)).lower().split()
 
 
 def light_postings(docs: DataFrame, standing: DataFrame, width: int, percent: int, boundary: int) -> DataFrame:
@@ -238,7 +260,7 @@ def light_postings(docs: DataFrame, standing: DataFrame, width: int, percent: in
         for rows in rows_of(frames, "doc_id", "text"):
             out = []
             for doc, text in rows:
-                own = [] if is_null(doc) else shingles(words_of(text), width).tolist()
+                own = shingles(_words(text), width).tolist()
                 for b in range(len(own), boundary + 1):
                     need = overlap_needed(b, percent)
                     if own and need <= len(own):
@@ -247,21 +269,19 @@ def light_postings(docs: DataFrame, standing: DataFrame, width: int, percent: in
             yield pd.DataFrame(out, columns=["token", "doc_id"])
 
     # a text with few shingles can still be long: many repeated words
-    small = docs.join(standing.where(F.col("n_shingles").between(1, boundary)).select("doc_id"), "doc_id", "left_semi")
-    return small.mapInPandas(emit, "token long, doc_id long")
+    light = saved(standing.where(F.col("n_shingles").between(1, boundary)).select("doc_id"), "light")
+    return _texts(docs, light).mapInPandas(emit, "token long, doc_id long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, members) of the wanted documents; if these are too many to
-    broadcast, texts travel compressed."""
+    """(doc_id, members) of the ``wanted`` ids, a saved table."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            members = [shingles(unpacked(x).lower().split(), width).tobytes() for x in frame["packed"]]
+            members = [shingles(_words(x), width).tobytes() for x in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "members": members})
 
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", packed("text").alias("packed"))
-    return texts.join(wanted, "doc_id", "left_semi").mapInPandas(emit, "doc_id long, members binary")
+    return _texts(docs, wanted).mapInPandas(emit, "doc_id long, members binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -396,7 +416,7 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     lists = saved(lists.select("token", "doc_id", "pivot").distinct(), "lists")
     deleted(postings)
     listed = saved(lists.select("doc_id").distinct(), "listed")
-    sets = saved(_sets(docs, of_ids(listed), width), "sets")
+    sets = saved(_sets(docs, listed, width), "sets")
     deleted(listed)
 
     first = lists.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
