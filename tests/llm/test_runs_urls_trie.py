@@ -166,10 +166,11 @@ def test_longest_rule_wins_then_allow(spark):
     assert got[5] == ("example.org", "/a", "example.org/a", "block")
 
 
-@pytest.mark.parametrize("share", [1000, 3])
-def test_components_of_paths_stars_and_cycles(spark, monkeypatch, share):
+@pytest.mark.parametrize("share, few", [(1000, 50_000), (1000, 0), (3, 0), (3, 20)])
+def test_components_of_paths_stars_and_cycles(spark, monkeypatch, share, few):
     monkeypatch.setattr(components, "HOT_SHARE", share)
     monkeypatch.setattr(components, "COLD", share)
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(5)
     edges = [(f"p{i}", f"p{i + 1}") for i in range(60)] + [("hub", f"s{i}") for i in range(80)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("me", "me")]
     edges += [(f"r{rng.randrange(60)}", f"r{rng.randrange(60)}") for _ in range(40)]
