@@ -355,6 +355,66 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert none.where("score <> 0").isEmpty()
 
 
+def plain_kernel(a, b, order=3, decay=0.6):
+    """The subsequence kernel by its dynamic program: the weights of common
+    subsequences of ``order`` characters, decay ** (span in a + span in b)."""
+
+    def raw(s, t):
+        k = np.ones((len(s) + 1, len(t) + 1))  # of subsequences that go on to the end
+        for i in range(order):
+            nxt = np.zeros_like(k)
+            total = 0.0
+            for x in range(1, len(s) + 1):
+                for y in range(1, len(t) + 1):
+                    if s[x - 1] == t[y - 1]:
+                        total += decay**2 * k[x - 1, y - 1]
+                    nxt[x, y] = decay * nxt[x - 1, y] + decay * nxt[x, y - 1] - decay**2 * nxt[x - 1, y - 1]
+                    if s[x - 1] == t[y - 1]:
+                        nxt[x, y] += decay**2 * k[x - 1, y - 1]
+            k = nxt
+        return total
+
+    def whole(word):
+        return [word[at : at + 16] for at in range(0, max(1, len(word) - 8), 8)]
+
+    best = 0.0
+    for p in whole(a):
+        for q in whole(b):
+            norm = raw(p, p) * raw(q, q)
+            best = max(best, raw(p, q) / norm**0.5 if norm else 0.0)
+    return best
+
+
+def test_kernel_is_that_of_the_dynamic_program():
+    landmarks = ["idiot", "stupid", "aaaa", "xyz", "worthlessworthlessworthless", "réeux"]
+    words = ["idiot", "idxiot", "i.d.i.o.t", "stpd", "aaa", "ab", "", "réeuxment", "lessworthlessworth" * 3, "zyx", "toidi", "stupidity"]
+    got = toxicity.Similarity(landmarks)(words)
+    want = np.array([[plain_kernel(w, m) for m in landmarks] for w in words])
+    assert np.allclose(got, want, atol=1e-5)
+    floor = toxicity.Similarity(landmarks)(words, 0.4)
+    assert np.allclose(floor[floor > 0], want[floor > 0], atol=1e-5) and (want[floor == 0] < 0.4).all() or np.allclose(
+        np.where(want.max(axis=1, keepdims=True) >= 0.4, want, 0), floor, atol=1e-5)
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    """Held out, on the labelled tenth of the larger table."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    scored = toxicity.scores(labelled, toxicity.fit(labelled, labels)).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r.predicted for r in scored if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 50 and np.mean(toxic) > 0.75 and np.mean(clean) <= 0.01
+
+
+def test_toxicity_of_no_rows_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "good " * 200_000), (2, "bad words idiot " * 100_000), (3, None), (3, None)], "doc_id long, text string")
+    docs = docs.selectExpr("*", "1 AS score", "2 AS held_out", "3 AS `a.b`")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert len(toxicity.scores(docs, toxicity.fit(docs, labels)).collect()) == 4
+    none = toxicity.scores(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0)))
+    assert none.collect() == [] and none.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_blocks.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():

@@ -4,22 +4,28 @@ Words are compared by their common subsequences of ``ORDER`` characters; each
 skipped character costs a factor ``DECAY``, so an insult with inserted or
 missing characters stays near the plain one.  The kernel is normalised.
 
-* Landmarks: words that mark label 1 (G-test over labelled documents), taken
-  greedily so that no two are nearly alike.  A word's kernel values against
-  them, times the inverse root of the landmarks' own kernel matrix, are its
-  Nyström features.
+* Landmarks: words that mark label 1 more than chance would (G-test over
+  labelled documents, ``GAIN``), taken by gain so that no two are nearly alike
+  (``ALIKE``); as many as there are.  A word's kernel values against them,
+  times the inverse root of the landmarks' own kernel matrix, are its Nyström
+  features.  A value counts from ``ACTIVE`` on.
 * A sentence's kernel value is the largest of its words'; letters written apart
-  ("a b c") count as one word too.  A document is as toxic as its worst
-  sentence, so a linear SVM is trained on sentences in rounds: in a document
-  of label 1 the sentence that scores highest stands for it, in the others
-  every sentence counts.  A sigmoid is then fitted to the documents' scores.
+  ("a b c") count as one word too.  A linear SVM is trained on sentences in
+  rounds: in a document of label 1 the sentence that scores highest stands for
+  it, in the others every sentence counts.
+* A document is judged by its worst sentence, the ``WORST`` worst of its
+  different words (one such word may be chance, several are not), and its
+  length: a sigmoid is fitted to these by logistic regression.
 
 Learning takes at most ``max_labelled`` labelled documents (by a hash of the
-id) outside the held-out fifth, everything else takes all rows and whole
-texts.  An empty or null text has the score of a sentence without any similar
-word.  Without documents of both labels the score is the share of label 1 (0
-without labels).  Rows without ``toxic`` teach nothing; a document with both
-labels counts as 1.  Repeated rows each get their row.
+id) outside the held-out fifth, and of each at most ``max_sentences`` sentences
+and words, those with the largest kernel values; these two bound what the
+driver holds.  Everything else takes all rows and whole texts.  An empty or
+null text has the score of a text without any similar word.  Without documents
+of both labels the score is the share of label 1 (0 without labels).  Rows
+without ``toxic`` teach nothing; a document with both labels counts as 1.
+Repeated rows each get their row, an empty table gives an empty one, and other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,15 +42,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_null, rows_of
+from .common import deleted, is_null, rows_of, saved
 
 #: A subsequence of up to three code points fits one 64-bit number.
 ORDER, DECAY = 3, 0.6
-LANDMARKS, CANDIDATES = 48, 400
+#: Log-likelihood ratio from which a word marks label 1 (chance: under one in
+#: 200,000 words), and the kernel value of landmarks that are nearly alike.
+GAIN, ALIKE = 11.0, 0.9
 #: Words below this largest kernel value count as similar to no landmark.
 ACTIVE = 0.4
-#: Labelled documents to learn from, and sentences of one of them.
-MAX_LABELLED, MAX_SENTENCES = 20_000, 16
+#: Labelled documents to learn from, and sentences or words of one of them.
+MAX_LABELLED, MAX_SENTENCES = 20_000, 32
+#: Words of a document that its score looks at.
+WORST = 4
 #: Long words are compared in overlapping cuts of this many characters.
 CUT = 16
 REMEMBERED = 500_000
@@ -82,23 +92,27 @@ class Similarity:
     The kernel is the inner product of the words' subsequence weights; the
     landmarks' subsequences are a sorted table, in which a batch of words of
     one length is looked up at once.  A word's norm is at least that of a word
-    of its length without repeated subsequences, so values that cannot reach
-    ``floor`` are left at 0."""
+    of its length without repeated subsequences, so words whose found
+    subsequences cannot reach ``floor`` with any landmark are left at 0.  A long
+    landmark has the largest of its cuts' values."""
 
     def __init__(self, landmarks: list[str], order: int = ORDER, decay: float = DECAY):
         self.landmarks, self.order, self.decay = landmarks, order, decay
+        parts = [(i, part) for i, word in enumerate(landmarks) for part in _cuts(word)]
+        self.owner = np.array([i for i, _ in parts], np.int64)
         entries: dict[int, dict[int, float]] = {}
-        for i, word in enumerate(landmarks):
-            for part in _cuts(word)[:1]:
+        for i, (_, part) in enumerate(parts):
+            if len(part) >= order:
                 found, weights = _subsequences(_codes([part]), order, decay)
                 for x, w in zip(found[0].tolist(), weights.tolist(), strict=True):
                     entries.setdefault(x, {})[i] = entries.get(x, {}).get(i, 0.0) + w
         self.known = np.array(sorted(entries), np.int64)
-        self.weights = np.zeros((len(entries), len(landmarks)))
+        self.weights = np.zeros((len(entries), len(parts)))
         for at, x in enumerate(self.known.tolist()):
             for i, w in entries[x].items():
                 self.weights[at, i] = w
-        self.norms = np.sqrt(np.maximum((self.weights**2).sum(axis=0), 1e-12))
+        self.weights /= np.sqrt(np.maximum((self.weights**2).sum(axis=0), 1e-12))
+        self.most = self.weights.max(axis=1, initial=0)
 
     def __call__(self, words: list[str], floor: float = 0.0) -> np.ndarray:
         """(words, landmarks); a long word has the largest of its cuts."""
@@ -123,16 +137,20 @@ class Similarity:
         at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
         word, place = np.nonzero(self.known[at] == own)
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        if word.size:  # rows come in order: sum each word's stretch
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            out[word[first]] = np.add.reduceat(weights[place, None] * self.weights[at[word, place]], first, axis=0)
-        out /= self.norms
-        possible = np.flatnonzero(out.max(axis=1, initial=0) >= floor * np.sqrt((weights**2).sum()))
-        kept = np.zeros_like(out)
-        for i in possible.tolist():
-            names, which = np.unique(own[i], return_inverse=True)
-            kept[i] = out[i] / np.sqrt((np.bincount(which, weights, len(names)) ** 2).sum())
-        return kept
+        least = floor * np.sqrt((weights**2).sum())
+        reach = np.bincount(word, weights[place] * self.most[at[word, place]], len(words))
+        able = reach[word] >= max(least, 1e-12)
+        word, place = word[able], place[able]
+        if not word.size:
+            return out
+        # rows come in order: sum each word's stretch
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        found = np.add.reduceat(weights[place, None] * self.weights[at[word, place]], first, axis=0)
+        for i, value in zip(word[first].tolist(), found, strict=True):
+            if value.max() >= least:
+                _, which = np.unique(own[i], return_inverse=True)
+                np.maximum.at(out[i], self.owner, value / np.sqrt((np.bincount(which, weights) ** 2).sum()))
+        return out
 
 
 def _cuts(word: str) -> list[str]:
@@ -154,7 +172,8 @@ def apart(text) -> list[bytes]:
 
 
 class Sentences:
-    """Kernel values of a text's sentences that have any similar word."""
+    """Kernel values of a text's sentences that have any similar word, those of
+    its different similar words, and its number of words."""
 
     def __init__(self, landmarks: list[str], active: float = ACTIVE):
         self.similarity, self.active = Similarity(landmarks), active
@@ -177,7 +196,7 @@ class Sentences:
             near = values.max(axis=1, initial=0) >= self.active
             self.known.update((w, v if ok else None) for w, v, ok in zip(part, values, near.tolist(), strict=True))
 
-    def __call__(self, texts: list) -> list[np.ndarray]:
+    def __call__(self, texts: list) -> list[tuple[np.ndarray, np.ndarray, int]]:
         out = []
         for at in range(0, len(texts), 128):
             split = [(words_of(t), apart(t)) for t in texts[at : at + 128]]
@@ -185,9 +204,10 @@ class Sentences:
             out += [self._of(words, extra) for words, extra in split]
         return out
 
-    def _of(self, words: list[bytes], extra: list[bytes]) -> np.ndarray:
+    def _of(self, words: list[bytes], extra: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
         known = self.known
         found = [known[w] for w in extra if known[w] is not None]
+        different = [known[w] for w in sorted({*words, *extra}) if known[w] is not None]
         hits = [i for i, w in enumerate(words) if known[w] is not None]
         if hits:
             sentence, last = 0, 0
@@ -199,28 +219,41 @@ class Sentences:
                 value = known[words[i]]
                 rows[sentence] = np.maximum(rows[sentence], value) if sentence in rows else value
             found += rows.values()
-        return np.unique(np.array(found, np.float32), axis=0) if found else np.empty((0, len(self.similarity.landmarks)), np.float32)
+        none = np.empty((0, len(self.similarity.landmarks)), np.float32)
+        if not different:
+            return none, none, len(words)
+        return np.unique(np.array(found, np.float32), axis=0), np.array(different, np.float32), len(words)
 
 
 @dataclass
 class Model:
-    """score = sigmoid(slope * max over sentences of (weights . kernel values
-    + bias) + offset); constant if nothing could be learned."""
+    """score = sigmoid(slopes * features + offset), the features being the
+    largest margin (weights . kernel values + bias) of a sentence, the largest
+    of the words, and the log of the length; constant if nothing could be
+    learned."""
 
     landmarks: list[str]
     weights: np.ndarray | None = None
     bias: float = 0.0
-    slope: float = 0.0
+    slopes: np.ndarray | None = None
     offset: float = 0.0
     constant: float = 0.0
 
-    def margin(self, sentences: np.ndarray) -> float:
-        return max(self.bias, float((sentences @ self.weights).max()) + self.bias) if len(sentences) else self.bias
+    def features(self, sentences: np.ndarray, words: np.ndarray, n_words: int) -> np.ndarray:
+        out = np.zeros(WORST + 2)
+        if len(sentences):
+            out[0] = max(0.0, float((sentences @ self.weights).max()))
+            worst = np.sort((words @ self.weights).astype(float))[: -WORST - 1 : -1]
+            out[1 : 1 + len(worst)] = np.maximum(worst, 0)
+        out[:-1] += self.bias
+        out[-1] = np.log1p(n_words)
+        return out
 
-    def score(self, sentences: np.ndarray) -> float:
+    def score(self, sentences: np.ndarray, words: np.ndarray, n_words: int) -> float:
         if self.weights is None:
             return self.constant
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(sentences) + self.offset, -40, 40))))
+        z = float(self.features(sentences, words, n_words) @ self.slopes) + self.offset
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -237,36 +270,40 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 1e-4)
     return w[:-1], float(w[-1])
 
 
-def train(landmarks: list[str], bags: list[tuple[int, np.ndarray]], rounds: int = 5) -> Model:
-    """``bags``: (label, kernel values of the sentences) of each document."""
+def train(landmarks: list[str], bags: list[tuple[int, np.ndarray, np.ndarray, int]], rounds: int = 5) -> Model:
+    """``bags``: label, kernel values of the sentences and of the words, and
+    number of words of each document."""
     own = Similarity(landmarks)(landmarks).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     none = np.zeros((1, len(landmarks)))
-    mapped = [(y, np.vstack([none, x]) @ root) for y, x in bags]
+    mapped = [(b[0], np.vstack([none, b[1]]) @ root) for b in bags]
     negative = np.vstack([x for y, x in mapped if not y])
     positive = [x for y, x in mapped if y]
     w, b = np.ones(len(landmarks)) @ np.linalg.inv(root), 0.0
     for _ in range(rounds):
         worst = np.array([x[int((x @ w).argmax())] for x in positive])
         w, b = _svm(np.vstack([worst, negative]), np.array([1.0] * len(worst) + [-1.0] * len(negative)))
-    margins = np.array([(x @ w).max() + b for _, x in mapped])
-    labels = np.array([y for y, _ in mapped], float)
-    slope, offset = _sigmoid(margins, labels)
-    return Model(landmarks, (root @ w).astype(np.float32), b, slope, offset)
+    model = Model(landmarks, (root @ w).astype(np.float32), b)
+    features = np.array([model.features(*bag[1:]) for bag in bags])
+    model.slopes, model.offset = _logistic(features, np.array([bag[0] for bag in bags], float))
+    return model
 
 
-def _sigmoid(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def _logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
     """Newton steps for the logistic fit, with Platt's smoothed targets."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([margins, np.ones_like(margins)], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+    x = np.hstack([features, np.ones((len(features), 1))])
+    ridge = penalty * np.eye(x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        gradient = x.T @ (p - target) + 1e-3 * w
-        w -= np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2), gradient)
-    return float(w[0]), float(w[1])
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - target) + ridge @ w)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w[:-1], float(w[-1])
 
 
 def held_out(doc_id) -> F.Column:
@@ -282,42 +319,52 @@ def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(w, counts[1][w], counts[0][w]) for w in words], columns=["word", "n1", "n0"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_sentences: int = MAX_SENTENCES) -> Model:
     """Learn from the labelled documents outside the held-out fifth."""
     labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     labels = labels.where(~held_out("doc_id")).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")  # max_labelled rows
+    rows = saved(rows.select("text", "toxic"), "labelled-texts")
+    try:
+        return _learned(rows, max_sentences)
+    finally:
+        deleted(rows)
+
+
+def _learned(rows: DataFrame, max_sentences: int) -> Model:
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model([], constant=float(bool(n1)))
-    counts = rows.select("text", "toxic").mapInPandas(_word_counts, "word string, n1 long, n0 long")
+    counts = rows.mapInPandas(_word_counts, "word string, n1 long, n0 long")
     counts = counts.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     share = (F.col("n1") + F.col("n0")) / (n1 + n0)
     gain = lambda n, all_: F.when(n > 0, n * F.ln(n / (share * all_))).otherwise(0.0)
     gains = gain(F.col("n1"), F.lit(n1)) + gain(F.col("n0"), F.lit(n0))
     marks = counts.where(F.col("n1") * n0 > F.col("n0") * n1).select("word", gains.alias("gain"))
-    candidates = [r["word"] for r in marks.orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()]
+    # words of max_labelled documents that pass the test
     landmarks: list[str] = []
-    if candidates:
-        alike = Similarity(candidates)(candidates)
-        taken: list[int] = []
-        for i in range(len(candidates)):
-            if len(taken) < LANDMARKS and (not taken or alike[i, taken].max() < 0.9):
-                taken.append(i)
-        landmarks = [candidates[i] for i in taken]
+    similar = None
+    for r in marks.where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "word").collect():
+        if similar is None or similar([r["word"]])[0].max() < ALIKE:
+            landmarks.append(r["word"])
+            similar = Similarity(landmarks)
     if not landmarks:
         return Model([], constant=n1 / (n1 + n0))
 
+    def most(values: np.ndarray) -> bytes:
+        return values[np.argsort(-values.sum(axis=1), kind="stable")[:max_sentences]].tobytes()
+
     def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sentences = Sentences(landmarks)
         for frame in frames:
-            bags = [x[np.argsort(-x.sum(axis=1))[:MAX_SENTENCES]].tobytes() for x in sentences(frame["text"].tolist())]
-            yield pd.DataFrame({"toxic": frame["toxic"], "bag": bags})
+            bags = [(most(own), most(words), n) for own, words, n in sentences(frame["text"].tolist())]
+            yield pd.DataFrame(bags, columns=["sentences", "words", "n"]).assign(toxic=frame["toxic"])
 
-    bags = rows.select("text", "toxic").mapInPandas(values, "toxic int, bag binary").collect()  # max_labelled rows
-    return train(landmarks, [(r["toxic"], np.frombuffer(r["bag"], np.float32).reshape(-1, len(landmarks))) for r in bags])
+    bags = rows.mapInPandas(values, "sentences binary, words binary, n long, toxic int").collect()  # max_labelled rows
+    shaped = lambda raw: np.frombuffer(raw, np.float32).reshape(-1, len(landmarks))
+    return train(landmarks, [(r["toxic"], shaped(r["sentences"]), shaped(r["words"]), r["n"]) for r in bags])
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -326,8 +373,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sentences = Sentences(model.landmarks) if model.landmarks else None
         for frame in frames:
-            found = sentences(frame["text"].tolist()) if sentences else [np.empty((0, 0))] * len(frame)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": [model.score(x) for x in found]})
+            found = sentences(frame["text"].tolist()) if sentences else [(np.empty((0, 0)), np.empty((0, 0)), 0)] * len(frame)
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": [model.score(*x) for x in found]})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
