@@ -74,6 +74,29 @@ FROM judged GROUP BY r, doc_id
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+OP6 = f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, {_LOWER.format("coalesce(text, '')")} AS text FROM documents
+), words AS (
+  SELECT r, doc_id, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '') AS w FROM texts
+), sets AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
+  FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT r, count(*) AS n FROM sets GROUP BY r
+), pairs AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS shared FROM sets x JOIN sets y ON x.s = y.s AND x.r <> y.r GROUP BY x.r, y.r
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), reach(a, b) AS (
+  SELECT r, r FROM words UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least_of AS (
+  SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN words ON words.r = reach.b GROUP BY a
+)
+SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM words LEFT JOIN sizes USING (r) JOIN least_of USING (r)
+"""
+
 OP7 = f"""
 WITH items AS (
   SELECT item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark
@@ -98,6 +121,31 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN held USING (r)
 """
 
+#: Texts as hex digits: a byte is two of them, a 50-byte string 100.
+OP10 = """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), places AS (
+  SELECT r, doc_id, i, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 100 <= length(h) THEN substr(h, 2 * i + 1, 100) END AS s
+  FROM texts, unnest(range(0, length(h) // 2)) AS t(i)
+), holders AS (
+  SELECT s, min(doc_id) AS doc FROM places WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)
+), late AS (
+  SELECT r, i, byte, CASE WHEN doc < doc_id THEN 1 ELSE 0 END AS late FROM places LEFT JOIN holders ON places.s = holders.s
+), gone AS (
+  SELECT r, i, byte, max(late) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM late
+), runs AS (
+  SELECT r, i, byte, gone, lag(gone, 1, 0) OVER (PARTITION BY r ORDER BY i) AS before FROM gone
+), sums AS (
+  SELECT r, sum(gone) AS n_removed, sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY i) FILTER (gone = 0), '') AS kept
+  FROM runs GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts LEFT JOIN sums USING (r)
+"""
+
 #: Absolute canonical and refresh targets outside comments, scripts and styles.
 OP12 = r"""
 WITH RECURSIVE rules(action, host, path) AS (
@@ -175,7 +223,9 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": OP2,
     "op4_quality_rules": OP4,
     "op5_line_dedup": OP5,
+    "op6_jaccard_join": OP6,
     "op7_decontamination": OP7,
+    "op10_suffix_dedup": OP10,
     "op12_url_aliases": OP12,
     "op13_prefix_trie": OP13,
 }
