@@ -27,6 +27,50 @@ def quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), base
 
 
+def quality_keeps(text):
+    """The policy in force, from the measurements."""
+    n_words, word_chars, n_symbols, n_dup, _, base = quality(text)
+    word_lines = sum(bool(WORD.search(line)) for line in (text or "").split("\n"))
+    return not (base or 100 * n_symbols > 50 * n_words or 100 * n_dup > 50 * word_lines or word_chars < 2 * n_words or word_chars > 30 * n_words)
+
+
+def lines_kept(rows):
+    """The texts of line_dedup."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    first = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            if doc is not None and len(key(line)) >= 10:
+                first[key(line)] = min(first.get(key(line), doc), doc)
+    return [
+        (doc, "\n".join(x for x in (text or "").split("\n") if doc is None or len(key(x)) < 10 or first[key(x)] == doc))
+        for doc, text in rows
+    ]
+
+
+def one_of_each(rows):
+    """The rows of the smallest document of each component, each id once."""
+    seen, out = set(), []
+    for (doc, text), (_, _, component) in zip(rows, jaccard(rows), strict=True):
+        if doc is None or doc == component and doc not in seen:
+            seen.add(doc)
+            out.append((doc, text))
+    return out
+
+
+def pieces(rows, encode, capacity=4096, end=1):
+    import struct
+    import zlib
+
+    out = []
+    for doc, text in rows:
+        ids = [*encode(text or ""), end]
+        for at in range(0, len(ids), capacity):
+            part = ids[at : at + capacity]
+            out.append((doc, at // capacity, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+    return out
+
+
 def line_dedup(rows):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     holders = defaultdict(set)

@@ -14,6 +14,7 @@ import brute  # noqa: E402
 
 from velostat.llm import (  # noqa: E402
     chat_parts,
+    common,
     decontaminate,
     html_blocks,
     jaccard_join,
@@ -515,21 +516,59 @@ def test_chat_parts(spark):
     assert chat.attachment_tokens == 1230 and got[None].formatted == "<turn>\n</turn>"
 
 
-def test_pipeline(spark, table):
+WORDY = " ".join(f"token{i} of the text" for i in range(30))
+STAGED = [
+    (1, WORDY), (2, WORDY + " and a tail"), (3, "too short"), (4, None), (5, ""), (None, WORDY), (None, "no"),
+    (6, "a line that many texts hold\n" + " ".join(f"six{i} words here" for i in range(20))),
+    (7, "A LINE that many texts hold \n" + " ".join(f"seven{i} words here" for i in range(20))),
+    (8, BASE + " " + " ".join(f"eight{i}" for i in range(30))), (9, " ".join(f"nine{i}" for i in range(9000))),
+    (10, "# $ % " * 20 + " ".join(f"ten{i}" for i in range(30))), (11, WORDY.upper()), (12, "x y z " * 30),
+    (13, " ".join(f"same{i} row twice" for i in range(12))), (13, " ".join(f"same{i} row twice" for i in range(12))),
+]
+
+
+@pytest.mark.parametrize("which", ["table", "edge", "empty"])
+def test_pipeline(spark, tmp_path, which):
+    """Every stage against brute force on what its predecessor kept."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs, rows = table
-    rows = [(i, t) for i, t in rows if not brute.quality(t)[5]]
-    good = {r.doc_id for r in rule_ledger.apply_policy(rule_ledger.ledger(docs)).where("kept").collect()}
-    rows = [(i, t) for i, t in rows if i in good]
-    drop = {r.row.doc_id: r.kept for r in line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    held(brute.line_dedup(rows), sorted(((i, len(t.split("\n")), len(t.split("\n")) - len(drop[i].split("\n")), brute.sha(drop[i])) for i, t in rows), key=repr)) if all(drop.values()) else None
-    rows = [(i, drop[i]) for i, _ in rows]
-    stay = {c for _, _, c in brute.jaccard(rows)}
-    rows = [(i, t) for i, t in rows if i in stay]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    clean = [x[0] for x in brute.decontaminate(rows, items) if not x[5]]
-    assert sorted({r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}) == sorted(clean)
+    folder = SF
+    if which != "table":
+        folder = str(tmp_path)
+        rows = STAGED if which == "edge" else []
+        docs = frame(spark, rows, "lang string, source string, n_chars long, row string, kept int").selectExpr("*", "'d' AS `a.b`")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, BASE), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    tokenizer = Tokenizer.from_file(word_tokenizer())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, rows = docs.columns, [(r.doc_id, r.text) for r in docs.collect()]
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        want = {
+            "quality_rules": lambda: [r for r in rows if brute.quality_keeps(r[1])],
+            "line_dedup": lambda: brute.lines_kept(rows),
+            "jaccard_join": lambda: brute.one_of_each(rows),
+            "decontamination": lambda: [r for r, found in zip(rows, brute.decontaminate(rows, items), strict=True) if not found[5]],
+            "packing": lambda: brute.pieces(rows, lambda t: tokenizer.encode(t, add_special_tokens=False).ids),
+        }[name]()
+        docs = common.saved(stage(spark, docs, folder), f"test-{name}")
+        if name != "packing":
+            assert docs.columns == columns
+            held(want, rows_of(docs, "doc_id", "text"))
+            rows = want
+        else:
+            held(want, rows_of(docs, "doc_id", "piece", "start", "length", "ids_crc32"))
+            ends = {}
+            for r in docs.orderBy("sequence_id", "offset").collect():
+                assert r.offset == ends.get(r.sequence_id, 0)
+                ends[r.sequence_id] = r.offset + r.length
+            assert max(ends.values(), default=0) <= 4096
+        sizes.append(len(want))
+    if which == "edge":
+        assert len(STAGED) > sizes[0] > sizes[2] > sizes[3] > 3
+    held([tuple(r) for r in docs.drop("sequence_id", "offset").collect()], rows_of(corpus_pipeline.run(spark, folder), "doc_id", "piece", "start", "length", "ids_crc32"))
 
 
 def test_suffixes_with_edits_and_overlaps(spark):

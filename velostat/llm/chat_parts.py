@@ -11,10 +11,12 @@ without the spaces.  ``&`` and ``<`` in texts become ``&amp;`` and ``&lt;``
 but the template's, and :func:`read_back` undoes it.  The loss mask is the
 (start, length) in code points of each assistant content.
 
-Rows go by turn; rows of the same turn by role, then content.  A null text or
-role counts as empty, null parts as none.  Repeated rows are turns of their
-own.  Rows with a null ``conv_id`` are one conversation.  Further columns of
-the input are not read.
+Rows go by turn (null first); rows of the same turn by role, then content, both
+as they are written out, that is escaped.  A null text or role counts as empty,
+null parts as none.  Repeated rows are turns of their own.  Rows with a null
+``conv_id`` are one conversation.  An empty table gives an empty one.  Further
+columns of the input are not read.  A conversation's text is put together in
+one task.
 """
 
 from __future__ import annotations

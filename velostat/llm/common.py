@@ -111,6 +111,11 @@ def deleted(df: DataFrame) -> None:
         delete_path(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def whole_row(docs: DataFrame) -> F.Column:
+    """All columns, whatever their names, as one struct."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def lower_ascii(column):
     """A-Z to a-z, every other character as it is."""
     return F.translate(column, UPPER, LOWER)

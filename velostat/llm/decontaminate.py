@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_null, saved, window_hashes, word_hashes
+from .common import is_null, saved, whole_row, window_hashes, word_hashes
 
 WIDTH = 13
 #: Benchmark words in one broadcast: some 100 bytes each in a worker.
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
     hit.  After each block but the last the rows are written out."""
     spark = docs.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.expr("CAST(NULL AS struct<n_words:long,spans:array<struct<start:int,end:int>>,items:array<long>>)").alias("hits"))
+    rows = docs.select(whole_row(docs).alias("row"), F.expr("CAST(NULL AS struct<n_words:long,spans:array<struct<start:int,end:int>>,items:array<long>>)").alias("hits"))
     for i, block in enumerate(_blocks(benchmark, block_words)):
         windows = Windows([(r["item_id"], r["text"]) for r in block.toLocalIterator()], width)
         rows = (saved(rows, "hits") if i else rows).withColumn(

@@ -57,7 +57,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import deleted, is_null, join_hot, mixed, of_ids, packed, parts_for, rows_of, saved, unpacked, window_hashes, word_hashes
+from .common import deleted, is_null, join_hot, mixed, of_ids, packed, parts_for, rows_of, saved, unpacked, whole_row, window_hashes, word_hashes
 from .components import connected
 
 WORDS, PERCENT = 5, 80
@@ -475,7 +475,7 @@ def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
         return out
 
     rows = docs.join(again, key == F.col("__id"), "left_semi")
-    rows = rows.select(key.alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select(key.alias("doc_id"), "text", whole_row(docs).alias("row"))
     rows = rows.withColumn("digest", _digests("text")).join(found.where("stays").select("doc_id", "digest").distinct(), ["doc_id", "digest"])
     rows = rows.groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
     return out.unionByName(rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

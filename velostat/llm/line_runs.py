@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, fresh_path, is_null, lower_ascii, saved
+from .common import ASCII_SPACE, fresh_path, is_null, lower_ascii, saved, whole_row
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -159,7 +159,7 @@ def _keep(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Per row of ``docs``: ``row``, the whole row as a struct, and n_lines,
     n_dropped, the ``kept`` text and its digest."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), "text")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long"), "text")
     drops = dropped_lines(docs.select(F.col("doc_id").cast("long"), "text"), min_chars, batches, fanout)
     keep = F.pandas_udf(_keep, "n_lines long, n_dropped long, kept string, kept_sha256 string")
     return (

@@ -11,12 +11,15 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), written AS (
+  SELECT *, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;') AS by_role,
+    replace(replace(text, '&', '&amp;'), '<', '&lt;') AS by_text FROM rows
 ), chats AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-    sum(length('<turn>' || role || chr(10) || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</turn>')) AS formatted_chars
-  FROM rows GROUP BY conv_id
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, by_role, by_text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, by_role, by_text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length('<turn>' || by_role || chr(10) || by_text || '</turn>')) AS formatted_chars
+  FROM written GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   formatted_chars::BIGINT AS formatted_chars

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_null
+from .common import is_null, whole_row
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -122,8 +122,7 @@ def apply_policy(rows: DataFrame, version: int = CURRENT) -> DataFrame:
 
 def keep_good(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     """The rows of ``docs`` that a policy keeps, all columns as they are."""
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), measured("text").alias("m")).select("row", "m.*")
+    rows = docs.select(whole_row(docs).alias("row"), measured("text").alias("m")).select("row", "m.*")
     return apply_policy(rows.withColumn("fail_bits", fail_bits()), version).where("kept").select("row.*")
 
 
