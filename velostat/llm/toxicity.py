@@ -194,7 +194,8 @@ class Sentences:
             if marked:  # as it is, or without the marks inside
                 values[marked] = np.maximum(values[marked], self.similarity([_MARK.sub("", words[i]) for i in marked], self.active))
             near = values.max(axis=1, initial=0) >= self.active
-            self.known.update((w, v if ok else None) for w, v, ok in zip(part, values, near.tolist(), strict=True))
+            # a copy, as a row of the batch's values would keep all of them
+            self.known.update((w, v.copy() if ok else None) for w, v, ok in zip(part, values, near.tolist(), strict=True))
 
     def __call__(self, texts: list) -> list[tuple[np.ndarray, np.ndarray, int]]:
         out = []
