@@ -397,6 +397,14 @@ def test_kernel_is_that_of_the_dynamic_program():
         np.where(want.max(axis=1, keepdims=True) >= 0.4, want, 0), floor, atol=1e-5)
 
 
+def test_landmarks_spread_over_a_large_vocabulary(monkeypatch):
+    words = [f"{root}{end}" for root in ("achlich", "worthless", "bomente") for end in ("", "er", "st", "ung", "lich", "pf", "zu", "au")]
+    assert toxicity.spread(["idiot", "idiot", "moron"]) == ["idiot", "moron"] and toxicity.spread([]) == []
+    monkeypatch.setattr(toxicity, "LANDMARKS", 5)
+    got = toxicity.spread(words)
+    assert len(got) <= 5 and {w[:6] for w in got} == {"achlic", "worthl", "boment"}
+
+
 def test_toxicity_finds_held_out_documents(spark):
     """Held out, on the labelled tenth of the larger table."""
     folder = "/root/testdata/sf0.1"

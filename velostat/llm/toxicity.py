@@ -4,9 +4,10 @@ Words are compared by their common subsequences of ``ORDER`` characters; each
 skipped character costs a factor ``DECAY``, so an insult with inserted or
 missing characters stays near the plain one.  The kernel is normalised.
 
-* Landmarks: words that mark label 1 more than chance would (G-test over
-  labelled documents, ``GAIN``), taken by gain so that no two are nearly alike
-  (``ALIKE``); as many as there are.  A word's kernel values against them,
+* Landmarks: words that mark label 1 (G-test over labelled documents, ``GAIN``;
+  most documents with the word have it), taken by gain so that no two are nearly
+  alike: the first of ``ALIKE`` that leaves at most ``LANDMARKS``.  So where a
+  vocabulary is larger its net gets coarser, and none of it goes.  A word's kernel values against them,
   times the inverse root of the landmarks' own kernel matrix, are its Nyström
   features.  A value counts from ``ACTIVE`` on.
 * A sentence's kernel value is the largest of its words'; letters written apart
@@ -47,8 +48,9 @@ from .common import deleted, is_null, rows_of, saved
 #: A subsequence of up to three code points fits one 64-bit number.
 ORDER, DECAY = 3, 0.6
 #: Log-likelihood ratio from which a word marks label 1 (chance: under one in
-#: 200,000 words), and the kernel value of landmarks that are nearly alike.
-GAIN, ALIKE = 11.0, 0.9
+#: 200,000 words), kernel values of landmarks that are nearly alike, and how many
+#: landmarks there are at most (the rank of the features).
+GAIN, ALIKE, LANDMARKS = 11.0, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3), 80
 #: Words below this largest kernel value count as similar to no landmark.
 ACTIVE = 0.4
 #: Labelled documents to learn from, and sentences or words of one of them.
@@ -333,6 +335,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         deleted(rows)
 
 
+def spread(words: list[str]) -> list[str]:
+    """The first of ``words``, and of the others in order those that are not
+    nearly alike to one taken; coarser until at most LANDMARKS are left."""
+    taken: list[str] = []
+    for alike in ALIKE:
+        taken, left = [], words
+        while left and len(taken) <= LANDMARKS:
+            taken.append(left[0])
+            near = Similarity(left[:1])(left)[:, 0]
+            left = [w for w, x in zip(left[1:], near[1:], strict=True) if x < alike]
+        if len(taken) <= LANDMARKS:
+            break
+    return taken[:LANDMARKS]
+
+
 def _learned(rows: DataFrame, max_sentences: int) -> Model:
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -343,14 +360,9 @@ def _learned(rows: DataFrame, max_sentences: int) -> Model:
     share = (F.col("n1") + F.col("n0")) / (n1 + n0)
     gain = lambda n, all_: F.when(n > 0, n * F.ln(n / (share * all_))).otherwise(0.0)
     gains = gain(F.col("n1"), F.lit(n1)) + gain(F.col("n0"), F.lit(n0))
-    marks = counts.where(F.col("n1") * n0 > F.col("n0") * n1).select("word", gains.alias("gain"))
-    # words of max_labelled documents that pass the test
-    landmarks: list[str] = []
-    similar = None
-    for r in marks.where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "word").collect():
-        if similar is None or similar([r["word"]])[0].max() < ALIKE:
-            landmarks.append(r["word"])
-            similar = Similarity(landmarks)
+    marks = counts.where(F.col("n1") * n0 > F.col("n0") * n1).select("word", "n1", "n0", gains.alias("gain"))
+    marks = marks.where((F.col("gain") >= GAIN) & (F.col("n1") >= F.col("n0"))).orderBy(F.desc("gain"), "word")
+    landmarks = spread([r["word"] for r in marks.collect()])  # words of max_labelled documents that pass the test
     if not landmarks:
         return Model([], constant=n1 / (n1 + n0))
 
