@@ -54,7 +54,7 @@ GAIN, ALIKE, LANDMARKS = 11.0, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3), 80
 #: Words below this largest kernel value count as similar to no landmark.
 ACTIVE = 0.4
 #: Labelled documents to learn from, and sentences or words of one of them.
-MAX_LABELLED, MAX_SENTENCES = 20_000, 32
+MAX_LABELLED, MAX_SENTENCES = 20_000, 16
 #: Words of a document that its score looks at.
 WORST = 4
 #: Long words are compared in overlapping cuts of this many characters.
@@ -259,10 +259,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, often: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Squared hinge loss by accelerated gradient steps, both labels weighing
-    alike."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    alike; a row stands for ``often`` equal ones."""
+    weight = often * np.where(y > 0, 0.5 / max(1, often[y > 0].sum()), 0.5 / max(1, often[y < 0].sum()))
     x1 = np.hstack([x, np.ones((len(x), 1))])
     rate = 1 / (2 * np.linalg.eigvalsh((x1 * weight[:, None]).T @ x1)[-1] + penalty)
     w = previous = np.zeros(x1.shape[1])
@@ -279,14 +279,19 @@ def train(landmarks: list[str], bags: list[tuple[int, np.ndarray, np.ndarray, in
     own = Similarity(landmarks)(landmarks).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    none = np.zeros((1, len(landmarks)))
-    mapped = [(b[0], np.vstack([none, b[1]]) @ root) for b in bags]
-    negative = np.vstack([x for y, x in mapped if not y])
-    positive = [x for y, x in mapped if y]
+    # equal sentences of documents of label 0 are one row with their number;
+    # one without any similar word is all zeros
+    none = np.zeros((1, len(landmarks)), np.float32)
+    negative, often = np.unique(np.vstack([none, *(b[1] for b in bags if not b[0])]), axis=0, return_counts=True)
+    empty = np.flatnonzero(~negative.any(axis=1))
+    often[empty] += sum(not b[0] for b in bags) - 1
+    negative = negative @ root
+    positive = [np.vstack([none, b[1]]) for b in bags if b[0]]
     w, b = np.ones(len(landmarks)) @ np.linalg.inv(root), 0.0
     for _ in range(rounds):
-        worst = np.array([x[int((x @ w).argmax())] for x in positive])
-        w, b = _svm(np.vstack([worst, negative]), np.array([1.0] * len(worst) + [-1.0] * len(negative)))
+        worst = np.array([x[int((x @ (root @ w)).argmax())] for x in positive]) @ root
+        labels = np.array([1.0] * len(worst) + [-1.0] * len(negative))
+        w, b = _svm(np.vstack([worst, negative]), labels, np.concatenate([np.ones(len(worst)), often]))
     model = Model(landmarks, (root @ w).astype(np.float32), b)
     features = np.array([model.features(*bag[1:]) for bag in bags])
     model.slopes, model.offset = _logistic(features, np.array([bag[0] for bag in bags], float))
