@@ -54,7 +54,7 @@ GAIN, ALIKE, LANDMARKS = 11.0, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3), 80
 #: Words below this largest kernel value count as similar to no landmark.
 ACTIVE = 0.4
 #: Labelled documents to learn from, and sentences or words of one of them.
-MAX_LABELLED, MAX_SENTENCES = 20_000, 16
+MAX_LABELLED, MAX_SENTENCES = 20_000, 8
 #: Words of a document that its score looks at.
 WORST = 4
 #: Long words are compared in overlapping cuts of this many characters.
@@ -274,19 +274,20 @@ def _svm(x: np.ndarray, y: np.ndarray, often: np.ndarray, rounds: int = 400, pen
 
 
 def train(landmarks: list[str], bags: list[tuple[int, np.ndarray, np.ndarray, int]], rounds: int = 5) -> Model:
-    """``bags``: label, kernel values of the sentences and of the words, and
-    number of words of each document."""
+    """``bags``: label, kernel values of the sentences and of the words (half
+    precision is enough to learn from), and number of words of each document."""
     own = Similarity(landmarks)(landmarks).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     # equal sentences of documents of label 0 are one row with their number;
     # one without any similar word is all zeros
-    none = np.zeros((1, len(landmarks)), np.float32)
-    negative, often = np.unique(np.vstack([none, *(b[1] for b in bags if not b[0])]), axis=0, return_counts=True)
+    none = np.zeros((1, len(landmarks)), np.float16)
+    negative = np.vstack([none, *(b[1] for b in bags if not b[0])]).astype(np.float32)
+    negative, often = np.unique(negative, axis=0, return_counts=True)
     empty = np.flatnonzero(~negative.any(axis=1))
     often[empty] += sum(not b[0] for b in bags) - 1
     negative = negative @ root
-    positive = [np.vstack([none, b[1]]) for b in bags if b[0]]
+    positive = [np.vstack([none, b[1]]).astype(np.float32) for b in bags if b[0]]
     w, b = np.ones(len(landmarks)) @ np.linalg.inv(root), 0.0
     for _ in range(rounds):
         worst = np.array([x[int((x @ (root @ w)).argmax())] for x in positive]) @ root
@@ -372,7 +373,7 @@ def _learned(rows: DataFrame, max_sentences: int) -> Model:
         return Model([], constant=n1 / (n1 + n0))
 
     def most(values: np.ndarray) -> bytes:
-        return values[np.argsort(-values.sum(axis=1), kind="stable")[:max_sentences]].tobytes()
+        return values[np.argsort(-values.sum(axis=1), kind="stable")[:max_sentences]].astype(np.float16).tobytes()
 
     def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sentences = Sentences(landmarks)
@@ -381,7 +382,7 @@ def _learned(rows: DataFrame, max_sentences: int) -> Model:
             yield pd.DataFrame(bags, columns=["sentences", "words", "n"]).assign(toxic=frame["toxic"])
 
     bags = rows.mapInPandas(values, "sentences binary, words binary, n long, toxic int").collect()  # max_labelled rows
-    shaped = lambda raw: np.frombuffer(raw, np.float32).reshape(-1, len(landmarks))
+    shaped = lambda raw: np.frombuffer(raw, np.float16).reshape(-1, len(landmarks))
     return train(landmarks, [(r["toxic"], shaped(r["sentences"]), shaped(r["words"]), r["n"]) for r in bags])
 
 
