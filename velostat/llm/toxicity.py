@@ -19,9 +19,9 @@ missing characters stays near the plain one.  The kernel is normalised.
   length: a sigmoid is fitted to these by logistic regression.
 
 Learning takes at most ``max_labelled`` labelled documents (by a hash of the
-id) outside the held-out fifth, and of each at most ``max_sentences`` sentences
-and words, those with the largest kernel values; these two bound what the
-driver holds.  Everything else takes all rows and whole texts.  An empty or
+id) outside the held-out fifth, and the machine learns from at most
+``max_sentences`` sentences of each, those with the largest kernel values; these
+two bound what the driver holds.  Everything else takes all rows and whole texts.  An empty or
 null text has the score of a text without any similar word.  Without documents
 of both labels the score is the share of label 1 (0 without labels).  Rows
 without ``toxic`` teach nothing; a document with both labels counts as 1.
@@ -53,8 +53,8 @@ ORDER, DECAY = 3, 0.6
 GAIN, ALIKE, LANDMARKS = 11.0, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3), 80
 #: Words below this largest kernel value count as similar to no landmark.
 ACTIVE = 0.4
-#: Labelled documents to learn from, and sentences or words of one of them.
-MAX_LABELLED, MAX_SENTENCES = 20_000, 8
+#: Labelled documents to learn from, and sentences of one of them.
+MAX_LABELLED, MAX_SENTENCES = 20_000, 16
 #: Words of a document that its score looks at.
 WORST = 4
 #: Long words are compared in overlapping cuts of this many characters.
@@ -273,9 +273,10 @@ def _svm(x: np.ndarray, y: np.ndarray, often: np.ndarray, rounds: int = 400, pen
     return w[:-1], float(w[-1])
 
 
-def train(landmarks: list[str], bags: list[tuple[int, np.ndarray, np.ndarray, int]], rounds: int = 5) -> Model:
-    """``bags``: label, kernel values of the sentences and of the words (half
-    precision is enough to learn from), and number of words of each document."""
+def train(landmarks: list[str], bags: list[tuple[int, np.ndarray]], rounds: int = 5) -> Model:
+    """The sentences' machine, without the documents' sigmoid.  ``bags``: label
+    and kernel values of the sentences of each document (half precision is
+    enough to learn from)."""
     own = Similarity(landmarks)(landmarks).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
@@ -293,10 +294,7 @@ def train(landmarks: list[str], bags: list[tuple[int, np.ndarray, np.ndarray, in
         worst = np.array([x[int((x @ (root @ w)).argmax())] for x in positive]) @ root
         labels = np.array([1.0] * len(worst) + [-1.0] * len(negative))
         w, b = _svm(np.vstack([worst, negative]), labels, np.concatenate([np.ones(len(worst)), often]))
-    model = Model(landmarks, (root @ w).astype(np.float32), b)
-    features = np.array([model.features(*bag[1:]) for bag in bags])
-    model.slopes, model.offset = _logistic(features, np.array([bag[0] for bag in bags], float))
-    return model
+    return Model(landmarks, (root @ w).astype(np.float32), b)
 
 
 def _logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -372,18 +370,25 @@ def _learned(rows: DataFrame, max_sentences: int) -> Model:
     if not landmarks:
         return Model([], constant=n1 / (n1 + n0))
 
-    def most(values: np.ndarray) -> bytes:
-        return values[np.argsort(-values.sum(axis=1), kind="stable")[:max_sentences]].astype(np.float16).tobytes()
+    def most(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sentences = Sentences(landmarks)
+        for frame in frames:
+            own = (values[np.argsort(-values.sum(axis=1), kind="stable")[:max_sentences]] for values, _, _ in sentences(frame["text"].tolist()))
+            yield pd.DataFrame({"toxic": frame["toxic"], "bag": [x.astype(np.float16).tobytes() for x in own]})
 
-    def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bags = rows.mapInPandas(most, "toxic int, bag binary").collect()  # max_labelled rows of max_sentences each
+    model = train(landmarks, [(r["toxic"], np.frombuffer(r["bag"], np.float16).reshape(-1, len(landmarks))) for r in bags])
+    del bags
+
+    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sentences = Sentences(landmarks)
         for frame in frames:
-            bags = [(most(own), most(words), n) for own, words, n in sentences(frame["text"].tolist())]
-            yield pd.DataFrame(bags, columns=["sentences", "words", "n"]).assign(toxic=frame["toxic"])
+            found = [model.features(*x).tolist() for x in sentences(frame["text"].tolist())]
+            yield pd.DataFrame({"toxic": frame["toxic"], "features": found})
 
-    bags = rows.mapInPandas(values, "sentences binary, words binary, n long, toxic int").collect()  # max_labelled rows
-    shaped = lambda raw: np.frombuffer(raw, np.float16).reshape(-1, len(landmarks))
-    return train(landmarks, [(r["toxic"], shaped(r["sentences"]), shaped(r["words"]), r["n"]) for r in bags])
+    judged = rows.mapInPandas(features, "toxic int, features array<double>").collect()  # max_labelled rows of a few numbers
+    model.slopes, model.offset = _logistic(np.array([r["features"] for r in judged]), np.array([r["toxic"] for r in judged], float))
+    return model
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
