@@ -148,10 +148,21 @@ class Similarity:
         # rows come in order: sum each word's stretch
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         found = np.add.reduceat(weights[place, None] * self.weights[at[word, place]], first, axis=0)
-        for i, value in zip(word[first].tolist(), found, strict=True):
-            if value.max() >= least:
-                _, which = np.unique(own[i], return_inverse=True)
-                np.maximum.at(out[i], self.owner, value / np.sqrt((np.bincount(which, weights) ** 2).sum()))
+        hit = np.flatnonzero(found.max(axis=1) >= least)
+        if not hit.size:
+            return out
+        # the words' own norms: equal subsequences of a word count together
+        mine = own[word[first[hit]]]
+        order = np.argsort(mine, axis=1)
+        mine, spread_weights = np.take_along_axis(mine, order, 1), weights[order]
+        new = np.ones(mine.shape, bool)
+        new[:, 1:] = mine[:, 1:] != mine[:, :-1]
+        starts = np.flatnonzero(new.ravel())
+        sums = np.add.reduceat(spread_weights.ravel(), starts)
+        norms = np.sqrt(np.bincount(starts // mine.shape[1], sums**2, len(hit)))
+        values = found[hit] / norms[:, None]
+        begin = np.flatnonzero(np.concatenate(([True], self.owner[1:] != self.owner[:-1])))
+        out[word[first[hit]]] = np.maximum.reduceat(values, begin, axis=1)
         return out
 
 
