@@ -200,6 +200,26 @@ def test_suffixes_of_texts_that_share_an_id(spark, rows, hot):
     held(brute.suffix(rows), rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
+def test_suffixes_need_one_python_worker_for_each_task(spark):
+    """A second Python step in a task is a second worker, which the executor keeps beside the first."""
+    docs = frame(spark, [(1, "x" * 60), (2, "y" + "x" * 60), (None, "x" * 60), (None, None)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suffix_dedup.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    steps = []  # (depth, node) down to a line, from the last exchange above it
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        steps = [s for s in steps if s[0] < depth]
+        node = line.lstrip(" :+-").split(" ")[0].split("(")[0]
+        if "Exchange" in node:
+            steps = []
+        elif "Pandas" in node or "Python" in node:
+            assert not steps, plan
+            steps.append((depth, node))
+
+
 def test_suffixes_move_the_texts_once(spark, table):
     keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     for key in keys:
