@@ -136,3 +136,43 @@ def test_longest_trips_keep_every_row(spark):
     assert len(lengths) == D.legacy_raw(spark, SF_SMALL).count()
     known = [x for x in lengths if x is not None]
     assert known == sorted(known, reverse=True) and lengths[: len(known)] == known
+
+
+def test_curation_sorts_no_rows_and_opens_a_writer_for_each_year(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from velostat.plans import datasets as D
+    from velostat.session import save_and_reload
+
+    key, given = "spark.sql.maxConcurrentOutputFileWriters", []
+    monkeypatch.setattr(D, "materialize", lambda df, name, partition_by=(): given.append((df, name, partition_by)) or df)
+    D.reset_plans(spark)
+    try:
+        D.trips(spark, SF_SMALL)
+    finally:
+        D.reset_plans(spark)
+    df, name, by = given[-1]
+    assert "Sort [year" not in plan_of(df) and by == ("year",)
+    before, held, write = spark.conf.get(key), [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, *a: held.append(int(spark.conf.get(key))) or write(w, *a))
+    back = save_and_reload(df, name, by)
+    assert held[0] >= 2 and spark.conf.get(key) == before  # else Spark sorts by partition before it writes
+    assert back.columns == df.columns and back.groupBy("year").count().orderBy("year").collect() == df.groupBy("year").count().orderBy("year").collect()
+
+
+def test_line_items_are_shuffled_once(spark):
+    from velostat.sources.fixtures import legacy_source
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(legacy_source(spark, SF_SMALL)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(i for i, line in enumerate(plan) if "FileScan" in line and "l_orderkey" in line)
+    depth, exchanges = len(plan[at]), 0
+    for line in reversed(plan[: at + 1]):  # the nodes above the scan
+        own = len(line) - len(line.lstrip(" :+-"))
+        if own < depth:
+            depth = own
+            exchanges += "Exchange" in line
+    assert exchanges == 1

@@ -101,9 +101,9 @@ def legacy_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), "l_orderkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    j = li.join(orders, li.l_orderkey == orders.o_orderkey).join(
-        cust, F.col("o_custkey") == F.col("c_custkey")
-    )
+    # the smaller tables first, so that the line items are shuffled once at most
+    riders = orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
+    j = li.join(riders, li.l_orderkey == riders.o_orderkey)
 
     # fixed values: fixture derivation rules
     offset = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_suppkey") * 613) % 86400
