@@ -208,16 +208,16 @@ def test_suffixes_need_one_python_worker_for_each_task(spark):
         plan = suffix_dedup.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    steps = []  # (depth, node) down to a line, from the last exchange above it
+    above = []  # (depth, whether a Python step) of the exchanges and Python steps above a line
     for line in plan.splitlines():
         depth = len(line) - len(line.lstrip(" :+-"))
-        steps = [s for s in steps if s[0] < depth]
-        node = line.lstrip(" :+-").split(" ")[0].split("(")[0]
+        above = [x for x in above if x[0] < depth]
+        node = line.lstrip(" :+-").split("(")[0].split(" ")[0]
         if "Exchange" in node:
-            steps = []
+            above.append((depth, False))
         elif "Pandas" in node or "Python" in node:
-            assert not steps, plan
-            steps.append((depth, node))
+            assert not above or not above[-1][1], plan
+            above.append((depth, True))
 
 
 def test_suffixes_move_the_texts_once(spark, table):
