@@ -414,6 +414,27 @@ def test_kernel_is_that_of_the_dynamic_program():
     assert np.allclose(got, want, atol=1e-5)
 
 
+def test_kernel_looks_up_only_words_that_can_be_similar(monkeypatch):
+    """Of words that no landmark resembles few are compared in full, and a
+    word with other marks at its ends not again; the values stay the same."""
+    rng = np.random.default_rng(5)
+    scripts = ["".join(map(chr, range(at, at + 12))) for at in range(0x4E00, 0x4E00 + 12 * 8, 12)]  # more kinds than the bound knows
+    landmarks = ["idiot", "stupid", "worthless", "réeux", "aaaa", *scripts]
+    others = ["".join(rng.choice(list("bcfghjklmnpqvwyz"), rng.integers(3, 14))) for _ in range(2000)]
+    similar = ["idxiot", "stupidity", "wrthless", "worthlesss" * 3, "réeuxx", "aaa", *(x[:3] + "a" + x[3:] for x in scripts)]
+    words = others + similar
+    got, full = toxicity.Similarity(landmarks)(words, 0.4), toxicity.Similarity(landmarks)(words)
+    reach = full.max(axis=1) >= 0.4
+    assert reach[-len(similar) :].all() and np.allclose(got[reach], full[reach], atol=1e-6)
+    assert (got.max(axis=1) >= 0.4).tolist() == reach.tolist()
+    compared, whole = [], toxicity._subsequences
+    sentences = toxicity.Sentences(landmarks)
+    monkeypatch.setattr(toxicity, "_subsequences", lambda codes, *rest: compared.append(len(codes)) or whole(codes, *rest))
+    texts = [" ".join(w + mark for w in words) for mark in (".", ",", "!")]
+    assert [len(x) for x in sentences(texts)] == [len(similar), 1, len(similar)]  # sentences of one word, and one of all
+    assert sum(compared) < len(others) / 4
+
+
 def test_toxicity_of_no_rows_and_long_texts(spark):
     docs = spark.createDataFrame([(1, "good " * 200_000), (2, "bad words idiot " * 100_000), (3, None), (3, None)], "doc_id long, text string")
     docs = docs.selectExpr("*", "1 AS score", "2 AS held_out", "3 AS `a.b`")

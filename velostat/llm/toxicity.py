@@ -25,6 +25,7 @@ labels counts as 1.  Repeated rows each get their row.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +48,8 @@ ACTIVE = 0.4
 MAX_LABELLED, MAX_SENTENCES = 20_000, 16
 #: Long words are compared in overlapping cuts of this many characters.
 CUT = 16
+#: Kinds of characters that the bound of a word's kernel values tells apart.
+KINDS = 64
 REMEMBERED = 500_000
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -83,7 +86,9 @@ class Similarity:
     landmarks' subsequences are a sorted table, in which a batch of words of
     one length is looked up at once.  A word's norm is at least that of a word
     of its length without repeated subsequences, so values that cannot reach
-    ``floor`` are left at 0."""
+    ``floor`` are left at 0.  Most such words are found before the lookup: no
+    value exceeds the sum of each subsequence's largest share in a landmark,
+    which a table by kinds of characters bounds."""
 
     def __init__(self, landmarks: list[str], order: int = ORDER, decay: float = DECAY):
         self.landmarks, self.order, self.decay = landmarks, order, decay
@@ -99,6 +104,13 @@ class Similarity:
             for i, w in entries[x].items():
                 self.weights[at, i] = w
         self.norms = np.sqrt(np.maximum((self.weights**2).sum(axis=0), 1e-12))
+        places = self.known[:, None] >> (21 * np.arange(order)[::-1]) & 0x1FFFFF
+        letters = np.unique(places)
+        n_kinds = min(len(letters), KINDS - 1) + 1
+        self.kind = np.zeros(sys.maxunicode + 1, np.int32)  # 0: in no landmark
+        self.kind[letters] = 1 + np.arange(len(letters)) % (KINDS - 1)
+        self.most = np.zeros((n_kinds,) * order, np.float32)
+        np.maximum.at(self.most, tuple(self.kind[places].T), (self.weights / self.norms).max(axis=1, initial=0))
 
     def __call__(self, words: list[str], floor: float = 0.0) -> np.ndarray:
         """(words, landmarks); a long word has the largest of its cuts."""
@@ -118,11 +130,32 @@ class Similarity:
                 np.maximum.at(out, owner[hit], values[hit])
         return out
 
+    def _possible(self, codes: np.ndarray, floor: float) -> np.ndarray:
+        """The words (rows) whose bound reaches ``floor``, less what rounding
+        may take off it."""
+        places, weights = _choices(codes.shape[1], self.order, self.decay)
+        kinds, n_kinds = self.kind[codes].T, len(self.most)
+        at = kinds[places[:, 0]]  # a row for each choice of places: long rows
+        for i in range(1, self.order):
+            at = at * n_kinds + kinds[places[:, i]]
+        bound = weights.astype(np.float32) @ self.most.ravel()[at]
+        return np.flatnonzero(bound >= 0.999 * floor * np.sqrt((weights**2).sum()))
+
     def _values(self, words: list[str], floor: float) -> np.ndarray:
-        own, weights = _subsequences(_codes(words), self.order, self.decay)
+        codes = _codes(words)
+        if floor > 0:
+            kept = np.zeros((len(words), len(self.landmarks)), np.float32)
+            some = self._possible(codes, floor)
+            if some.size:
+                kept[some] = self._exact(codes[some], floor)
+            return kept
+        return self._exact(codes, floor)
+
+    def _exact(self, codes: np.ndarray, floor: float) -> np.ndarray:
+        own, weights = _subsequences(codes, self.order, self.decay)
         at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
         word, place = np.nonzero(self.known[at] == own)
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        out = np.zeros((len(codes), len(self.landmarks)), np.float32)
         if word.size:  # rows come in order: sum each word's stretch
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             out[word[first]] = np.add.reduceat(weights[place, None] * self.weights[at[word, place]], first, axis=0)
@@ -145,7 +178,8 @@ def words_of(text) -> list[bytes]:
 
 def plain(word: bytes) -> str:
     """Without marks at the ends."""
-    return _EDGE.sub("", word.decode())
+    text = word.decode()
+    return text if text.isalnum() else _EDGE.sub("", text)
 
 
 def apart(text) -> list[bytes]:
@@ -158,48 +192,57 @@ class Sentences:
 
     def __init__(self, landmarks: list[str], active: float = ACTIVE):
         self.similarity, self.active = Similarity(landmarks), active
-        self.known: dict[bytes, np.ndarray | None] = {}
+        #: Words seen, and the values of the few among them that are similar.
+        self.seen: set[bytes] = set()
+        self.near: dict[bytes, np.ndarray] = {}
 
     def learn(self, found: set[bytes]) -> None:
-        new = [w for w in found if w not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(found)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            words = [plain(w) for w in part]
-            values = self.similarity(words, self.active)
-            marked = [i for i, w in enumerate(words) if _MARK.search(w)]
+        new = found - self.seen
+        if len(self.seen) + len(new) > REMEMBERED:
+            self.seen.clear()
+            self.near.clear()
+            new = found
+        self.seen |= new
+        forms: dict[str, list[bytes]] = {}  # words that differ by marks at their ends
+        for w in new:
+            forms.setdefault(plain(w), []).append(w)
+        words = list(forms)
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            values = self.similarity(part, self.active)
+            marked = [i for i, w in enumerate(part) if not w.isalnum() and w]
             if marked:  # as it is, or without the marks inside
-                values[marked] = np.maximum(values[marked], self.similarity([_MARK.sub("", words[i]) for i in marked], self.active))
-            near = values.max(axis=1, initial=0) >= self.active
-            self.known.update((w, v if ok else None) for w, v, ok in zip(part, values, near.tolist(), strict=True))
+                values[marked] = np.maximum(values[marked], self.similarity([_MARK.sub("", part[i]) for i in marked], self.active))
+            for i in np.flatnonzero(values.max(axis=1, initial=0) >= self.active).tolist():
+                self.near.update(dict.fromkeys(forms[part[i]], values[i].copy()))
 
     def __call__(self, texts: list) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 128):
             split = [(words_of(t), apart(t)) for t in texts[at : at + 128]]
-            self.learn({w for both in split for words in both for w in words})
-            out += [self._of(words, extra) for words, extra in split]
+            found = set().union(*(words for both in split for words in both))
+            self.learn(found)
+            ends = {w for w in found if w.endswith(_STOP)}
+            out += [self._of(words, extra, ends) for words, extra in split]
         return out
 
-    def _of(self, words: list[bytes], extra: list[bytes]) -> np.ndarray:
-        known = self.known
-        found = [known[w] for w in extra if known[w] is not None]
-        hits = [i for i, w in enumerate(words) if known[w] is not None]
+    def _of(self, words: list[bytes], extra: list[bytes], ends: set[bytes]) -> np.ndarray:
+        """A row for each sentence with a similar word and for each similar
+        word written apart; ``ends``: the words that end a sentence."""
+        near = self.near
+        found = [near[w] for w in extra if w in near]
+        hits = [i for i, w in enumerate(words) if w in near]
         if hits:
             sentence, last = 0, 0
             rows: dict[int, np.ndarray] = {}
             for i in hits:
-                if any(w.endswith(_STOP) for w in words[last:i]):
+                if not ends.isdisjoint(words[last:i]):
                     sentence += 1
                 last = i
-                value = known[words[i]]
+                value = near[words[i]]
                 rows[sentence] = np.maximum(rows[sentence], value) if sentence in rows else value
             found += rows.values()
-        return np.unique(np.array(found, np.float32), axis=0) if found else np.empty((0, len(self.similarity.landmarks)), np.float32)
+        return np.array(found, np.float32) if found else np.empty((0, len(self.similarity.landmarks)), np.float32)
 
 
 @dataclass
@@ -313,7 +356,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sentences = Sentences(landmarks)
         for frame in frames:
-            bags = [x[np.argsort(-x.sum(axis=1))[:MAX_SENTENCES]].tobytes() for x in sentences(frame["text"].tolist())]
+            distinct = [np.unique(x, axis=0) for x in sentences(frame["text"].tolist())]
+            bags = [x[np.argsort(-x.sum(axis=1))[:MAX_SENTENCES]].tobytes() for x in distinct]
             yield pd.DataFrame({"toxic": frame["toxic"], "bag": bags})
 
     bags = rows.select("text", "toxic").mapInPandas(values, "toxic int, bag binary").collect()  # max_labelled rows
