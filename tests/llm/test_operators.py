@@ -256,6 +256,35 @@ def test_packing(case):
     assert len(ends) <= -(-total // 4096) * 1.02 + 1
 
 
+def test_word_ids_encode_plain_words_by_the_model_alone(monkeypatch):
+    """Stretches of ASCII letters go to the tokenizer's model, the others
+    through all its steps; ids are those of the whole text."""
+    from tokenizers import Tokenizer
+
+    texts = [
+        "Plain words AND more plain Words", "it's 3's x'll ''s a.'s", "3.5 a..b !!c _d_e f_g", "é. É.! naïve—. ﬁne e\u0301a",
+        "a\x01.b \x1c.c \x7f!d a\x1cb \x85e\u00a0f", "[x] {y} `z` ~w @v a@b.c", "İstanbul K ſ ß", "日本。a 한글.b", "<|endoftext|> plain <| x", "", " \t\n\v\f\r ",
+    ]
+    texts += [" ".join(a + b for a in texts) for b in (".", "e", "7", "'")]
+    whole = Tokenizer.from_file(word_tokenizer())
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for remembered in (3, packing.REMEMBERED):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(word_tokenizer())(texts)] == want
+
+    class Counted:
+        n = 0
+
+        def encode(self, text, **options):
+            Counted.n += len(text.split())
+            return whole.encode(text, **options)
+
+    ids = packing.WordIds(word_tokenizer())
+    ids.tokenizer = Counted()
+    ids([" ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx") + " 7 é."])
+    assert Counted.n == 2
+
+
 def test_packing_plan_covers_each_length_once():
     lengths, counts = [7, 40, 41, 60, 100], [9, 5, 1, 13, 2]
     made = dict.fromkeys(lengths, 0)

@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from string import ascii_lowercase
 
 import numpy as np
 import pandas as pd
@@ -49,12 +51,16 @@ NUMBERED = 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of texts by a tokenizer that lower-cases, drops white space and
     parts letters from marks: each stretch without ASCII white space, cut
-    before a mark that follows an ASCII letter, is encoded once and remembered."""
+    before a mark that follows an ASCII letter, is encoded once and remembered.
 
-    BEFORE_MARK = re.compile(rb"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
+    A stretch of ASCII letters alone goes straight to the tokenizer's model,
+    unless the steps before the model change such a stretch."""
+
+    #: The mark comes first: a search for marks is faster than one for places.
+    MARK = re.compile(rb"[!-/:-@\[-`{-~](?<=[a-z].)")
     #: How the tokenizer's special tokens begin; they are found in raw texts.
     SPECIAL = b"<|"
 
@@ -62,44 +68,33 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encoded together, a space between; an id belongs to the word where
-        it starts.  (A call for each word costs far more.)"""
-        plain = [w.decode() for w in words]
-        code = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        begins = np.cumsum([0] + [len(w) + 1 for w in plain])
-        owner = np.searchsorted(begins, np.array([a for a, _ in code.offsets], np.int64), "right") - 1
-        cuts = (4 * np.searchsorted(owner, np.arange(len(plain) + 1))).tolist()
-        ids = np.array(code.ids, "<u4").tobytes()
-        self.known.update((w, ids[cuts[i] : cuts[i + 1]]) for i, w in enumerate(words))
+        self.model = self.tokenizer.model
+        normalizer, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        normal = normalizer.normalize_str(ascii_lowercase) if normalizer else ascii_lowercase
+        self.straight = [x for x, _ in pre.pre_tokenize_str(normal)] == [ascii_lowercase] if pre else False
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        text = word.decode()
+        if self.straight and word.isalpha():
+            ids = [t.id for t in self.model.tokenize(text)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def words(self, text: str) -> list[bytes]:
-        return self.BEFORE_MARK.sub(b" ", text.encode().lower()).split()
+        return self.MARK.sub(rb" \g<0>", text.encode().lower()).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            out += self._block(texts[at : at + 64])
-        return out
-
-    def _block(self, texts: list[str]) -> list[bytes]:
         special = self.SPECIAL.decode()
-        split = [None if special in t else self.words(t) for t in texts]
-        known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list({w for words in split if words for w in words})
-            for at in range(0, len(new), 5000):
-                self._learn(new[at : at + 5000])
-        get = known.__getitem__
         return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(get, words))
-            for t, words in zip(texts, split, strict=True)
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            if special in t
+            else b"".join(map(self.__getitem__, self.words(t)))
+            for t in texts
         ]
 
 
