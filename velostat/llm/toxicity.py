@@ -227,8 +227,8 @@ class Sentences:
         return out
 
     def _of(self, words: list[bytes], extra: list[bytes], ends: set[bytes]) -> np.ndarray:
-        """A row for each sentence with a similar word and for each similar
-        word written apart; ``ends``: the words that end a sentence."""
+        """The distinct rows, sorted, of sentences with a similar word and of
+        similar words written apart; ``ends``: the words that end a sentence."""
         near = self.near
         found = [near[w] for w in extra if w in near]
         hits = [i for i, w in enumerate(words) if w in near]
@@ -242,7 +242,8 @@ class Sentences:
                 value = near[words[i]]
                 rows[sentence] = np.maximum(rows[sentence], value) if sentence in rows else value
             found += rows.values()
-        return np.array(found, np.float32) if found else np.empty((0, len(self.similarity.landmarks)), np.float32)
+        distinct = sorted({tuple(x.tolist()) for x in found})  # few: faster than np.unique
+        return np.array(distinct, np.float32) if found else np.empty((0, len(self.similarity.landmarks)), np.float32)
 
 
 @dataclass
@@ -356,8 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sentences = Sentences(landmarks)
         for frame in frames:
-            distinct = [np.unique(x, axis=0) for x in sentences(frame["text"].tolist())]
-            bags = [x[np.argsort(-x.sum(axis=1))[:MAX_SENTENCES]].tobytes() for x in distinct]
+            bags = [x[np.argsort(-x.sum(axis=1))[:MAX_SENTENCES]].tobytes() for x in sentences(frame["text"].tolist())]
             yield pd.DataFrame({"toxic": frame["toxic"], "bag": bags})
 
     bags = rows.select("text", "toxic").mapInPandas(values, "toxic int, bag binary").collect()  # max_labelled rows
